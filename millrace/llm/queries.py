@@ -11,12 +11,32 @@ from pyspark.sql import functions as F
 from millrace.llm.common import read
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.licenses import scan
+
+    found = scan(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("notices").cast("long").alias("n_notices"),
+        F.expr("concat_ws(',', array_sort(array_distinct(transform(notices, n -> n.license))))").alias("licenses"),
+        F.expr("round(array_max(transform(notices, n -> n.dice)), 6)").alias("best_dice"),
+        F.expr("cast(array_min(transform(notices, n -> n.line)) as long)").alias("first_line"),
+    )
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.packing import pack_documents
 
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.sharding import shard
+
+    placed = shard(read(spark, sf_dir, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.token_counts import count_tokens
 
@@ -26,10 +46,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_license_scans": op4_license_scans,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from millrace.llm import licenses
+
+    return {"op4_license_scans": licenses.oracle()}
