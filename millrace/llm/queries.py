@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from millrace.llm.common import read
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.language_id import held_out, predict, train
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out())
+    net = train(docs.filter(~F.col("held_out")))
+    return predict(docs, net, keep=("held_out",))
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.licenses import scan
 
@@ -46,6 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": op2_language_id,
         "op4_license_scans": op4_license_scans,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_sharding": op9_sharding,
