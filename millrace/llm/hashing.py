@@ -54,9 +54,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each text: hashes of their bytes with A-Z in lower
-    case, starts and ends. A word never spans two texts. Long texts go in pieces cut at white space."""
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of each text: hashes of their bytes (with ``fold``,
+    A-Z in lower case), starts and ends. A word never spans two texts. Long texts go in pieces cut at white space."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     ink = ~WHITE[data]
@@ -73,7 +73,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     hashes, lo = [], 0
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + (1 << 20), "right")))
-        part = LOWER[data[starts[lo] : ends[hi - 1]]]
+        part = data[starts[lo] : ends[hi - 1]]
+        part = LOWER[part] if fold else part
         hashes.append(span_hashes(part, starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo]))
         lo = hi
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), starts, ends

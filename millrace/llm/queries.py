@@ -32,6 +32,15 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.quality_rules import apply, statistics, train
+
+    docs = read(spark, sf_dir, "documents")
+    rules = train(docs, read(spark, sf_dir, "labels"))
+    judged = apply(statistics(docs), rules)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.packing import pack_documents
 
@@ -56,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
         "op4_license_scans": op4_license_scans,
+        "op5_quality_rules": op5_quality_rules,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
