@@ -103,6 +103,23 @@ def piece_counts(pretokens: DataFrame, path: str) -> DataFrame:
     return pretokens.select("pre", "freq").mapInArrow(count, "pre binary, freq long, n_pieces int, h long")
 
 
+def _most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows: those from the lowest class of frequency on that lets all above it in.
+
+    Classes are sixteenths of a power of two, so their histogram has under a thousand
+    rows, whatever the corpus; a sort with a limit would send ``most`` rows of every task.
+    """
+    of = F.floor(F.log2("freq") * 16)
+    held = 0
+    least = None
+    for r in counted.groupBy(of.alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
+        held += r["n"]
+        if held > most:
+            break
+        least = r["c"]
+    return counted.filter(F.lit(False) if least is None else of >= least)
+
+
 def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", head: int = 131_072) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row.
 
@@ -113,7 +130,7 @@ def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     arrow_rows(spark)
     counted = materialize(piece_counts(distinct_pretokens(docs, path, text), path), "pieces")
-    top = counted.orderBy(F.desc("freq"), "pre").limit(head).select("h", "n_pieces").toPandas()
+    top = _most_frequent(counted, head).select("h", "n_pieces").toPandas()
     sent = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64).view(np.uint64), top["n_pieces"].to_numpy(np.int64)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
