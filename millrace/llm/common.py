@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a batch that goes to Python: bounds a worker's memory with long texts.
-ARROW_ROWS = 1000
+#: Bytes of a batch that goes to Python: bounds a worker's memory with long texts.
+BATCH_BYTES = 4 << 20
 #: Bytes of text that the vectorised kernels take at once.
 SLICE_BYTES = 1 << 20
 _own_dir: list[str] = []
@@ -68,10 +68,9 @@ def release(df: DataFrame) -> None:
             _drop(spark, one[1])
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Keeps batches to Python small: a batch of the default 10,000 long texts may not fit a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bounds a batch to Python by bytes: 10,000 long texts at once may not fit a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def text_of(column: str = "text") -> Column:

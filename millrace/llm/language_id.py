@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_rows, text_of, utf8
+from millrace.llm.common import small_batches, text_of, utf8
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 UNKNOWN = "und"
@@ -173,7 +173,7 @@ def has_letter(data: bytes) -> bool:
 
 def predict(docs: DataFrame, net: ByteNet | None, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep, lang_pred, score) of every row; score is the mean probability of the label."""
-    arrow_rows(docs.sparkSession)
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)  # a few hundred kB, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

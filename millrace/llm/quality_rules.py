@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_rows, slices, text_of, utf8
+from millrace.llm.common import small_batches, slices, text_of, utf8
 from millrace.llm.hashing import span_hashes, windows, words
 
 # Fixed values of the base rule.
@@ -83,7 +83,7 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def statistics(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, the statistics, base_failed) of every row."""
-    arrow_rows(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

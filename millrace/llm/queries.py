@@ -19,6 +19,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, net, keep=("held_out",))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.ngram_join import group
+
+    return group(read(spark, sf_dir, "documents"))
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.licenses import scan
 
@@ -64,6 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
+        "op3_ngram_join": op3_ngram_join,
         "op4_license_scans": op4_license_scans,
         "op5_quality_rules": op5_quality_rules,
         "op8_best_fit_packing": op8_best_fit_packing,

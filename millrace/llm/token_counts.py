@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import arrow_rows, materialize, slices, text_of, utf8
+from millrace.llm.common import small_batches, materialize, slices, text_of, utf8
 from millrace.llm.hashing import HashTable, span_hashes
 from millrace.llm.pretoken import Splitter, of_parts
 
@@ -128,7 +128,7 @@ def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
     joins its count by a shuffle, with its frequency in the document. No ids are kept.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
+    small_batches(spark)
     counted = materialize(piece_counts(distinct_pretokens(docs, path, text), path), "pieces")
     top = _most_frequent(counted, head).select("h", "n_pieces").toPandas()
     sent = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64).view(np.uint64), top["n_pieces"].to_numpy(np.int64)))
