@@ -47,6 +47,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.decontamination import scan
+
+    found = scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("hits") > 0).alias("contaminated"),
+        F.size("hits").cast("long").alias("n_items"),
+        F.expr("concat_ws(',', transform(array_sort(transform(hits, h -> h.item)), i -> cast(i as string)))").alias("item_ids"),
+        F.expr("round(array_max(transform(hits, h -> h.similarity)), 6)").alias("best_similarity"),
+    )
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.packing import pack_documents
 
@@ -73,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_join": op3_ngram_join,
         "op4_license_scans": op4_license_scans,
         "op5_quality_rules": op5_quality_rules,
+        "op6_decontamination": op6_decontamination,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
