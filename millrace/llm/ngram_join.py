@@ -4,7 +4,8 @@ Two sets whose Jaccard similarity reaches t must share a shingle among the first
 n - ceil(t n) + 1 of each, under any order that is the same for all sets. Three orders
 are used and their filters intersected before a pair is verified:
 
-1. by hash: sets that share no prefix shingle with another set leave at once;
+1. by hash, with a prefix longer by n div 8: two sets that link meet in as many of its
+   shingles, so a set with fewer that any other set has leaves at once;
 2. by how many of the remaining sets hold a shingle, rare ones first: what a single
    set holds cannot match, so it costs no row, and a passage that very many documents
    share stands last and makes no pairs;
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, release, slices, small_batches, text_of, utf8
+from millrace.llm.common import materialize, release, slices, small_batches, small_side, text_of, utf8
 from millrace.llm.components import components
 from millrace.llm.hashing import mix, windows, words
 
@@ -45,6 +46,11 @@ def prefix(n: np.ndarray | int, percent: int = PERCENT):
     return n + 1 + (-percent * n) // 100
 
 
+def must_meet(n: np.ndarray | int):
+    """In how many shingles two sets that link meet, if the prefix is as much longer, less one."""
+    return np.maximum(1, n // 8)
+
+
 def shingles(h: np.ndarray, size: int = WORDS) -> np.ndarray:
     """The distinct shingles of one text by its word hashes, in the order of their hashes."""
     if len(h) >= size:
@@ -101,7 +107,7 @@ def _tokens(texts: DataFrame, size: int, percent: int | None) -> DataFrame:
                 c = class_of(u)
                 if want is not None and want[k] != c:
                     continue
-                token.append(u if percent is None else u[: prefix(len(u), percent)])
+                token.append(u if percent is None else u[: prefix(len(u), percent) + must_meet(len(u)) - 1])
                 cls.append(c)
                 n.append(len(u))
             if token:
@@ -112,22 +118,25 @@ def _tokens(texts: DataFrame, size: int, percent: int | None) -> DataFrame:
 
 
 def _shared(rows: DataFrame, tasks: int) -> DataFrame:
-    """(cls): classes that meet another one at some token. Runs of equal tokens are read as they come."""
+    """(cls, c): at how many tokens a class meets another one. Runs of equal tokens are read as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, cls = None, None
-        for batch in batches:
-            t, c = (batch.column(k).to_numpy() for k in ("token", "cls"))
-            if token is not None:  # the last row of the batch before goes first
-                t, c = np.append(token, t), np.append(cls, c)
-            meet = (t[1:] == t[:-1]) & (c[1:] != c[:-1])
+        token, cls, met = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        for batch in batches:  # the last row of the batch before goes first
+            t, c = np.append(token, batch.column("token").to_numpy()), np.append(cls, batch.column("cls").to_numpy())
+            meet = np.flatnonzero((t[1:] == t[:-1]) & (c[1:] != c[:-1]))
+            opens = np.ones(len(meet), bool)  # the first two classes of a run meet here
+            opens[1:] = t[meet[1:]] != t[meet[:-1]]
+            if len(meet) and met and t[meet[0]] == t[0]:
+                opens[0] = False
+            met = (len(meet) > 0 and t[meet[-1]] == t[-1]) or (met and t[0] == t[-1])
             token, cls = t[-1:], c[-1:]
-            found = np.unique(np.concatenate([c[1:][meet], c[:-1][meet]]))
+            found, many = np.unique(np.concatenate([c[meet + 1], c[meet[opens]]]), return_counts=True)
             if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found)], ["cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(many)], ["cls", "c"])
 
     dealt = rows.select("token", "cls").repartition(tasks, "token").sortWithinPartitions("token", "cls")
-    return dealt.mapInArrow(run, "cls long").distinct()
+    return dealt.mapInArrow(run, "cls long, c long").groupBy("cls").agg(F.sum("c").alias("c"))
 
 
 def _counted(rows: DataFrame, tasks: int, most: int = MOST_COUNTED) -> DataFrame:
@@ -250,7 +259,9 @@ def links(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = W
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = materialize(sketch(docs, id, text, size), "jaccard-rows")
     near = materialize(_shared(_tokens(docs.select(text_of(text).alias("t")), size, percent), tasks), "jaccard-near")
-    first = rows.filter("cls IS NOT NULL AND id IS NOT NULL").join(near, "cls").groupBy("cls").agg(F.min("id").alias("id"))
+    enough = F.col("c") >= F.greatest(F.lit(1), F.expr("n div 8"))
+    first = rows.filter("cls IS NOT NULL AND id IS NOT NULL").join(near, "cls").filter(enough).groupBy("cls").agg(F.min("id").alias("id"))
+    first = small_side(materialize(first, "jaccard-first"))
     texts = docs.select(F.col(id).alias("id"), text_of(text).alias("t")).join(first, "id").select("cls", "t")
     counted = _counted(_tokens(texts, size, None), tasks)
     known = materialize(_ordered(counted, tasks, percent), "jaccard-sets")
