@@ -60,6 +60,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.line_dedup import report
+
+    found = report(read(spark, sf_dir, "documents"))
+    return found.withColumn("dropped", F.expr("concat_ws(',', transform(dropped, k -> cast(k as string)))"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.packing import pack_documents
 
@@ -87,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_license_scans": op4_license_scans,
         "op5_quality_rules": op5_quality_rules,
         "op6_decontamination": op6_decontamination,
+        "op7_line_dedup": op7_line_dedup,
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
@@ -94,6 +102,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from millrace.llm import licenses
+    from millrace.llm import licenses, line_dedup
 
-    return {"op4_license_scans": licenses.oracle()}
+    return {"op4_license_scans": licenses.oracle(), "op7_line_dedup": line_dedup.oracle()}
