@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from millrace.llm.common import read
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.html_extract import extract_pages
+
+    found = extract_pages(read(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.language_id import held_out, predict, train
 
@@ -89,6 +96,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_language_id": op2_language_id,
         "op3_ngram_join": op3_ngram_join,
         "op4_license_scans": op4_license_scans,
