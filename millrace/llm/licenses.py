@@ -108,6 +108,6 @@ hit AS (SELECT b.doc_id, b.i, t.k, t.name, 2.0::DOUBLE * sum(least(b.n, t.n))::D
 best AS (SELECT doc_id, i, name, dice FROM hit WHERE dice >= {threshold} QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY dice DESC, k) = 1)
 SELECT d.doc_id, count(b.i)::BIGINT AS n_notices,
        coalesce(string_agg(DISTINCT b.name, ',' ORDER BY b.name), '') AS licenses,
-       round(max(b.dice), 6) AS best_dice, (min(b.i) - 1)::BIGINT AS first_line
+       round(coalesce(max(b.dice), 0), 6) AS best_dice, coalesce(min(b.i) - 1, -1)::BIGINT AS first_line
 FROM documents d LEFT JOIN best b USING (doc_id) GROUP BY d.doc_id
 """

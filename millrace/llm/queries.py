@@ -40,8 +40,8 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.size("notices").cast("long").alias("n_notices"),
         F.expr("concat_ws(',', array_sort(array_distinct(transform(notices, n -> n.license))))").alias("licenses"),
-        F.expr("round(array_max(transform(notices, n -> n.dice)), 6)").alias("best_dice"),
-        F.expr("cast(array_min(transform(notices, n -> n.line)) as long)").alias("first_line"),
+        F.expr("round(coalesce(array_max(transform(notices, n -> n.dice)), 0), 6)").alias("best_dice"),
+        F.expr("cast(coalesce(array_min(transform(notices, n -> n.line)), -1) as long)").alias("first_line"),
     )
 
 
