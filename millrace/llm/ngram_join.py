@@ -12,8 +12,8 @@ are used and their filters intersected before a pair is verified:
 3. by the same counts, ties the other way round.
 
 Equal sets are one class from the start. Links serve the components: a first round
-verifies each class against the neighbour that shares most prefix shingles, a second
-one against the largest of each shingle's classes, and the last takes every remaining
+verifies each class against the central class it shares most prefix shingles with, some
+more against central classes of other components, and the last takes every remaining
 pair of different components that shares a prefix shingle. So no link between different
 components is missed, and a group of thousands of near copies makes no square of pairs.
 
@@ -37,6 +37,8 @@ from millrace.llm.components import components
 from millrace.llm.hashing import mix, windows, words
 
 WORDS, PERCENT = 5, 75
+#: Rounds against central classes before all remaining pairs are taken; any number gives the same result.
+ROUNDS = 3
 #: Counts of a shingle are exact up to here; all higher ones are one class of the order.
 MOST_COUNTED = 65_536
 
@@ -248,8 +250,11 @@ def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(run, "u long, v long")
 
 
-def _fits(percent: int):
-    return F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+def _can_link(percent: int):
+    """Whether a and b may link if this is the first shingle they share: no more than what
+    stands from here on in either can be common. A pair that fails at its first shared
+    shingle does not link, and one that does not fail there is found there."""
+    return F.expr(f"{100 + percent} * least(ra, rb) >= {percent} * (na + nb)")
 
 
 def links(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -267,28 +272,42 @@ def links(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = W
     known = materialize(_ordered(counted, tasks, percent), "jaccard-sets")
     release(near)
 
-    met = known.select("cls", "n", F.explode(F.slice("tokens", F.lit(1), F.col("p"))).alias("token"))
+    alone = (F.col("n") - F.size("tokens")) / F.col("n")  # share of shingles that no other class holds
+    met = known.select("cls", "n", alone.alias("q"), F.size("tokens").alias("m"), F.posexplode(F.slice("tokens", F.lit(1), F.col("p"))).alias("k", "token"))
+    met = met.select("token", "cls", "n", "q", (F.col("m") - F.col("k")).alias("rest"))
 
-    def hubs(kind: str, roots: DataFrame | None) -> DataFrame:
-        """Pairs of each class with one other class of each of its prefix tokens."""
-        at = met if roots is None else met.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        pick = F.min if kind == "least" else F.max
-        key = F.struct("cls", "n") if roots is None else F.struct("cls", "n", "root")
-        hub = at.groupBy("token").agg(pick(key).alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
-        other = "hub.cls <> cls" if roots is None else "hub.root <> root"
-        pairs = at.join(hub, "token").filter(other).select(F.col("hub.cls").alias("b"), F.col("hub.n").alias("nb"), F.col("cls").alias("a"), F.col("n").alias("na"))
-        return pairs.filter(_fits(percent)).groupBy("a", "b").agg(F.count("*").alias("met"))
-
-    pairs = hubs("least", None)
+    # the most central class of a token is that of the fewest shingles of its own, as of what others were edited from
+    hub = met.groupBy("token").agg(F.min(F.struct("q", "cls", "n", "rest")).alias("hub"))
+    pairs = met.join(hub, "token").filter("hub.cls <> cls").select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("hub.cls").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.rest").alias("rb"))
+    pairs = pairs.filter(_can_link(percent)).groupBy("a", "b").agg(F.count("*").alias("met"))
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("met", "b")).alias("b"))
     edges = materialize(_verified(best, known, percent), "jaccard-links")
     roots = materialize(components(edges).select(F.col("node").alias("cls"), "root"), "jaccard-roots")
-    more = materialize(_verified(hubs("most", roots).select("a", "b"), known, percent), "jaccard-links")
-    roots = _merged(roots, more)
+    for _ in range(ROUNDS):
+        edges = materialize(_verified(_toward_hubs(met, roots, percent), known, percent), "jaccard-links")
+        if not edges.limit(1).count():
+            break
+        roots = _merged(roots, edges)
     rest = materialize(_verified(_across(met, roots, percent), known, percent), "jaccard-links")
     return rows, _merged(roots, rest)
 
 
+def _rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
+    return met.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def _toward_hubs(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class with the most central classes of the two first components of its tokens, but its own."""
+    at = _rooted(met, roots)
+    heads = at.groupBy("token", "root").agg(F.min(F.struct("q", "cls", "n", "rest")).alias("hub"))
+    token = Window.partitionBy("token")
+    heads = heads.withColumn("k", F.row_number().over(token.orderBy("hub"))).withColumn("many", F.count("*").over(token))
+    heads = heads.filter("k <= 2 AND many > 1").select("token", F.col("root").alias("other"), "hub")
+    pairs = at.join(heads, "token").filter("root <> other")
+    pairs = pairs.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("hub.cls").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.rest").alias("rb"))
+    return pairs.filter(_can_link(percent)).select("a", "b").distinct()
+
+
 def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """Components so far and further links, made one."""
     star = roots.filter("cls <> root").select(F.col("cls").alias("u"), F.col("root").alias("v"))
@@ -298,17 +317,19 @@ def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
 def _across(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """(a, b): every pair of classes of different components that shares a prefix token.
 
-    Within a token the components are numbered, the one with most classes first; a class
-    of component k looks up the components before k. So a large component makes a row for
-    each of its classes, and no pair inside it.
+    Within a token the components are numbered, the one with most classes first. A class
+    looks up those before its own, and of these only such as may hold a partner by the
+    bound on their sizes and places. So there is no pair inside a component.
     """
-    at = met.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    sizes = at.groupBy("token", "root").agg(F.count("*").alias("c"))
+    at = _rooted(met, roots)
+    sizes = at.groupBy("token", "root").agg(F.count("*").alias("c"), F.max("rest").alias("rb"), F.min("n").alias("nb"))
     token = Window.partitionBy("token")
     mixed = sizes.withColumn("k", F.row_number().over(token.orderBy(F.desc("c"), "root")) - 1).withColumn("many", F.count("*").over(token)).filter("many > 1")
-    rows = at.join(mixed.select("token", "root", "k"), ["token", "root"]).select("token", "k", "cls", "n")
-    seek = rows.filter("k > 0").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("k"))
-    pairs = seek.join(rows.select("token", "k", F.col("cls").alias("b"), F.col("n").alias("nb")), ["token", "k"]).filter(_fits(percent))
+    rows = at.join(mixed.select("token", "root", "k"), ["token", "root"]).select("token", "k", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    near = mixed.select(F.col("token").alias("t"), F.col("k").alias("other"), "rb", "nb")
+    seek = rows.join(near, (F.col("token") == F.col("t")) & (F.col("other") < F.col("k")) & _can_link(percent)).select("t", "other", "a", "na", "ra")
+    found = rows.select("token", "k", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ra").alias("rb"))
+    pairs = seek.join(found, (F.col("t") == F.col("token")) & (F.col("other") == F.col("k")) & _can_link(percent))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
