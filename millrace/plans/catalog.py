@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import corpus_queries
+from millrace.plans import corpus_queries, numeric_queries, report_queries, token_queries
 
-MODULES = (corpus_queries,)
+MODULES = (corpus_queries, report_queries, token_queries, numeric_queries)
 
 
 def queries() -> dict:
