@@ -35,7 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("language"), "text")
+    """The columns of the corpus dataflow; pruned before they are dealt out."""
+    return readers.spread(table(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("language"), "text"))
 
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:

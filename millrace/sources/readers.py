@@ -145,6 +145,13 @@ def read_parquet(spark: SparkSession, path: str, source: str, language: str | No
     return _core(rows, source, language, "parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table that a scan cuts into fewer parts than there are cores, such as one small file
+    of one row group, dealt to all cores. Larger tables are left as they are: no shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def columns_of(spark: SparkSession, path: str) -> list[str]:
     """Column names, from a footer alone."""
     return spark.read.parquet(path).columns
