@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.readers import spread
+
 #: Bytes of a batch that goes to Python: bounds a worker's memory with long texts.
 BATCH_BYTES = 4 << 20
 #: Bytes of text that the vectorised kernels take at once.
@@ -78,8 +80,10 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def read(spark: SparkSession, sf_dir: str, table: str, dealt: bool = True) -> DataFrame:
+    """A table; with ``dealt``, one of fewer parts than cores is dealt to all of them."""
+    found = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(found) if dealt else found
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

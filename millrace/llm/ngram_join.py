@@ -352,3 +352,17 @@ def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", size: in
     # rows that repeat an id with a text are copies of one document
     once = Window.partitionBy(F.col(id), F.xxhash64(text)).orderBy(F.lit(1))
     return kept.withColumn("__nth", F.row_number().over(once)).filter(F.col(id).isNull() | (F.col("__nth") == 1)).drop("__nth")
+
+
+def oracle(size: int = WORDS, percent: int = PERCENT) -> str:
+    """The result of op3 in DuckDB: all pairs that share a shingle, and a recursive closure of the links."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(w[i:i + {size - 1}], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(g) AS n FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= {percent} * (a.n + b.n - o)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id)
+SELECT doc_id, any_value(n.n)::BIGINT AS n_shingles, min(root) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id
+"""

@@ -35,7 +35,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.licenses import scan
 
-    found = scan(read(spark, sf_dir, "documents"))
+    found = scan(read(spark, sf_dir, "documents", dealt=False))
     return found.select(
         "doc_id",
         F.size("notices").cast("long").alias("n_notices"),
@@ -49,7 +49,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.quality_rules import apply, statistics, train
 
     docs = read(spark, sf_dir, "documents")
-    rules = train(docs, read(spark, sf_dir, "labels"))
+    rules = train(docs, read(spark, sf_dir, "labels", dealt=False))
     judged = apply(statistics(docs), rules)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
@@ -57,7 +57,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.decontamination import scan
 
-    found = scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark", dealt=False))
     return found.select(
         "doc_id",
         (F.size("hits") > 0).alias("contaminated"),
@@ -83,7 +83,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.sharding import shard
 
-    placed = shard(read(spark, sf_dir, "documents"), shards=16)
+    placed = shard(read(spark, sf_dir, "documents", dealt=False), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -110,6 +110,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from millrace.llm import licenses, line_dedup
+    from millrace.llm import licenses, line_dedup, ngram_join
 
-    return {"op4_license_scans": licenses.oracle(), "op7_line_dedup": line_dedup.oracle()}
+    return {"op3_ngram_join": ngram_join.oracle(), "op4_license_scans": licenses.oracle(), "op7_line_dedup": line_dedup.oracle()}
