@@ -38,7 +38,7 @@ from millrace.llm.hashing import mix, windows, words
 
 WORDS, PERCENT = 5, 75
 #: Rounds against central classes before all remaining pairs are taken; any number gives the same result.
-ROUNDS = 3
+ROUNDS = 1
 #: Counts of a shingle are exact up to here; all higher ones are one class of the order.
 MOST_COUNTED = 65_536
 
