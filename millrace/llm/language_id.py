@@ -135,14 +135,15 @@ class ByteNet:
         return out
 
 
-def train(docs: DataFrame, id: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 400, windows_per_doc: int = 8) -> ByteNet | None:
-    """Fits a network on at most ``per_label`` documents of each label, the first by a hash of the id."""
+def train(docs: DataFrame, id: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 400, windows_per_doc: int = 8, most: int = 20_000) -> ByteNet | None:
+    """Fits a network on at most ``per_label`` documents of each label and ``most`` of all, the first by a hash of the id."""
     labelled = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(id).isNotNull())
     counts = labelled.groupBy(F.col(label).alias("l")).agg(F.count("*").alias("n")).orderBy("l").limit(MOST_LABELS + 1).collect()
     if not counts:
         return None
     if len(counts) > MOST_LABELS:
         raise ValueError(f"more than {MOST_LABELS} labels in {label}")
+    per_label = max(1, min(per_label, most // len(counts)))
     place = F.pmod(F.xxhash64(F.lit("fit"), F.col(id)), F.lit(1 << 20))
     reach = F.lit(False)
     for r in counts:  # a share of each label that holds about twice the bound

@@ -60,6 +60,6 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 17, id: str = "doc_id",
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id: str = "doc_id") -> None:
-    """The documents as one folder a shard, each in the order of its slots. Ids must be unique."""
+    """The documents as one folder a shard, its files in the order of their slots. Ids must be unique."""
     joined = docs.join(placed.select(id, "shard", "slot"), id)
-    joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
