@@ -130,7 +130,10 @@ def batches(samples: DataFrame, batch_size: int, seed: int | None = None, drop_l
     """(batch_id, sample_ids): samples by their order, or by a seeded hash of it."""
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
-    order = ["sample_id"] if seed is None else [F.xxhash64(F.lit(seed), "sample_id"), "sample_id"]
-    keyed = samples.select("sample_id").withColumn("k", F.row_number().over(Window.orderBy(*order)) - 1)
+    if seed is None:  # ids are gapless from 0: they are their own places
+        keyed = samples.select("sample_id", F.col("sample_id").alias("k"))
+    else:
+        shuffled = samples.select("sample_id", F.xxhash64(F.lit(seed), "sample_id").alias("h"), F.lit(1).alias("one"))
+        keyed = offsets(shuffled, "one", ["h", "sample_id"]).select("sample_id", F.col("offset").alias("k"))
     rows = keyed.groupBy(F.expr(f"k div {batch_size}").alias("batch_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "sample_id"))), lambda x: x["sample_id"]).alias("sample_ids"))
     return rows.filter(F.size("sample_ids") == batch_size) if drop_last else rows
