@@ -6,9 +6,10 @@ radius agree on a block, so the tables of the blocks yield all of them. A candid
 counts only if its weighted similarity (bags of five-word shingles, sum of minima over
 sum of maxima) reaches the threshold.
 
-A window can only pass that check if it holds a shingle of the item, so fingerprints
-are made where a document has any benchmark shingle, at every position whose window
-reaches it. That leaves the result as it is and spares the rest of the corpus.
+A window can only pass that check if it holds a shingle of the item, so fingerprints of
+a length are made where a document has a shingle of an item of that length, at every
+position whose window reaches it. That leaves the result as it is and spares the rest
+of the corpus.
 
 Case, white space and ASCII punctuation don't matter: words are runs of other bytes.
 The benchmark goes to the workers in blocks of bounded size, one pass over the
@@ -102,21 +103,36 @@ class Benchmark:
         for w in np.unique(size):
             mine = np.flatnonzero(size == w)
             self.by_size[int(w)] = (mine, HammingIndex(np.array([simhash(own[held[k]], int(w))[0] for k in mine], np.uint64), radius))
-        self.known = HashTable()
-        if self.bags:
-            every = np.unique(np.concatenate(self.bags))
-            self.known.add(every, np.zeros(len(every), np.int64))
+        self.size, self.known = size, HashTable()
+        # for each shingle the items that hold it, end to end
+        held_by = [(g, np.full(len(g), k)) for k, bag in enumerate(self.bags) for g in [np.unique(bag)]]
+        if held_by:
+            g, k = (np.concatenate(x) for x in zip(*held_by, strict=True))
+            order = np.lexsort((k, g))
+            every, self.first, self.many = np.unique(g[order], return_index=True, return_counts=True)
+            self.holders = k[order]
+            self.known.add(every, np.arange(len(every)))
+
+    def _seeds(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item) of every shingle of a text that an item holds."""
+        found = self.known.find(g)
+        at = np.flatnonzero(found >= 0)
+        if not len(at):
+            return at, at
+        n = self.many[found[at]]
+        turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at, n), self.holders[np.repeat(self.first[found[at]], n) + turn]
 
     def hits(self, h: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """By item number the best window of a text: (similarity, first word, Hamming distance)."""
         g = windows(h, self.shingle)
-        seeds = np.flatnonzero(self.known.find(g) >= 0) if len(g) else g
         out: dict[int, tuple[float, int, int]] = {}
-        if not len(seeds):
-            return out
-        for w, (items, index) in self.by_size.items():
+        places, holders = self._seeds(g)
+        for w in np.unique(self.size[holders]).tolist() if len(places) else ():
             if len(h) < w:
                 continue
+            items, index = self.by_size[w]
+            seeds = np.unique(places[self.size[holders] == w])
             reach = np.zeros(len(h) - w + 2, np.int64)  # starts whose window holds a seed
             np.add.at(reach, np.clip(seeds - (w - self.shingle), 0, len(reach) - 1), 1)
             np.add.at(reach, np.minimum(seeds + 1, len(reach) - 1), -1)
