@@ -123,6 +123,14 @@ class Benchmark:
         turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(at, n), self.holders[np.repeat(self.first[found[at]], n) + turn]
 
+    def near(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of some texts, end to end, may hold a shingle of an item; all are looked up at once."""
+        n = np.zeros(len(h) + 1, np.int64)
+        if len(h) >= self.shingle:
+            n[1 : len(h) - self.shingle + 2] = self.known.find(windows(h, self.shingle)) >= 0
+        total = np.cumsum(n)
+        return total[at[1:]] > total[at[:-1]]
+
     def hits(self, h: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """By item number the best window of a text: (similarity, first word, Hamming distance)."""
         g = windows(h, self.shingle)
@@ -178,8 +186,9 @@ def scan(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "tex
                 found: list[list | None] = []
                 for lo, hi, d, o in slices(data, offsets):
                     h, at = plain_words(d, o)
+                    some = bench.near(h, at)
                     for k in range(hi - lo):
-                        best = bench.hits(h[at[k] : at[k + 1]])
+                        best = bench.hits(h[at[k] : at[k + 1]]) if some[k] else {}
                         found.append([{"item": bench.ids[i], "similarity": s, "start": a, "n_words": size[i], "distance": b} for i, (s, a, b) in best.items()])
                 before = batch.column("hits")
                 if before.null_count < len(before):
