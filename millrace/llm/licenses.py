@@ -1,4 +1,4 @@
-"""License scans: lines against license notices by the Dice coefficient over word bigrams.
+"""License scans: texts against license notices by the Dice coefficient over word bigrams.
 
 Native column expressions only, and no shuffle: a row is scanned where it is read. A
 line and a template are bags of bigrams of normalised words (lower case, letters and
@@ -6,18 +6,32 @@ digits). With a threshold t, bags of sizes a and b can only match if
 t / (2 - t) * b <= a <= (2 - t) / t * b: templates outside these bounds are pruned
 before any bigram is compared.
 
+First every line is judged as a whole. What these lines leave is then one run of words
+across line ends, and every window of it within the bounds is compared with the notices
+and with standard headers (``HEADERS``): a notice that is wrapped, or stands inside a
+longer line, is a window. Only windows that begin and end with a bigram of the template
+are tried, for any other one is worse than the one inside it. A notice of fewer than
+``SHORT`` bigrams has no windows shorter than itself: "licensed under CC BY-SA" would
+else be version 4.0 of it, whatever follows. Of windows that overlap the one with most
+bigrams in common stays, then the one of the larger coefficient.
+
+Texts that hold none of the ``anchors`` can't hold a window that matches, and cost no more
+than that look.
+
 Defined results: null and empty texts have no notice; a line of one word has no bigram
-and matches nothing; among templates of the same coefficient the first name wins;
-repeated rows are scanned each; an empty table gives an empty result; other columns
-are not read. Whole texts are scanned, whatever their length.
+and matches nothing by itself; among templates of the same coefficient the first name
+wins; a window counts for the line it begins in; repeated rows are scanned each; an
+empty table gives an empty result; other columns are not read. Whole texts are scanned,
+whatever their length.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # License names and the notices by which texts commonly state them.
@@ -47,6 +61,22 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+# Standard headers, which windows are compared with besides the notices.
+HEADERS = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+)
+#: A notice of fewer bigrams is found by windows of its size or more.
+SHORT = 8
 #: What normalisation turns into one space; the same pattern in Spark and in the oracle.
 BREAK = "[^a-z0-9]+"
 
@@ -60,8 +90,8 @@ def _quote(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def matches(text: str = "text", threshold: float = 0.8, templates: tuple = TEMPLATES) -> Column:
-    """array<struct<line, license, dice>>: the best template of every line that has one."""
+def matches(text: str = "text", threshold: float = 0.8, templates: tuple = TEMPLATES) -> str:
+    """array<struct<line, best>>, as SQL: the best template of every line that has one."""
     bags = [(name, Counter(bigrams(body))) for name, body in templates]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     rows = []
@@ -82,17 +112,77 @@ def matches(text: str = "text", threshold: float = 0.8, templates: tuple = TEMPL
         f"element_at(transform(array({bag}), bag -> CASE WHEN arrays_overlap(bag, array({every})) THEN {best} END), 1) END), 1)"
     )
     lines = f"split(coalesce(`{text}`, ''), '\\n')"
-    return F.expr(f"filter(transform({lines}, (line, i) -> named_struct('line', i, 'best', {one})), m -> m.best IS NOT NULL)")
+    return f"filter(transform({lines}, (line, i) -> named_struct('line', i, 'best', {one})), m -> m.best IS NOT NULL)"
+
+
+def _bounds(n: int, threshold: float) -> tuple[int, int, int]:
+    """Of a template of n bigrams: the least and the largest window, the least bigrams in common."""
+    least = n if n < SHORT else math.ceil(threshold / (2 - threshold) * n - 1e-9)
+    return least, math.floor((2 - threshold) / threshold * n + 1e-9), math.ceil(threshold * (least + n) / 2 - 1e-9)
+
+
+def anchors(threshold: float = 0.8, templates: tuple = TEMPLATES + HEADERS) -> list[str]:
+    """Words one of which is in every window that matches: of each template, so many of its
+    longest words that no more bigrams are without one than such a window may lack."""
+    out: set[str] = set()
+    for _, body in templates:
+        grams = [g.split(" ") for g in bigrams(body)]
+        spare = len(grams) - _bounds(len(grams), threshold)[2]
+        for word in sorted({w for g in grams for w in g}, key=lambda w: (w not in out, -len(w), w)):
+            if sum(1 for g in grams if out & set(g)) > spare:
+                break
+            out.add(word)
+    return sorted(out)
+
+
+def windows(text: str = "text", found: str = "m", threshold: float = 0.8, templates: tuple = TEMPLATES + HEADERS) -> str:
+    """array<struct<line, license, dice>>, as SQL: the notices outside the lines of ``found``, the result of ``matches``."""
+    rows, every = [], set()
+    for k, (name, body) in enumerate(templates):
+        bag = Counter(bigrams(body))
+        n = sum(bag.values())
+        least, most, need = _bounds(n, threshold)
+        every |= set(bag)
+        grams = f"split({_quote(','.join(bag))}, ',')"  # one expression, not hundreds
+        twice = ", ".join(f"named_struct('g', {_quote(g)}, 'n', {c})" for g, c in bag.items() if c > 1)
+        twice = f"array({twice})" if twice else "filter(array(named_struct('g', '', 'n', 0)), x -> false)"
+        rows.append(f"named_struct('k', {k}, 'name', {_quote(name)}, 'n', {n}, 'least', {least}, 'most', {most}, 'need', {need}, 'grams', {grams}, 'twice', {twice})")
+    any_ = f"exists(array(lower(`{text}`)), low -> {' OR '.join(f'contains(low, {_quote(a)})' for a in anchors(threshold, templates))})"
+    words = f"filter(split(regexp_replace(lower(line), '{BREAK}', ' '), ' '), x -> x <> '')"
+    run = (
+        f"flatten(transform(split(`{text}`, '\\n'), (line, i) -> CASE WHEN array_contains(`{found}`.line, i) THEN array(named_struct('i', i, 'w', '|')) "
+        f"ELSE transform({words}, x -> named_struct('i', i, 'w', x)) END))"
+    )
+    known = ", ".join(_quote(g) for g in sorted(every))
+    seen = f"filter(transform(slice(a, 2, greatest(size(a) - 1, 0)), (y, p) -> named_struct('p', p, 'i', a[p].i, 'g', concat(a[p].w, ' ', y.w))), s -> s.g IN ({known}))"
+    more = "aggregate(t.twice, 0, (acc, d) -> acc + greatest(least(size(filter(b, x -> x = d.g)), d.n) - 1, 0))"
+    common = f"element_at(transform(array(transform(slice(h, k + 1, j + 1), x -> x.g)), b -> size(array_distinct(b)) + {more}), 1)"
+    scored = f"named_struct('c', {common}, 'size', greatest(e.p - s.p + 1, t.least), 'end', e.p)"
+    ends = f"transform(slice(h, k + 1, t.most), (e, j) -> CASE WHEN j + 1 >= t.need AND e.p - s.p < t.most THEN {scored} END)"
+    tried = f"array_max(transform(filter({ends}, e -> e IS NOT NULL), e -> named_struct('dice', 2D * e.c / (e.size + t.n), 'c', e.c, 'end', e.end)))"
+    best = f"transform(h, (s, k) -> CASE WHEN k + t.need <= size(h) AND h[k + t.need - 1].p - s.p < t.most THEN named_struct('best', {tried}, 'start', s.p, 'line', s.i) END)"
+    of = f"element_at(transform(array(filter(seen, s -> array_contains(t.grams, s.g))), h -> filter({best}, x -> x.best.dice >= {threshold!r}D)), 1)"
+    order = "named_struct('less', -x.best.c, 'far', -x.best.dice, 'k', t.k, 'start', x.start, 'end', x.best.end, 'line', x.line, 'license', t.name)"
+    all_ = f"flatten(transform(array({', '.join(rows)}), t -> transform({of}, x -> {order})))"
+    apart = "aggregate(sort_array(c), filter(c, x -> false), (acc, x) -> CASE WHEN exists(acc, o -> x.start <= o.end AND o.start <= x.end) THEN acc ELSE concat(acc, array(x)) END)"
+    pick = f"element_at(transform(array({all_}), c -> {apart}), 1)"
+    got = f"element_at(transform(array({run}), a -> element_at(transform(array({seen}), seen -> {pick}), 1)), 1)"
+    none = "cast(array() AS array<struct<line: int, license: string, dice: double>>)"
+    return f"CASE WHEN {any_} THEN transform({got}, x -> named_struct('line', x.line, 'license', x.license, 'dice', -x.far)) ELSE {none} END"
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """(id, notices array<struct<line, license, dice>>) of every row."""
-    found = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).withColumn("m", matches("text", threshold))
-    return found.select(F.col("id").alias(id), F.expr("transform(m, x -> named_struct('line', x.line, 'license', x.best.name, 'dice', x.best.dice))").alias("notices"))
+    lines = "transform(m, x -> named_struct('line', x.line, 'license', x.best.name, 'dice', x.best.dice))"
+    every = f"array_sort(concat({lines}, {windows('text', 'm', threshold)}))"
+    # m is bound, not a column: that would be computed anew wherever it stands
+    once = F.expr(f"element_at(transform(array({matches('text', threshold)}), m -> {every}), 1)")
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).select(F.col("id").alias(id), once.alias("notices"))
+
 
 
 def oracle(threshold: float = 0.8, templates: tuple = TEMPLATES) -> str:
-    """The digest of op4 in DuckDB: lines unnested, bigrams counted, bags joined."""
+    """The digest of op4 in DuckDB as far as whole lines go: lines unnested, bigrams counted, bags joined."""
     values = []
     for k, (name, body) in enumerate(templates):
         bag = Counter(bigrams(body))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -192,6 +193,50 @@ def test_license_scan_equals_brute_force(spark, odd, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def brute_windows(text, threshold=0.8):
+    """The best coefficient of any window of a text without line notices, by name."""
+    w, best = licenses.bigrams(text), {}
+    for name, body in licenses.TEMPLATES + licenses.HEADERS:
+        t = Counter(licenses.bigrams(body))
+        n = sum(t.values())
+        for a in range(n if n < licenses.SHORT else 1, min(len(w), 2 * n) + 1):
+            for s in range(len(w) - a + 1):
+                dice = 2 * sum((Counter(w[s : s + a]) & t).values()) / (a + n)
+                if dice >= threshold:
+                    best[name] = max(best.get(name, 0), dice)
+    return best
+
+
+def test_license_windows_cross_lines_and_stand_inside_longer_ones(spark):
+    mit = [b for name, b in licenses.HEADERS if name == "MIT"][1]
+    gpl = [b for name, b in licenses.TEMPLATES if name == "GPL-3.0"][1]
+    around = "Some words of a text come before it, quite a few of them.", "And others follow it in the same place."
+    texts = {
+        1: "Copyright 2020 Foo. Licensed under the MIT License.",
+        2: mit,
+        3: "Copyright 2020\n\n" + textwrap.fill(mit, 75),
+        4: "x\n" + textwrap.fill(gpl, 70, initial_indent="# ", subsequent_indent="# ") + "\ny",
+        5: f"{around[0]} {gpl.replace('any later version', 'a later one')} {around[1]}",
+        6: f"{around[0]} Licensed under the Apache\nLicense, Version 2.0. {around[1]} Released under the BSD\n3-Clause License.",
+        7: "A text licensed under CC BY-SA 3.0, software of the public, under the terms of a license as published.",
+        8: f"{around[0]} {gpl.replace('you can redistribute it and/or modify it', 'modify it')} {around[1]}",
+    }
+    got = {x["doc_id"]: x["notices"] for x in licenses.scan(corpus(spark, texts)).collect()}
+    named = {k: [(n["line"], n["license"]) for n in v] for k, v in got.items()}
+    assert named == {1: [(0, "MIT")], 2: [(0, "MIT")], 3: [(2, "MIT")], 4: [(1, "GPL-3.0")], 5: [(0, "GPL-3.0")], 6: [(0, "Apache-2.0"), (1, "BSD-3-Clause")], 7: [], 8: [(0, "GPL-3.0")]}
+    for k in (1, 4, 5, 7, 8):
+        want = brute_windows(texts[k])
+        assert {n["license"]: round(n["dice"], 9) for n in got[k]} == {x: round(d, 9) for x, d in want.items() if x in {n["license"] for n in got[k]}} and bool(want) == bool(got[k])
+
+
+def test_license_anchors_are_in_every_window_that_matches():
+    some = set(licenses.anchors())
+    for _, body in licenses.TEMPLATES + licenses.HEADERS:
+        grams = licenses.bigrams(body)
+        without = sum(1 for g in grams if not some & set(g.split(" ")))
+        assert without < licenses._bounds(len(grams), 0.8)[2]
+
+
 # 5 -----------------------------------------------------------------------------------------
 
 
