@@ -245,16 +245,15 @@ def report(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: i
 
 def clean(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without the lines that go, other columns as they are. A document goes
-    too if it loses lines and none that takes part in the dedup is left, such as a copy of
-    which only headings of a word or two would stay. Lines keep their order."""
+    too if it loses lines and no word is left; near copies are for the Jaccard stage. Lines
+    keep their order."""
     gone = dropped(docs, id, text, min_words)
     by_row = gone.groupBy(F.col("id").alias("__i"), F.col("fp").alias("__f")).agg(F.collect_list("nth").alias("__gone"))
     by_row = small_side(materialize(by_row, "lines-by-row"), 100_000)
     joined = docs.join(by_row, (F.xxhash64(text_of(text)) == F.col("__f")) & F.col(id).eqNullSafe(F.col("__i")), "left")
     left = F.expr(f"array_join(filter(split(`{text}`, '\\n', -1), (x, k) -> NOT array_contains(__gone, k)), '\\n')")
     new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
-    word, blank = "[^ \\t\\n\\x0B\\f\\r]", "[ \\t\\x0B\\f\\r]"
-    whole = F.col("__new").rlike(f"(?:{word}+{blank}+){{{min_words - 1}}}{word}")
+    whole = F.col("__new").rlike("[^\\x00- !-/:-@\\[-`{-\\x7f]")  # a word: neither white space nor ASCII punctuation
     kept = joined.withColumn("__new", new).filter(F.col("__gone").isNull() | whole)
     return kept.select(*[F.col("__new").alias(c) if c == text else F.col(c) for c in docs.columns])
 

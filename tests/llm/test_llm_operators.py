@@ -353,6 +353,13 @@ def test_line_dedup_equals_brute_force(spark, odd, empty):
     assert cleaned.count() == len(ODD)
 
 
+def test_cleaning_keeps_the_unique_short_lines_of_a_document(spark):
+    note = "Released under the MIT License."
+    texts = {1: f"a first document of some words\n{note}", 2: f"red\nblue\n{note}\ngreen", 3: f"日本語の文章がここにある\n{note}", 4: f"{note}\n---\n"}
+    got = {x["doc_id"]: x["text"] for x in line_dedup.clean(corpus(spark, texts)).collect()}
+    assert got == {1: texts[1], 2: "red\nblue\ngreen", 3: "日本語の文章がここにある"}
+
+
 def test_within_one():
     pairs = {("abc", "abc"): True, ("abc", "abd"): True, ("abc", "ab"): True, ("abc", "xabc"): True, ("abc", "bca"): False, ("ab", "ba"): False, ("", "a"): True, ("a", "bcd"): False}
     assert all(line_dedup.within_one(*k) == v == line_dedup.within_one(*reversed(k)) for k, v in pairs.items())
