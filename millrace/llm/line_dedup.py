@@ -13,7 +13,10 @@ share neither half with another one of fitting length emit no variants. In the j
 each line is verified against the earliest one of each key; only where that fails does
 it meet the others, so the many lines of one hot key make no square of pairs.
 
-Lines under ``min_words`` words stay. Defined results: null and empty texts have no
+Lines under ``min_words`` words stay in ``report``, as its SQL has it. In ``clean`` every
+line with a word takes part: those under ``min_words`` words and ``POINTS`` code points
+go only if an earlier line equals them, since one edit of few code points is another
+word or number; lines of nothing but white space and ASCII punctuation stay. Defined results: null and empty texts have no
 lines to drop; null ids come before all others; rows equal in id and text are one row
 to the dedup and each get its result; an empty table gives an empty result; other
 columns pass through ``clean`` unread.
@@ -32,6 +35,9 @@ from millrace.llm.common import materialize, slices, small_batches, small_side,
 from millrace.llm.hashing import mix
 
 MIN_WORDS = 5
+#: A line of so many code points is compared with one edit whatever its words: scripts without spaces have few.
+POINTS = 25
+_LETTER = np.array([chr(b).isalnum() for b in range(128)])
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _up, _down = np.ones(1, np.uint64), np.ones(1, np.uint64)
@@ -51,7 +57,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Lines:
     """The lines of some texts in normal form: code points, bounds, where they stand."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS, short: bool = False):
         cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
         heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         text_at = heads[offsets]
@@ -77,7 +83,14 @@ class Lines:
         n = np.bincount(line[keep], minlength=len(first)) if len(first) else np.zeros(0, np.int64)
         end = np.cumsum(n)
         words = np.bincount(line[at], minlength=len(first)) if len(first) else n
-        pick = np.flatnonzero(words >= min_words)
+        near = words >= min_words
+        if short:
+            ink = np.flatnonzero(~white & ((cp >= 128) | _LETTER[np.minimum(cp, 127)]))
+            near |= n >= POINTS
+            pick = np.flatnonzero(np.bincount(line[ink], minlength=len(first)) > 0) if len(first) else np.flatnonzero(near)
+        else:
+            pick = np.flatnonzero(near)
+        self.near = near[pick]  # whether one edit counts
         row = np.searchsorted(text_at, first, "right") - 1
         # an empty text has the bounds of the next one: the last of those that begin here owns the line
         nth = np.arange(len(first)) - np.searchsorted(first, text_at[row])
@@ -135,22 +148,22 @@ def normal(line: str) -> str:
     return " ".join(w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in out).split(" ") if w)
 
 
-def _signed(u: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(u).view(np.int64))
+def _signed(u: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    return pa.array(np.ascontiguousarray(u).view(np.int64), mask=null)
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, fp, nth, h, keys) of every line that takes part."""
+def _lines(docs: DataFrame, min_words: int, short: bool) -> DataFrame:
+    """(id, fp, nth, h, keys) of every line that takes part; no keys where only equal lines count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("t"))
             for lo, _, d, o in slices(data, offsets):
-                x = Lines(d, o, min_words)
+                x = Lines(d, o, min_words, short)
                 if len(x.hash):
                     row = pa.array(x.row + lo)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("id").take(row), batch.column("fp").take(row), pa.array(x.nth.astype(np.int32)), _signed(x.hash), *[_signed(k) for k in x.halves().T]],
+                        [batch.column("id").take(row), batch.column("fp").take(row), pa.array(x.nth.astype(np.int32)), _signed(x.hash), *[_signed(k, ~x.near) for k in x.halves().T]],
                         ["id", "fp", "nth", "h", "k1", "k2", "k3", "k4"],
                     )
 
@@ -158,7 +171,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, fp long, nth int, h long, k1 long, k2 long, k3 long, k4 long")
 
 
-def _variants(texts: DataFrame, min_words: int) -> DataFrame:
+def _variants(texts: DataFrame, min_words: int, short: bool) -> DataFrame:
     """(h, key) of the wanted lines of these texts, and (h, line) once each, as one table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +179,7 @@ def _variants(texts: DataFrame, min_words: int) -> DataFrame:
             data, offsets = utf8(batch.column("t"))
             want = [dict(zip(n, h, strict=True)) for n, h in zip(batch.column("nths").to_pylist(), batch.column("hs").to_pylist(), strict=True)]
             for lo, _, d, o in slices(data, offsets):
-                x = Lines(d, o, min_words)
+                x = Lines(d, o, min_words, short)
                 mine = x.hash.view(np.int64)
                 for k in range(len(mine)):
                     if want[x.row[k] + lo].get(int(x.nth[k])) != mine[k]:
@@ -192,23 +205,24 @@ def _verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return pairs.join(a, "h").join(b, "e").select("h", "e", "la", "lb").mapInArrow(run, "h long, e long, good boolean")
 
 
-def dropped(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dropped(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """(id, fp, nth, edited): the lines that go, by row (id and hash of its text) and place;
-    edited is whether only a line within one edit, not an equal one, comes before."""
+    edited is whether only a line within one edit, not an equal one, comes before. With
+    ``short`` every line with a word takes part."""
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(id).alias("id"), F.xxhash64(text_of(text)).alias("fp"), text_of(text).alias("t"))
-    found = materialize(_lines(source, min_words), "lines")
+    found = materialize(_lines(source, min_words, short), "lines")
     place = F.struct("id", "fp", "nth")
     firsts = materialize(found.groupBy("h").agg(F.min(place).alias("at"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("k3").alias("k3"), F.first("k4").alias("k4")), "line-firsts")
 
-    halves = firsts.select("h", "at", F.explode(F.array("k1", "k2", "k3", "k4")).alias("key"))
+    halves = firsts.select("h", "at", F.explode(F.array("k1", "k2", "k3", "k4")).alias("key")).filter("key IS NOT NULL")
     met = halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
     near = materialize(halves.join(met, "key").select("h", "at").distinct(), "lines-near")
     asked = near.groupBy(F.col("at.id").alias("id"), F.col("at.fp").alias("fp")).agg(F.collect_list("at.nth").alias("nths"), F.collect_list("h").alias("hs"))
     asked = small_side(materialize(asked.select(F.col("id").alias("i"), F.col("fp").alias("f"), "nths", "hs"), "lines-asked"), 100_000)
     texts = source.join(asked, (F.col("fp") == F.col("f")) & F.col("id").eqNullSafe(F.col("i")))
-    both = materialize(_variants(texts, min_words), "line-variants")
+    both = materialize(_variants(texts, min_words, short), "line-variants")
     lines = both.filter("line IS NOT NULL").select("h", "line").dropDuplicates(["h"])
     keyed = both.filter("key IS NOT NULL").select("h", "key").distinct().join(near, "h")
 
@@ -247,7 +261,7 @@ def clean(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: in
     """The documents without the lines that go, other columns as they are. A document goes
     too if it loses lines and no word is left; near copies are for the Jaccard stage. Lines
     keep their order."""
-    gone = dropped(docs, id, text, min_words)
+    gone = dropped(docs, id, text, min_words, short=True)
     by_row = gone.groupBy(F.col("id").alias("__i"), F.col("fp").alias("__f")).agg(F.collect_list("nth").alias("__gone"))
     by_row = small_side(materialize(by_row, "lines-by-row"), 100_000)
     joined = docs.join(by_row, (F.xxhash64(text_of(text)) == F.col("__f")) & F.col(id).eqNullSafe(F.col("__i")), "left")

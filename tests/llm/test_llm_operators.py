@@ -360,6 +360,13 @@ def test_cleaning_keeps_the_unique_short_lines_of_a_document(spark):
     assert got == {1: texts[1], 2: "red\nblue\ngreen", 3: "日本語の文章がここにある"}
 
 
+def test_cleaning_drops_repeats_of_short_lines_and_of_scripts_without_spaces(spark):
+    long = "これは空白のない長い一行の文章であり、同じものが二つの文書に現れるので後のものは消える"
+    texts = {1: f"Read more\n{long}\nChapter 1\n}}\nfirst", 2: f"read  more\n{long}\nChapter 2\n}}\nsecond", 3: f"{long[:-1]}\nthird\nthird"}
+    got = {x["doc_id"]: x["text"] for x in line_dedup.clean(corpus(spark, texts)).collect()}
+    assert got == {1: texts[1], 2: "Chapter 2\n}\nsecond", 3: "third"}
+
+
 def test_within_one():
     pairs = {("abc", "abc"): True, ("abc", "abd"): True, ("abc", "ab"): True, ("abc", "xabc"): True, ("abc", "bca"): False, ("ab", "ba"): False, ("", "a"): True, ("a", "bcd"): False}
     assert all(line_dedup.within_one(*k) == v == line_dedup.within_one(*reversed(k)) for k, v in pairs.items())
