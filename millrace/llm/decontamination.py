@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact verification.
 
 For every benchmark item of w words, each window of w words of a document has a 64-bit
-SimHash of its words. The fingerprints are cut into radius + 1 blocks; two within the
+SimHash of its words; a document of fewer words is one window. The fingerprints are cut into radius + 1 blocks; two within the
 radius agree on a block, so the tables of the blocks yield all of them. A candidate
 counts only if its weighted similarity (bags of five-word shingles, sum of minima over
 sum of maxima) reaches the threshold.
@@ -137,21 +137,20 @@ class Benchmark:
         out: dict[int, tuple[float, int, int]] = {}
         places, holders = self._seeds(g)
         for w in np.unique(self.size[holders]).tolist() if len(places) else ():
-            if len(h) < w:
-                continue
             items, index = self.by_size[w]
+            span = min(w, len(h))  # a shorter text is one window
             seeds = np.unique(places[self.size[holders] == w])
-            reach = np.zeros(len(h) - w + 2, np.int64)  # starts whose window holds a seed
-            np.add.at(reach, np.clip(seeds - (w - self.shingle), 0, len(reach) - 1), 1)
+            reach = np.zeros(len(h) - span + 2, np.int64)  # starts whose window holds a seed
+            np.add.at(reach, np.clip(seeds - (span - self.shingle), 0, len(reach) - 1), 1)
             np.add.at(reach, np.minimum(seeds + 1, len(reach) - 1), -1)
             starts = np.flatnonzero(np.cumsum(reach)[:-1] > 0)
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
                 for lo in range(0, len(run), 4096):
                     part = run[lo : lo + 4096]
-                    prints = simhash(h[part[0] : part[-1] + w], w)
+                    prints = simhash(h[part[0] : part[-1] + span], span)
                     for q, s in zip(*index.near(prints), strict=True):
                         at, item = int(part[q]), int(items[s])
-                        sim = similarity(g[at : at + w - self.shingle + 1], self.bags[item])
+                        sim = similarity(g[at : at + span - self.shingle + 1], self.bags[item])
                         if 100 * sim >= self.percent - 1e-9 and (item not in out or sim > out[item][0]):
                             out[item] = (sim, at, int(np.bitwise_count(prints[q] ^ index.prints[s])))
         return out
@@ -189,7 +188,7 @@ def scan(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "tex
                     some = bench.near(h, at)
                     for k in range(hi - lo):
                         best = bench.hits(h[at[k] : at[k + 1]]) if some[k] else {}
-                        found.append([{"item": bench.ids[i], "similarity": s, "start": a, "n_words": size[i], "distance": b} for i, (s, a, b) in best.items()])
+                        found.append([{"item": bench.ids[i], "similarity": s, "start": a, "n_words": min(size[i], int(at[k + 1] - at[k])), "distance": b} for i, (s, a, b) in best.items()])
                 before = batch.column("hits")
                 if before.null_count < len(before):
                     found = [(x or []) + y for x, y in zip(before.to_pylist(), found, strict=True)]

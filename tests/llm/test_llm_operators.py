@@ -311,6 +311,32 @@ def test_decontamination_equals_brute_force(spark, odd, empty):
     assert all(x["hits"] == [] for x in decontamination.scan(odd, bench.limit(0)).collect())
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    r = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = {k: " ".join(r.choice(vocabulary) for _ in range(r.randrange(12, 60))) for k in range(20)}
+    texts = {}
+    for k in range(160):
+        w = items[r.randrange(20)].split()
+        cut = r.randrange(len(w) // 2)
+        texts[k] = " ".join(w[cut // 2 : len(w) - (cut - cut // 2)])
+    want = {}
+    for k, t in texts.items():
+        w, want[k] = plain(t), set()
+        for i, x in items.items():
+            b = plain(x)
+            bag = Counter(tuple(b[j : j + 5]) for j in range(len(b) - 4))
+            for s in range(max(1, len(w) - len(b) + 1)):
+                c = Counter(tuple(w[j : j + 5]) for j in range(s, min(len(w), s + len(b)) - 4))
+                if 100 * sum((c & bag).values()) >= 75 * sum((c | bag).values()):
+                    want[k].add(i)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = decontamination.scan(corpus(spark, texts), bench).collect()
+    assert {x["doc_id"]: {h["item"] for h in x["hits"]} for x in found} == want
+    short = [x for x in found if x["hits"] and len(plain(texts[x["doc_id"]])) < len(plain(items[x["hits"][0]["item"]]))]
+    assert len(short) > 20 and all(x["hits"][0]["n_words"] == len(plain(texts[x["doc_id"]])) for x in short)
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     g = np.random.default_rng(1)
     stored = g.integers(0, 1 << 63, 50, dtype=np.uint64)
