@@ -80,7 +80,7 @@ def _signed(u: list | np.ndarray) -> pa.Array:
 
 
 def sketch(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
-    """(id, n, cls): the size of each row's set and its class, null where empty."""
+    """(id, n, cls, fp): the size of each row's set and its class, null where empty, and the hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,10 +88,10 @@ def sketch(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
             for k, u in _sets(batch, size):
                 n[k] = len(u)
                 cls[k] = class_of(u) if len(u) else 0
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(cls.view(np.int64), mask=n == 0)], ["id", "n", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(cls.view(np.int64), mask=n == 0), batch.column("fp")], ["id", "n", "cls", "fp"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("id"), text_of(text).alias("t")).mapInArrow(run, f"id {kind}, n long, cls long")
+    return docs.select(F.col(id).alias("id"), text_of(text).alias("t"), F.xxhash64(text_of(text)).alias("fp")).mapInArrow(run, f"id {kind}, n long, cls long, fp long")
 
 
 def _tokens(texts: DataFrame, size: int, percent: int | None) -> DataFrame:
@@ -258,7 +258,7 @@ def _can_link(percent: int):
 
 
 def links(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(rows, roots): each row's (id, n, cls), and (cls, root) of the classes that have links."""
+    """(rows, roots): each row's (id, n, cls, fp), and (cls, root) of the classes that have links."""
     spark = docs.sparkSession
     small_batches(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -335,20 +335,26 @@ def _across(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 def group(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) of every row; the component is the least id that links reach."""
+    return _grouped(docs, id, text, size, percent).drop("__fp")
+
+
+def _grouped(docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
+    """The result of ``group``, with the hash of each row's text as __fp."""
     rows, roots = links(docs, id, text, size, percent)
     least = rows.filter("cls IS NOT NULL AND id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("least"))
     named = least.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     of = named.groupBy("root").agg(F.min("least").alias("component_id"))
     names = named.join(of, "root").select("cls", "component_id")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return rows.join(names, "cls", "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return rows.join(names, "cls", "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("fp").alias("__fp"))
 
 
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents, with one row of each group: that of the least id. Rows without id stay."""
-    grouped = group(docs, id, text, size, percent)
-    gone = grouped.filter(F.col(id) != F.col("component_id")).select(id).distinct()
-    kept = docs.join(gone, id, "left_anti")
+    """The documents, with one row of each group: that of the least id. Rows without id stay.
+    Of rows that share an id each is judged by its own text."""
+    grouped = _grouped(docs, id, text, size, percent)
+    gone = grouped.filter(F.col(id) != F.col("component_id")).select(F.col(id).alias("__i"), F.col("__fp").alias("__f")).distinct()
+    kept = docs.join(gone, (F.col(id) == F.col("__i")) & (F.xxhash64(text_of(text)) == F.col("__f")), "left_anti")
     # rows that repeat an id with a text are copies of one document
     once = Window.partitionBy(F.col(id), F.xxhash64(text)).orderBy(F.lit(1))
     return kept.withColumn("__nth", F.row_number().over(once)).filter(F.col(id).isNull() | (F.col("__nth") == 1)).drop("__nth")

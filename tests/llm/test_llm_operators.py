@@ -170,6 +170,13 @@ def test_ngram_join_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and kept.filter("doc_id = 4").count() == 2 and kept.filter("doc_id IS NULL").count() == 1
 
 
+def test_keep_first_judges_rows_that_share_an_id_by_their_text(spark):
+    near = "one text of a good many words that another row repeats with no change at all"
+    rows = [(1, near), (2, near), (2, "what this row of the same id says stands nowhere else in the table")]
+    kept = ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(x) for x in kept} == {rows[0], rows[2]}
+
+
 # 4 -----------------------------------------------------------------------------------------
 
 
