@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,17 +19,22 @@ from millrace.sources.readers import spread
 BATCH_BYTES = 4 << 20
 #: Bytes of text that the vectorised kernels take at once.
 SLICE_BYTES = 1 << 20
+#: Bytes of a written table that may be broadcast; Parquet holds rows in a third to a tenth of their memory.
+SMALL_BYTES = 12 << 20
 _own_dir: list[str] = []
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset (tests, local mode)."""
+    """The folder of spark.checkpoint.dir; one of our own only where that is unset in local
+    mode, as in tests. On a cluster executors would not see it: there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         hadoop = spark.sparkContext.getCheckpointDir()
         found = hadoop if hadoop else None
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="millrace-"))
         found = f"file://{_own_dir[0]}"
@@ -61,13 +67,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Deletes a materialized table that nothing reads any more."""
+def _paths(df: DataFrame) -> list[str]:
+    """The materialized tables that a DataFrame reads."""
+    files = df.inputFiles()[:1]
+    return [path for _, path in _made if any(path.rsplit("/", 1)[1] in f for f in files)]
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more."""
+    for df in tables:
+        for path in _paths(df):
+            _made[:] = [one for one in _made if one[1] != path]
+            _drop(df.sparkSession, path)
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of a materialized table as it lies in the shared folder."""
     spark = df.sparkSession
-    for one in list(_made):
-        if any(one[1].rsplit("/", 1)[1] in f for f in df.inputFiles()[:1]):
-            _made.remove(one)
-            _drop(spark, one[1])
+    total = 0
+    for path in _paths(df):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        total += where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return total
 
 
 def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
@@ -75,6 +96,18 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each made longer until no column of the table has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(column: str = "text") -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -111,10 +144,11 @@ def slices(data: np.ndarray, offsets: np.ndarray, most: int = SLICE_BYTES) -> It
         lo = hi
 
 
-def small_side(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """A written table of a few narrow columns, marked for broadcast if it has at most ``most``
-    rows (some 16 MB); a larger one is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= most else df  # a count of a written table reads footers alone
+def small_side(df: DataFrame, most: int = 500_000, most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """A materialized table, marked for broadcast if it has at most ``most`` rows and
+    ``most_bytes`` as written; a larger one is joined by a shuffle."""
+    small = written_bytes(df) <= most_bytes and df.count() <= most  # such a count reads footers alone
+    return F.broadcast(df) if small else df
 
 
 def partitions_for(spark: SparkSession, rows: int, per_partition: int = 500_000) -> int:

@@ -4,22 +4,26 @@ A line is compared by its normal form: A-Z in lower case, white space as one spa
 ends trimmed. It goes if an earlier line (by document id, then place) lies within one
 edit of it: one code point put in, taken out or changed. Equal lines meet by their
 hash. For the rest every line emits its variants, itself and each result of deleting
-one code point, as hashed keys; lines that share a key are joined, and a pair counts
-only if its edit distance is verified.
+one code point, as hashed keys with the place of the deletion, and equal keys are
+joined. Lines that agree on key and place differ by a change there; a line that equals
+a variant of another differs by what that one lacks. So each line needs to meet only
+the earliest of either kind, never all lines of a key, and the edit distance of such a
+pair is verified. A key holds one row for each distinct line that one code point put
+into the same string can make: as many as it has places and letters to put there, not
+as many as the table has rows.
 
 Most lines have no such neighbour. Of two lines within an edit, the shorter of length
 m, either the first m div 2 code points agree or the last m - m div 2 do, so lines that
-share neither half with another one of fitting length emit no variants. In the join
-each line is verified against the earliest one of each key; only where that fails does
-it meet the others, so the many lines of one hot key make no square of pairs.
-
-Lines under ``min_words`` words stay in ``report``, as its SQL has it. In ``clean`` every
-line with a word takes part: those under ``min_words`` words and ``POINTS`` code points
-go only if an earlier line equals them, since one edit of few code points is another
-word or number; lines of nothing but white space and ASCII punctuation stay. Defined results: null and empty texts have no
-lines to drop; null ids come before all others; rows equal in id and text are one row
-to the dedup and each get its result; an empty table gives an empty result; other
-columns pass through ``clean`` unread.
+share neither half with another one of fitting length emit no variants.
+
+Every line with a word takes part. Those under ``MIN_WORDS`` words and ``POINTS`` code
+points go only if an earlier line equals them, since one edit of few code points is
+another word or number; lines of nothing but white space and ASCII punctuation stay.
+
+Defined results: null and empty texts have no lines to drop; null ids come before all
+others; rows equal in id and text are one row to the dedup and each get its result; an
+empty table gives an empty result; other columns, whatever their names, pass through
+``clean`` unread.
 """
 
 from __future__ import annotations
@@ -28,15 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, slices, small_batches, small_side, text_of, utf8
+from millrace.llm.common import materialize, release, slices, small_batches, small_side, text_of, unused, utf8
 from millrace.llm.hashing import mix
 
 MIN_WORDS = 5
 #: A line of so many code points is compared with one edit whatever its words: scripts without spaces have few.
 POINTS = 25
+#: Variants that a task gathers before it hands them on.
+GATHER = 200_000
 _LETTER = np.array([chr(b).isalnum() for b in range(128)])
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -57,7 +63,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Lines:
     """The lines of some texts in normal form: code points, bounds, where they stand."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS, short: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
         cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
         heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         text_at = heads[offsets]
@@ -83,13 +89,9 @@ class Lines:
         n = np.bincount(line[keep], minlength=len(first)) if len(first) else np.zeros(0, np.int64)
         end = np.cumsum(n)
         words = np.bincount(line[at], minlength=len(first)) if len(first) else n
-        near = words >= min_words
-        if short:
-            ink = np.flatnonzero(~white & ((cp >= 128) | _LETTER[np.minimum(cp, 127)]))
-            near |= n >= POINTS
-            pick = np.flatnonzero(np.bincount(line[ink], minlength=len(first)) > 0) if len(first) else np.flatnonzero(near)
-        else:
-            pick = np.flatnonzero(near)
+        near = (words >= MIN_WORDS) | (n >= POINTS)
+        ink = np.flatnonzero(~white & ((cp >= 128) | _LETTER[np.minimum(cp, 127)]))
+        pick = np.flatnonzero(np.bincount(line[ink], minlength=len(first)) > 0) if len(first) else np.flatnonzero(near)
         self.near = near[pick]  # whether one edit counts
         row = np.searchsorted(text_at, first, "right") - 1
         # an empty text has the bounds of the next one: the last of those that begin here owns the line
@@ -118,16 +120,15 @@ class Lines:
             out.append(self._of((self.sum[self.start + self.size] - self.sum[from_]) * down[self.size - tail], m, 2))
         return np.stack(out, axis=1)
 
-    def variants(self, k: int) -> np.ndarray:
-        """Keys of line k: itself, and without one code point (the first of each run of equal ones)."""
+    def variants(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(key, place) of line k: without each of its code points, and itself at place -1."""
         up, down = _powers(int(self.size[k]) + 2)
         s, n = int(self.start[k]), int(self.size[k])
-        p = self.point[s : s + n]
-        cut = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        cut = np.arange(n)
         head = self.sum[s + cut] - self.sum[s]
         rest = (self.sum[s + n] - self.sum[s + cut + 1]) * down[1]
-        less = self._of(head + rest, np.full(len(cut), n - 1), 0)
-        return np.unique(np.append(less, self.hash[k]))
+        less = self._of(head + rest, np.full(n, n - 1), 0)
+        return np.append(less, self.hash[k]), np.append(cut, -1).astype(np.int32)
 
 
 def within_one(a: str, b: str) -> bool:
@@ -152,14 +153,14 @@ def _signed(u: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
     return pa.array(np.ascontiguousarray(u).view(np.int64), mask=null)
 
 
-def _lines(docs: DataFrame, min_words: int, short: bool) -> DataFrame:
-    """(id, fp, nth, h, keys) of every line that takes part; no keys where only equal lines count."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """(id, fp, nth, h, k1 to k4) of every line that takes part; no keys where only equal lines count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("t"))
             for lo, _, d, o in slices(data, offsets):
-                x = Lines(d, o, min_words, short)
+                x = Lines(d, o)
                 if len(x.hash):
                     row = pa.array(x.row + lo)
                     yield pa.RecordBatch.from_arrays(
@@ -171,25 +172,46 @@ def _lines(docs: DataFrame, min_words: int, short: bool) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, fp long, nth int, h long, k1 long, k2 long, k3 long, k4 long")
 
 
-def _variants(texts: DataFrame, min_words: int, short: bool) -> DataFrame:
-    """(h, key) of the wanted lines of these texts, and (h, line) once each, as one table."""
+def _variants(texts: DataFrame) -> DataFrame:
+    """(id, fp, nth, h, key, place, line) of the wanted lines of these texts: a row for each variant, and one with the line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("t"))
-            want = [dict(zip(n, h, strict=True)) for n, h in zip(batch.column("nths").to_pylist(), batch.column("hs").to_pylist(), strict=True)]
-            for lo, _, d, o in slices(data, offsets):
-                x = Lines(d, o, min_words, short)
-                mine = x.hash.view(np.int64)
-                for k in range(len(mine)):
-                    if want[x.row[k] + lo].get(int(x.nth[k])) != mine[k]:
-                        continue
-                    line = "".join(map(chr, x.point[x.start[k] : x.start[k] + x.size[k]].tolist()))
-                    keys = x.variants(k)
-                    h = np.full(len(keys) + 1, mine[k])
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([None, *keys.view(np.int64).tolist()], pa.int64()), pa.array([line] + [None] * len(keys), pa.string())], ["h", "key", "line"])
-
-    return texts.select("t", "nths", "hs").mapInArrow(run, "h long, key long, line string")
+            want = batch.column("nths").to_pylist()
+            for lo, hi, d, o in slices(data, offsets):
+                x = Lines(d, o)
+                at = np.searchsorted(x.row, np.arange(hi - lo + 1))
+                held, n = [], 0
+                for r in range(hi - lo):
+                    own = slice(at[r], at[r + 1])
+                    for k in (np.flatnonzero(np.isin(x.nth[own], want[lo + r])) + at[r]).tolist():
+                        held.append((r + lo, int(x.nth[k]), x.hash[k], *x.variants(k), x.point[x.start[k] : x.start[k] + x.size[k]].astype(np.uint32).tobytes().decode("utf-32-le")))
+                        n += len(held[-1][3]) + 1
+                        if n > GATHER:
+                            yield _variant_rows(batch, held)
+                            held, n = [], 0
+                if held:
+                    yield _variant_rows(batch, held)
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "fp", "t", "nths").mapInArrow(run, f"id {kind}, fp long, nth int, h long, key long, place int, line string")
+
+
+def _variant_rows(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+    """Rows of some lines (row, nth, hash, keys, places, line); each line's text comes first, without a key."""
+    row, nth, h, keys, places, lines = zip(*held, strict=True)
+    many = np.array([len(k) + 1 for k in keys])
+    first = np.cumsum(many) - many
+    key, place, text = np.zeros(many.sum(), np.uint64), np.zeros(many.sum(), np.int32), np.full(many.sum(), None, object)
+    is_line = np.zeros(many.sum(), bool)
+    is_line[first] = True
+    key[~is_line], place[~is_line], text[first] = np.concatenate(keys), np.concatenate(places), lines
+    take = pa.array(np.repeat(row, many))
+    return pa.RecordBatch.from_arrays(
+        [batch.column("id").take(take), batch.column("fp").take(take), pa.array(np.repeat(nth, many).astype(np.int32)), _signed(np.repeat(np.array(h, np.uint64), many)), _signed(key, is_line), pa.array(place, mask=is_line), pa.array(text, pa.string())],
+        ["id", "fp", "nth", "h", "key", "place", "line"],
+    )
 
 
 def _verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -205,49 +227,62 @@ def _verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return pairs.join(a, "h").join(b, "e").select("h", "e", "la", "lb").mapInArrow(run, "h long, e long, good boolean")
 
 
-def dropped(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
+def _near(found: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(id, fp, nths): the rows whose lines emit variants, each distinct line where it stands first."""
+    halves = found.select("h", F.explode(F.array("k1", "k2", "k3", "k4")).alias("key")).filter("key IS NOT NULL")
+    met = halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
+    met = materialize(met, "lines-met")
+    near = materialize(halves.join(small_side(met), "key").select("h").distinct(), "lines-near")
+    release(met)
+    asked = firsts.join(small_side(near), "h").groupBy("at.id", "at.fp").agg(F.collect_list("at.nth").alias("nths"))
+    asked = materialize(asked.select(F.col("id").alias("i"), F.col("fp").alias("f"), "nths"), "lines-asked")
+    release(near)
+    return asked
+
+
+def _neighbours(variants: DataFrame) -> DataFrame:
+    """(h, e): each line with the earliest ones before it that a change, a code point less or one more makes of it."""
+    at = F.struct("id", "fp", "nth", "h")
+    alone = F.col("place") < 0
+    rows = variants.filter("key IS NOT NULL").withColumn("at", at).select("key", "place", "at")
+    whole, spot = Window.partitionBy("key"), Window.partitionBy("key", "place")
+    rows = rows.withColumn("own", F.min(F.when(alone, F.col("at"))).over(whole)).withColumn("cut", F.min(F.when(~alone, F.col("at"))).over(whole))
+    rows = rows.withColumn("same", F.min("at").over(spot))
+    before = F.when(alone, F.col("cut")).otherwise(F.least("same", "own"))
+    return rows.withColumn("e", before).filter("e < at").select("at.h", F.col("e.h").alias("e")).distinct()
+
+
+def dropped(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp, nth, edited): the lines that go, by row (id and hash of its text) and place;
-    edited is whether only a line within one edit, not an equal one, comes before. With
-    ``short`` every line with a word takes part."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    edited is whether only a line within one edit, not an equal one, comes before."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id).alias("id"), F.xxhash64(text_of(text)).alias("fp"), text_of(text).alias("t"))
-    found = materialize(_lines(source, min_words, short), "lines")
+    found = materialize(_lines(source), "lines")
     place = F.struct("id", "fp", "nth")
-    firsts = materialize(found.groupBy("h").agg(F.min(place).alias("at"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("k3").alias("k3"), F.first("k4").alias("k4")), "line-firsts")
-
-    halves = firsts.select("h", "at", F.explode(F.array("k1", "k2", "k3", "k4")).alias("key")).filter("key IS NOT NULL")
-    met = halves.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
-    near = materialize(halves.join(met, "key").select("h", "at").distinct(), "lines-near")
-    asked = near.groupBy(F.col("at.id").alias("id"), F.col("at.fp").alias("fp")).agg(F.collect_list("at.nth").alias("nths"), F.collect_list("h").alias("hs"))
-    asked = small_side(materialize(asked.select(F.col("id").alias("i"), F.col("fp").alias("f"), "nths", "hs"), "lines-asked"), 100_000)
-    texts = source.join(asked, (F.col("fp") == F.col("f")) & F.col("id").eqNullSafe(F.col("i")))
-    both = materialize(_variants(texts, min_words, short), "line-variants")
+    firsts = materialize(found.groupBy("h").agg(F.min(place).alias("at"), F.count("*").alias("c")), "line-firsts")
+    asked = _near(found, firsts)
+    texts = source.join(small_side(asked, 200_000), (F.col("fp") == F.col("f")) & F.col("id").eqNullSafe(F.col("i")))
+    both = materialize(_variants(texts), "line-variants")
+    release(asked)
+    # rows equal in id and text emit the same lines
     lines = both.filter("line IS NOT NULL").select("h", "line").dropDuplicates(["h"])
-    keyed = both.filter("key IS NOT NULL").select("h", "key").distinct().join(near, "h")
-
-    # each line against the earliest of each of its keys
-    least = keyed.groupBy("key").agg(F.min(F.struct("at", "h")).alias("e"), F.count("*").alias("c")).filter("c > 1").select("key", "e")
-    pairs = keyed.join(least, "key").filter("h <> e.h").select("h", F.col("e.h").alias("e")).distinct()
-    tried = materialize(_verify(pairs, lines), "lines-tried")
-    gone = tried.filter("good").select("h").distinct()
-    # those that still stand, against all others of a key whose earliest line was too far
-    open_ = tried.groupBy("h").agg(F.max("good").alias("good")).filter("NOT good").select("h")
-    seek = keyed.join(open_, "h").select(F.col("h").alias("x"), "key", F.col("at").alias("x_at"))
-    others = keyed.join(least, "key").filter("h <> e.h").select("h", "key", "at")
-    more = seek.join(others, "key").filter("at < x_at").select(F.col("x").alias("h"), F.col("h").alias("e")).distinct()
-    gone = gone.unionByName(_verify(more, lines).filter("good").select("h").distinct())
-    gone = materialize(gone.distinct(), "lines-gone")
-
-    repeat = found.select("id", "fp", "nth", "h").join(firsts.select("h", "at"), "h")
-    marked = repeat.join(gone.withColumn("edited", F.lit(True)), "h", "left")
+    pairs = materialize(_neighbours(both), "line-pairs")
+    gone = materialize(_verify(pairs, lines).filter("good").select("h").distinct(), "lines-gone")
+    release(both, pairs)
+
+    wanted = firsts.join(small_side(gone.withColumn("edited", F.lit(True)), 1_000_000), "h", "left").filter("c > 1 OR edited").select("h", "at", "edited")
+    wanted = materialize(wanted, "lines-wanted")
+    release(firsts, gone)
+    marked = found.select("id", "fp", "nth", "h").join(small_side(wanted), "h")
     later = ~place.eqNullSafe(F.col("at"))
-    return marked.filter(later | F.col("edited")).select("id", "fp", "nth", (~later).alias("edited")).distinct()
+    drops = materialize(marked.filter(later | F.col("edited")).select("id", "fp", "nth", (~later).alias("edited")).distinct(), "lines-dropped")
+    release(found, wanted)
+    return drops
 
 
-def report(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def report(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_lines, n_dropped, n_edited, dropped array<int>) of every row."""
-    gone = dropped(docs, id, text, min_words)
+    gone = dropped(docs, id, text)
     by_row = gone.groupBy(F.col("id").alias("i"), F.col("fp").alias("f")).agg(F.array_sort(F.collect_list("nth")).alias("dropped"), F.count_if("edited").alias("n_edited"))
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(text_of(text)).alias("fp"), F.size(F.split(text_of(text), "\n", -1)).cast("long").alias("n_lines"))
     joined = rows.join(by_row, (F.col("fp") == F.col("f")) & F.col("id").eqNullSafe(F.col("i")), "left")
@@ -257,30 +292,30 @@ def report(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: i
     )
 
 
-def clean(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def clean(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without the lines that go, other columns as they are. A document goes
     too if it loses lines and no word is left; near copies are for the Jaccard stage. Lines
     keep their order."""
-    gone = dropped(docs, id, text, min_words, short=True)
-    by_row = gone.groupBy(F.col("id").alias("__i"), F.col("fp").alias("__f")).agg(F.collect_list("nth").alias("__gone"))
-    by_row = small_side(materialize(by_row, "lines-by-row"), 100_000)
-    joined = docs.join(by_row, (F.xxhash64(text_of(text)) == F.col("__f")) & F.col(id).eqNullSafe(F.col("__i")), "left")
-    left = F.expr(f"array_join(filter(split(`{text}`, '\\n', -1), (x, k) -> NOT array_contains(__gone, k)), '\\n')")
-    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
-    whole = F.col("__new").rlike("[^\\x00- !-/:-@\\[-`{-\\x7f]")  # a word: neither white space nor ASCII punctuation
-    kept = joined.withColumn("__new", new).filter(F.col("__gone").isNull() | whole)
-    return kept.select(*[F.col("__new").alias(c) if c == text else F.col(c) for c in docs.columns])
-
-
-def oracle(min_words: int = MIN_WORDS) -> str:
+    i, f, gone, new = unused(docs, "i", "f", "gone", "new")
+    by_row = dropped(docs, id, text).groupBy(F.col("id").alias(i), F.col("fp").alias(f)).agg(F.collect_list("nth").alias(gone))
+    by_row = small_side(materialize(by_row, "lines-by-row"), 200_000)
+    joined = docs.join(by_row, (F.xxhash64(text_of(text)) == F.col(f)) & F.col(id).eqNullSafe(F.col(i)), "left")
+    left = F.expr(f"array_join(filter(split(`{text}`, '\\n', -1), (x, k) -> NOT array_contains(`{gone}`, k)), '\\n')")
+    whole = F.col(new).rlike("[^\\x00- !-/:-@\\[-`{-\\x7f]")  # a word: neither white space nor ASCII punctuation
+    kept = joined.withColumn(new, F.when(F.col(gone).isNull(), F.col(text)).otherwise(left)).filter(F.col(gone).isNull() | whole)
+    return kept.select(*[F.col(new).alias(c) if c == text else F.col(c) for c in docs.columns])
+
+
+def oracle() -> str:
     """The digest of op7 in DuckDB: lines of the same half are compared code point by code point."""
     return rf"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS nth FROM documents),
 norm AS (SELECT doc_id, nth, trim(regexp_replace(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM lines),
-part AS (SELECT * FROM norm WHERE len(string_split(line, ' ')) >= {min_words}),
+part AS (SELECT * FROM norm WHERE regexp_matches(line, '[0-9a-z]|[^\x00-\x7F]')),
 firsts AS (SELECT line, length(line) AS n, min({{'d': doc_id, 'n': nth}}) AS pos FROM part GROUP BY line),
-keyed AS (SELECT line, n, pos, m, 'h' || left(line, m // 2) AS k FROM firsts, LATERAL (SELECT unnest([n, n - 1]) AS m)
-          UNION ALL SELECT line, n, pos, m, 't' || right(line, m - m // 2) AS k FROM firsts, LATERAL (SELECT unnest([n, n - 1]) AS m)),
+near AS (SELECT * FROM firsts WHERE n >= {POINTS} OR len(string_split(line, ' ')) >= {MIN_WORDS}),
+keyed AS (SELECT line, n, pos, m, 'h' || left(line, m // 2) AS k FROM near, LATERAL (SELECT unnest([n, n - 1]) AS m)
+          UNION ALL SELECT line, n, pos, m, 't' || right(line, m - m // 2) AS k FROM near, LATERAL (SELECT unnest([n, n - 1]) AS m)),
 pairs AS (SELECT DISTINCT x.line AS line, e.line AS other FROM keyed x JOIN keyed e ON x.m = e.m AND x.k = e.k AND e.pos < x.pos AND abs(x.n - e.n) <= 1),
 gone AS (SELECT DISTINCT line FROM (SELECT line, other, CASE WHEN length(line) <= length(other) THEN line ELSE other END AS a, CASE WHEN length(line) <= length(other) THEN other ELSE line END AS b FROM pairs)
          WHERE CASE WHEN length(a) = length(b) THEN len(list_filter(range(1, length(a) + 1), lambda i: a[i] <> b[i])) <= 1

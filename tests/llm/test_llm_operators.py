@@ -360,7 +360,7 @@ def test_hamming_blocks_find_all_within_the_radius():
 
 def test_line_dedup_equals_brute_force(spark, odd, empty):
     r = random.Random(3)
-    base = ["a bb ccc d é", "A  bb\tccc d é ", "the quick brown fox jumps", "x y z w v u", "aa aa aa aa aaa", "one two three four"]
+    base = ["Read more", "read  more!", "- - -", "一二三四五六七八九十一二三四五六七八九十一二三四五六七", "a bb ccc d é", "A  bb\tccc d é ", "the quick brown fox jumps", "x y z w v u", "aa aa aa aa aaa", "one two three four"]
 
     def edit(s):
         for _ in range(r.choice([0, 0, 1, 1, 2])):
@@ -374,10 +374,11 @@ def test_line_dedup_equals_brute_force(spark, odd, empty):
         want[d] = []
         for k, raw in enumerate((texts[d] or "").split("\n")):
             line = line_dedup.normal(raw)
-            if len(line.split(" ")) >= 5:
-                if any(line_dedup.within_one(line, s) for s in seen):
+            if re.search("[0-9a-z]|[^\x00-\x7f]", line):
+                near = len(line.split(" ")) >= 5 or len(line) >= 25
+                if any(s == line or near and n and line_dedup.within_one(line, s) for s, n in seen):
                     want[d].append(k)
-                seen.append(line)
+                seen.append((line, near))
     assert {x["doc_id"]: x["dropped"] for x in line_dedup.report(corpus(spark, texts)).collect()} == want
     out = {(x["doc_id"], x["n_lines"]): x["n_dropped"] for x in line_dedup.report(odd).collect()}
     assert out[8, 41] == 39 and out[6, 1] == 0 and line_dedup.report(empty).count() == 0
