@@ -6,7 +6,8 @@ its last, and its label is that of the mean log-probability over all of them. Fo
 prediction the embedding is folded into one table for each filter position.
 
 The network is fitted on at most ``per_label`` documents of each label (a documented
-bound), taken by a hash of the id; prediction reads every byte of every text.
+bound), taken by a hash of the id, and on at most ``windows_per_doc`` windows of each of
+them; prediction reads every byte of every text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; rows
 without label are predicted but not learned from; with no labelled row at all every
@@ -223,3 +224,17 @@ def predict(docs: DataFrame, net: ByteNet | None, id: str = "doc_id", text: str
 def held_out(id: str = "doc_id") -> Column:
     """The fold that is never learned from: crc32 of the id as text, divisible by 5; so are rows without id."""
     return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def least_score(docs: DataFrame, net: ByteNet, id: str = "doc_id", text: str = "text", label: str = "lang", about: int = 1000, share: float = 0.005) -> float:
+    """The score under which no label explains a text: midway between chance and the score
+    that all but ``share`` of labelled documents reach that were not learned from, judged on
+    about ``about`` of them (a documented bound), taken by a hash of the id."""
+    chance = 1 / len(net.labels)
+    known = docs.filter(held_out(id) & F.col(label).isin(net.labels) & F.col(text).isNotNull() & F.col(id).isNotNull())
+    n = known.count()
+    place = F.pmod(F.xxhash64(F.lit("aim"), F.col(id)), F.lit(1 << 20))
+    some = known.filter(place < F.lit((1 << 20) * about // max(n, about)))
+    scored = predict(some, net, id, text, (label,)).filter(F.col("lang_pred") == F.col(label))
+    low = scored.agg(F.percentile("score", F.lit(share))).first()[0]
+    return (chance + low) / 2 if low is not None and len(net.labels) > 1 else 0.0

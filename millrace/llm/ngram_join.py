@@ -1,15 +1,16 @@
 """N-gram Jaccard self-join by filtering under several global orders of the shingles.
 
 Two sets whose Jaccard similarity reaches t must share a shingle among the first
-n - ceil(t n) + 1 of each, under any order that is the same for all sets. Three orders
+n - ceil(t n) + 1 of each, under any order that is the same for all sets. Four orders
 are used and their filters intersected before a pair is verified:
 
 1. by hash, with a prefix longer by n div 8: two sets that link meet in as many of its
    shingles, so a set with fewer that any other set has leaves at once;
 2. by how many of the remaining sets hold a shingle, rare ones first: what a single
    set holds cannot match, so it costs no row, and a passage that very many documents
-   share stands last and makes no pairs;
-3. by the same counts, ties the other way round.
+   share stands last and makes no pairs. The pairs that meet here are then held to
+3. what a single set holds first, the rest by a second hash, and
+4. the same by a third hash. A pair that misses under either goes unverified.
 
 Equal sets are one class from the start. Links serve the components: a first round
 verifies each class against the central class it shares most prefix shingles with, some
@@ -29,16 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, release, slices, small_batches, small_side, text_of, utf8
+from millrace.llm.common import materialize, release, slices, small_batches, small_side, text_of, unused, utf8
 from millrace.llm.components import components
 from millrace.llm.hashing import mix, windows, words
 
 WORDS, PERCENT = 5, 75
 #: Rounds against central classes before all remaining pairs are taken; any number gives the same result.
 ROUNDS = 1
+#: What sets the hashes of the two last orders apart.
+ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 #: Counts of a shingle are exact up to here; all higher ones are one class of the order.
 MOST_COUNTED = 65_536
 
@@ -190,13 +193,16 @@ def _counted(rows: DataFrame, tasks: int, most: int = MOST_COUNTED) -> DataFrame
 
 
 def _ordered(counted: DataFrame, tasks: int, percent: int) -> DataFrame:
-    """(cls, n, tokens, p, other): the shared tokens of each class, rare first, how many of
-    them are prefix, and the prefix of the order with the ties reversed. Classes whose
-    prefix holds no shared token are gone."""
+    """(cls, n, tokens, p, second, third): the shared tokens of each class, rare first, how many
+    of them are prefix, and as many under two other orders, by hashes of the tokens. Classes
+    whose prefix holds no shared token are gone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
+        def lists(xs: list[np.ndarray]) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate(xs)))
+
         def tell(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
             end = np.append(at[1:], len(rows))
@@ -205,13 +211,14 @@ def _ordered(counted: DataFrame, tasks: int, percent: int) -> DataFrame:
             keep = np.flatnonzero(p > 0)
             if not len(keep):
                 return
-            other, tokens = [], []
+            tokens, more = [], ([], [])
             for k in keep:
-                own = rows[at[k] : end[k]]
-                tokens.append(own[:, 3])
-                other.append(np.sort(own[np.lexsort((mix(own[:, 3].view(np.uint64)), own[:, 2]))[: p[k]], 3]))
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate(xs))) for xs in (tokens, other)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[at[keep], 0]), pa.array(n[keep]), lists[0], pa.array(p[keep].astype(np.int32)), lists[1]], ["cls", "n", "tokens", "p", "other"])
+                own = rows[at[k] : end[k], 3]
+                tokens.append(own)
+                for salt, to in zip(ORDERS, more, strict=True):
+                    order = mix(own.view(np.uint64) ^ salt)
+                    to.append(np.sort(own[np.argpartition(order, p[k] - 1)[: p[k]]]) if p[k] < len(own) else np.sort(own))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[at[keep], 0]), pa.array(n[keep]), lists(tokens), pa.array(p[keep].astype(np.int32)), *map(lists, more)], ["cls", "n", "tokens", "p", "second", "third"])
 
         for batch in batches:
             rows = np.stack([batch.column(k).to_numpy() for k in ("cls", "n", "df", "token")], axis=1)
@@ -224,21 +231,20 @@ def _ordered(counted: DataFrame, tasks: int, percent: int) -> DataFrame:
             yield from tell(held)
 
     dealt = counted.repartition(tasks, "cls").sortWithinPartitions("cls", "df", "token")
-    return dealt.select("cls", "n", "df", "token").mapInArrow(run, "cls long, n long, tokens array<long>, p int, other array<long>")
+    return dealt.select("cls", "n", "df", "token").mapInArrow(run, "cls long, n long, tokens array<long>, p int, second array<long>, third array<long>")
 
 
 def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of the pairs (a, b) that share a prefix token under the third order and link."""
+    """(u, v) of the pairs (a, b) that share a prefix token under the other two orders too, and link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {k: batch.column(k) for k in ("ta", "oa", "tb", "ob")}
             n = {k: batch.column(k).to_numpy() for k in ("na", "nb")}
             good = np.zeros(batch.num_rows, bool)
-            part = {k: (c.values.to_numpy(), c.offsets.to_numpy()) for k, c in cols.items()}
+            part = {k: (batch.column(k).values.to_numpy(), batch.column(k).offsets.to_numpy()) for k in ("ta", "sa", "ra", "tb", "sb", "rb")}
             for k in range(batch.num_rows):
                 x = {c: v[o[k] : o[k + 1]] for c, (v, o) in part.items()}
-                if not np.isin(x["oa"], x["ob"]).any():
+                if not (_meet(x["sa"], x["sb"]) and _meet(x["ra"], x["rb"])):
                     continue
                 o = len(np.intersect1d(x["ta"], x["tb"], assume_unique=True))
                 good[k] = 100 * o >= percent * (n["na"][k] + n["nb"][k] - o)
@@ -246,10 +252,16 @@ def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                 keep = pa.array(np.flatnonzero(good))
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["u", "v"])
 
-    sides = [known.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}"), F.col("other").alias(f"o{k}")) for k in "ab"]
+    sides = [known.select(F.col("cls").alias(k), *[F.col(c).alias(f"{s}{k}") for c, s in (("n", "n"), ("tokens", "t"), ("second", "s"), ("third", "r"))]) for k in "ab"]
     return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(run, "u long, v long")
 
 
+def _meet(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two ordered arrays share a value."""
+    at = np.searchsorted(b, a)
+    return bool((b[np.minimum(at, len(b) - 1)] == a).any())
+
+
 def _can_link(percent: int):
     """Whether a and b may link if this is the first shingle they share: no more than what
     stands from here on in either can be common. A pair that fails at its first shared
@@ -297,14 +309,14 @@ def _rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _toward_hubs(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each class with the most central classes of the two first components of its tokens, but its own."""
+    """(a, b): each class with central classes of other components at its tokens: the most
+    central one of all, and those of the components that come first and last by a hash."""
     at = _rooted(met, roots)
-    heads = at.groupBy("token", "root").agg(F.min(F.struct("q", "cls", "n", "rest")).alias("hub"))
-    token = Window.partitionBy("token")
-    heads = heads.withColumn("k", F.row_number().over(token.orderBy("hub"))).withColumn("many", F.count("*").over(token))
-    heads = heads.filter("k <= 2 AND many > 1").select("token", F.col("root").alias("other"), "hub")
-    pairs = at.join(heads, "token").filter("root <> other")
-    pairs = pairs.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("hub.cls").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.rest").alias("rb"))
+    hub, turn = F.struct("q", "cls", "n", "rest", "root"), F.xxhash64("root")
+    heads = at.groupBy("token").agg(F.min(hub).alias("h1"), F.min_by(hub, F.struct(turn, "q", "cls")).alias("h2"), F.min_by(hub, F.struct(-turn, "q", "cls")).alias("h3"))
+    heads = heads.filter("h2.root <> h3.root").select("token", F.array_distinct(F.array("h1", "h2", "h3")).alias("hubs"))
+    pairs = at.join(heads, "token").select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), "root", F.explode("hubs").alias("hub")).filter("root <> hub.root")
+    pairs = pairs.select("a", "na", "ra", F.col("hub.cls").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.rest").alias("rb"))
     return pairs.filter(_can_link(percent)).select("a", "b").distinct()
 
 
@@ -317,14 +329,14 @@ def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
 def _across(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """(a, b): every pair of classes of different components that shares a prefix token.
 
-    Within a token the components are numbered, the one with most classes first. A class
+    Within a token the components are in order, the one with most classes first. A class
     looks up those before its own, and of these only such as may hold a partner by the
     bound on their sizes and places. So there is no pair inside a component.
     """
     at = _rooted(met, roots)
     sizes = at.groupBy("token", "root").agg(F.count("*").alias("c"), F.max("rest").alias("rb"), F.min("n").alias("nb"))
-    token = Window.partitionBy("token")
-    mixed = sizes.withColumn("k", F.row_number().over(token.orderBy(F.desc("c"), "root")) - 1).withColumn("many", F.count("*").over(token)).filter("many > 1")
+    shared = sizes.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("token")
+    mixed = sizes.join(shared, "token").withColumn("k", F.struct(-F.col("c"), "root"))
     rows = at.join(mixed.select("token", "root", "k"), ["token", "root"]).select("token", "k", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"))
     near = mixed.select(F.col("token").alias("t"), F.col("k").alias("other"), "rb", "nb")
     seek = rows.join(near, (F.col("token") == F.col("t")) & (F.col("other") < F.col("k")) & _can_link(percent)).select("t", "other", "a", "na", "ra")
@@ -335,29 +347,40 @@ def _across(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 def group(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) of every row; the component is the least id that links reach."""
-    return _grouped(docs, id, text, size, percent).drop("__fp")
+    return _grouped(docs, id, text, size, percent).select(F.col("id").alias(id), "n_shingles", F.col("first.id").alias("component_id"))
 
 
 def _grouped(docs: DataFrame, id: str, text: str, size: int, percent: int) -> DataFrame:
-    """The result of ``group``, with the hash of each row's text as __fp."""
+    """(id, fp, n_shingles, first): each row with the hash of its text, and the least (id, fp) that links reach."""
     rows, roots = links(docs, id, text, size, percent)
-    least = rows.filter("cls IS NOT NULL AND id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("least"))
+    least = rows.filter("cls IS NOT NULL AND id IS NOT NULL").groupBy("cls").agg(F.min(F.struct("id", "fp")).alias("least"))
     named = least.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    of = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = named.join(of, "root").select("cls", "component_id")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return rows.join(names, "cls", "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("fp").alias("__fp"))
+    of = named.groupBy("root").agg(F.min("least").alias("first"))
+    names = named.join(of, "root").select("cls", "first")
+    own = F.when(F.col("id").isNotNull(), F.coalesce("first", F.struct("id", "fp")))
+    return rows.join(names, "cls", "left").select("id", "fp", F.col("n").alias("n_shingles"), own.alias("first"))
 
 
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents, with one row of each group: that of the least id. Rows without id stay.
-    Of rows that share an id each is judged by its own text."""
-    grouped = _grouped(docs, id, text, size, percent)
-    gone = grouped.filter(F.col(id) != F.col("component_id")).select(F.col(id).alias("__i"), F.col("__fp").alias("__f")).distinct()
-    kept = docs.join(gone, (F.col(id) == F.col("__i")) & (F.xxhash64(text_of(text)) == F.col("__f")), "left_anti")
-    # rows that repeat an id with a text are copies of one document
-    once = Window.partitionBy(F.col(id), F.xxhash64(text)).orderBy(F.lit(1))
-    return kept.withColumn("__nth", F.row_number().over(once)).filter(F.col(id).isNull() | (F.col("__nth") == 1)).drop("__nth")
+    """The documents, with one row of each group: that of the least id, then of the least hash
+    of its text. Rows without id stay. Rows that share an id are judged each by its own text;
+    of those that share a text too, the first by a hash of their other columns stays. Only
+    such rows move; all others are filtered where they are read."""
+    grouped = materialize(_grouped(docs, id, text, size, percent).filter("id IS NOT NULL"), "jaccard-groups")
+    i, f, turn = unused(docs, "i", "f", "turn")
+    gone = grouped.filter(F.struct("id", "fp") != F.col("first")).select("id", "fp").distinct()
+    gone = materialize(gone.select(F.col("id").alias(i), F.col("fp").alias(f)), "jaccard-gone")
+    twice = grouped.filter(F.struct("id", "fp") == F.col("first")).groupBy("id", "fp").agg(F.count("*").alias("c")).filter("c > 1")
+    twice = materialize(twice.select(F.col("id").alias(i), F.col("fp").alias(f)), "jaccard-twice")
+    release(grouped)
+    here = (F.col(id) == F.col(i)) & (F.xxhash64(text_of(text)) == F.col(f))
+    if not twice.count():
+        return docs.join(small_side(gone), here, "left_anti")
+    kept = docs.join(small_side(gone), here, "left_anti").join(small_side(twice), here, "left_anti")
+    others = [F.col(c) for c in docs.columns if c not in (id, text)]
+    again = docs.join(small_side(twice), here, "left_semi").withColumn(turn, F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0))
+    once = again.groupBy(F.col(id), F.xxhash64(text_of(text)).alias(f)).agg(F.min_by(F.struct(*docs.columns), turn).alias(i))
+    return kept.unionByName(once.select(f"{i}.*"))
 
 
 def oracle(size: int = WORDS, percent: int = PERCENT) -> str:

@@ -104,6 +104,24 @@ def test_folded_tables_equal_the_network():
     assert abs(loss - direct) < 1e-4
 
 
+def test_gradients_equal_finite_differences():
+    net = language_id.ByteNet(["a", "b", "c"])
+    g = np.random.default_rng(1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, y = g.integers(0, 255, (4, 40)).astype(np.uint8), np.array([0, 1, 2, 1])
+    _, grad = net.step(x, y)
+    for k, v in net.p.items():
+        flat, own = v.reshape(-1), np.asarray(grad[k], float).reshape(-1)
+        for i in np.argsort(-abs(own))[:5]:
+            was = flat[i]
+            ends = []
+            for d in (1e-5, -1e-5):
+                flat[i] = was + d
+                ends.append(net.step(x, y)[0])
+            flat[i] = was
+            assert abs((ends[0] - ends[1]) / 2e-5 - own[i]) < 1e-4 + 1e-2 * abs(own[i]), k
+
+
 # 3 -----------------------------------------------------------------------------------------
 
 
@@ -355,6 +373,31 @@ def test_hamming_blocks_find_all_within_the_radius():
     assert got == {(q, s) for q in range(300) for s in range(50) if int(query[q] ^ stored[s]).bit_count() <= 20}
 
 
+def test_radius_holds_the_pairs_that_the_exact_check_accepts():
+    g = np.random.default_rng(2)
+    fresh = lambda n: g.integers(1, 1 << 63, n, dtype=np.uint64)
+    for w in (12, 16, 20, 30, 40, 60, 120):
+        held = []
+        for _ in range(6000):
+            a = fresh(w)
+            b = a.tolist()
+            for _ in range(int(g.integers(1, w // 12 + 2))):
+                p, kind = int(g.integers(w)), g.integers(3)
+                b[p : p + 1] = [[int(fresh(1)[0])], [], [b[p] if p < len(b) else 1, int(fresh(1)[0])]][kind]
+            b = np.concatenate([np.array(b, np.uint64), fresh(w)])[:w]
+            if 100 * decontamination.similarity(decontamination.windows(a, 5), decontamination.windows(b, 5)) >= 75:
+                x, y = (decontamination.simhash(z, w)[0] for z in (a, b))
+                held.append(int(x ^ y).bit_count() <= decontamination.radius_of(w))
+        assert len(held) > 200 and np.mean(held) >= 0.99, (w, np.mean(held))
+
+
+def test_hamming_blocks_leave_out_most_pairs():
+    g = np.random.default_rng(3)
+    stored, query = (g.integers(0, 1 << 63, n, dtype=np.uint64) for n in (300, 300))
+    share = [len(decontamination.HammingIndex(stored, decontamination.radius_of(w)).meet(query)[0]) / 90_000 for w in (12, 30, 60)]
+    assert share[0] < 0.6 and share[1] < 0.5 and share[2] < 0.3
+
+
 # 7 -----------------------------------------------------------------------------------------
 
 
