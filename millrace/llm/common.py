@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from millrace.sources.readers import spread
 
 #: Bytes of a batch that goes to Python: bounds a worker's memory with long texts.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Bytes of text that the vectorised kernels take at once.
 SLICE_BYTES = 1 << 20
 #: Bytes of a written table that may be broadcast; Parquet holds rows in a third to a tenth of their memory.
@@ -91,6 +92,21 @@ def written_bytes(df: DataFrame) -> int:
     return total
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow whose workers give freed memory back when a task ends: they live on, and
+    the allocators would keep the peak of every task for them."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+                trim(0)
+
+    return df.mapInArrow(lean, schema)
+
+
 def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Bounds a batch to Python by bytes: 10,000 long texts at once may not fit a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices, small_batches, text_of, utf8
+from millrace.llm.common import in_arrow, slices, small_batches, text_of, utf8
 from millrace.llm.hashing import HashTable, mix, windows, words
 
 SHINGLE, PERCENT, SHORT_RADIUS, BITS = 5, 75, 22, 64
@@ -224,5 +224,5 @@ def scan(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "tex
                 at = batch.schema.get_field_index("hits")
                 yield batch.set_column(at, batch.schema.field(at), pa.array(found, before.type))
 
-        now = now.mapInArrow(run, now.schema)
+        now = now.transform(in_arrow, run, now.schema)
     return now.select(F.col("k0").alias(id), *[F.col(f"k{i + 1}").alias(c) for i, c in enumerate(keep)], "hits")

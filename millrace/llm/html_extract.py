@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, small_batches, small_side
+from millrace.llm.common import in_arrow, materialize, small_batches, small_side
 
 # Element names of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -348,5 +348,5 @@ def extract_pages(pages: DataFrame, id: str = "page_id", url: str = "url", html:
 
     kind = pages.schema[id].dataType.simpleString()
     joined = source.join(known, "host", "left").select("id", "url", "html", "constant")
-    found = joined.mapInArrow(run, f"id {kind}, url string, text string")
+    found = joined.transform(in_arrow, run, f"id {kind}, url string, text string")
     return found.select(F.col("id").alias(id), F.col("url").alias(url), "text")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import small_batches, text_of, utf8
+from millrace.llm.common import in_arrow, small_batches, text_of, utf8
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 UNKNOWN = "und"
@@ -217,7 +217,7 @@ def predict(docs: DataFrame, net: ByteNet | None, id: str = "doc_id", text: str
 
     source = docs.select(F.col(id).alias("k0"), *[F.col(c).alias(f"k{i + 1}") for i, c in enumerate(keep)], text_of(text).alias("t"))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema if f.name != "t"]
-    out = source.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    out = source.transform(in_arrow, run, ", ".join([*fields, "lang_pred string", "score double"]))
     return out.select(F.col("k0").alias(id), *[F.col(f"k{i + 1}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
 
 

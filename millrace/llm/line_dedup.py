@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, release, slices, small_batches, small_side, text_of, unused, utf8
+from millrace.llm.common import in_arrow, materialize, release, slices, small_batches, small_side, text_of, unused, utf8
 from millrace.llm.hashing import mix
 
 MIN_WORDS = 5
@@ -169,7 +169,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                     )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, fp long, nth int, h long, k1 long, k2 long, k3 long, k4 long")
+    return docs.transform(in_arrow, run, f"id {kind}, fp long, nth int, h long, k1 long, k2 long, k3 long, k4 long")
 
 
 def _variants(texts: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def _variants(texts: DataFrame) -> DataFrame:
                     yield _variant_rows(batch, held)
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "fp", "t", "nths").mapInArrow(run, f"id {kind}, fp long, nth int, h long, key long, place int, line string")
+    return texts.select("id", "fp", "t", "nths").transform(in_arrow, run, f"id {kind}, fp long, nth int, h long, key long, place int, line string")
 
 
 def _variant_rows(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
@@ -224,7 +224,7 @@ def _verify(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
     a = lines.select("h", F.col("line").alias("la"))
     b = lines.select(F.col("h").alias("e"), F.col("line").alias("lb"))
-    return pairs.join(a, "h").join(b, "e").select("h", "e", "la", "lb").mapInArrow(run, "h long, e long, good boolean")
+    return pairs.join(a, "h").join(b, "e").select("h", "e", "la", "lb").transform(in_arrow, run, "h long, e long, good boolean")
 
 
 def _near(found: DataFrame, firsts: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, release, slices, small_batches, small_side, text_of, unused, utf8
+from millrace.llm.common import in_arrow, materialize, release, slices, small_batches, small_side, text_of, unused, utf8
 from millrace.llm.components import components
 from millrace.llm.hashing import mix, windows, words
 
@@ -94,7 +94,7 @@ def sketch(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n), pa.array(cls.view(np.int64), mask=n == 0), batch.column("fp")], ["id", "n", "cls", "fp"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("id"), text_of(text).alias("t"), F.xxhash64(text_of(text)).alias("fp")).mapInArrow(run, f"id {kind}, n long, cls long, fp long")
+    return docs.select(F.col(id).alias("id"), text_of(text).alias("t"), F.xxhash64(text_of(text)).alias("fp")).transform(in_arrow, run, f"id {kind}, n long, cls long, fp long")
 
 
 def _tokens(texts: DataFrame, size: int, percent: int | None) -> DataFrame:
@@ -119,7 +119,7 @@ def _tokens(texts: DataFrame, size: int, percent: int | None) -> DataFrame:
                 many = [len(t) for t in token]
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(token)), _signed(np.repeat(np.array(cls, np.uint64), many)), pa.array(np.repeat(n, many).astype(np.int64))], ["token", "cls", "n"])
 
-    return texts.mapInArrow(run, "token long, cls long, n long")
+    return texts.transform(in_arrow, run, "token long, cls long, n long")
 
 
 def _shared(rows: DataFrame, tasks: int) -> DataFrame:
@@ -141,7 +141,7 @@ def _shared(rows: DataFrame, tasks: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(many)], ["cls", "c"])
 
     dealt = rows.select("token", "cls").repartition(tasks, "token").sortWithinPartitions("token", "cls")
-    return dealt.mapInArrow(run, "cls long, c long").groupBy("cls").agg(F.sum("c").alias("c"))
+    return dealt.transform(in_arrow, run, "cls long, c long").groupBy("cls").agg(F.sum("c").alias("c"))
 
 
 def _counted(rows: DataFrame, tasks: int, most: int = MOST_COUNTED) -> DataFrame:
@@ -189,7 +189,7 @@ def _counted(rows: DataFrame, tasks: int, most: int = MOST_COUNTED) -> DataFrame
             yield from tell(held[0])
 
     dealt = rows.repartition(tasks, "token").sortWithinPartitions("token", "cls")
-    return dealt.mapInArrow(run, "cls long, n long, token long, df long")
+    return dealt.transform(in_arrow, run, "cls long, n long, token long, df long")
 
 
 def _ordered(counted: DataFrame, tasks: int, percent: int) -> DataFrame:
@@ -231,7 +231,7 @@ def _ordered(counted: DataFrame, tasks: int, percent: int) -> DataFrame:
             yield from tell(held)
 
     dealt = counted.repartition(tasks, "cls").sortWithinPartitions("cls", "df", "token")
-    return dealt.select("cls", "n", "df", "token").mapInArrow(run, "cls long, n long, tokens array<long>, p int, second array<long>, third array<long>")
+    return dealt.select("cls", "n", "df", "token").transform(in_arrow, run, "cls long, n long, tokens array<long>, p int, second array<long>, third array<long>")
 
 
 def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -253,7 +253,7 @@ def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["u", "v"])
 
     sides = [known.select(F.col("cls").alias(k), *[F.col(c).alias(f"{s}{k}") for c, s in (("n", "n"), ("tokens", "t"), ("second", "s"), ("third", "r"))]) for k in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(run, "u long, v long")
+    return pairs.join(sides[0], "a").join(sides[1], "b").transform(in_arrow, run, "u long, v long")
 
 
 def _meet(a: np.ndarray, b: np.ndarray) -> bool:

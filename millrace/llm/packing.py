@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import small_batches, materialize, slices, text_of, utf8
+from millrace.llm.common import in_arrow, materialize, slices, small_batches, text_of, utf8
 from millrace.llm.hashing import span_hashes
 from millrace.llm.pretoken import Splitter, Vocabulary
 
@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 0, id: s
 
     small_batches(docs.sparkSession)
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("id"), text_of(text).alias("text")).mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id).alias("id"), text_of(text).alias("text")).transform(in_arrow, cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(found: DataFrame, limit: int = 2048, per_bucket: int = 100_000) -> DataFrame:

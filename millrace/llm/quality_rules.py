@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import small_batches, slices, text_of, utf8
+from millrace.llm.common import in_arrow, slices, small_batches, text_of, utf8
 from millrace.llm.hashing import span_hashes, windows, words
 
 # Fixed values of the base rule.
@@ -93,7 +93,7 @@ def statistics(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), *[pa.array(c[k].astype(np.int64)) for k in COUNTS]], ["id", *COUNTS])
 
     kind = docs.schema[id].dataType.simpleString()
-    found = docs.select(F.col(id).alias("id"), text_of(text).alias("t")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    found = docs.select(F.col(id).alias("id"), text_of(text).alias("t")).transform(in_arrow, run, f"id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return found.withColumnRenamed("id", id).withColumn("base_failed", failed)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import small_batches, materialize, slices, text_of, utf8
+from millrace.llm.common import in_arrow, materialize, slices, small_batches, text_of, utf8
 from millrace.llm.hashing import HashTable, span_hashes
 from millrace.llm.pretoken import Splitter, of_parts
 
@@ -85,7 +85,7 @@ def distinct_pretokens(docs: DataFrame, path: str, text: str = "text") -> DataFr
         if n:
             yield out()
 
-    found = docs.select(text_of(text).alias("text")).mapInArrow(gather, "pre binary, freq long")
+    found = docs.select(text_of(text).alias("text")).transform(in_arrow, gather, "pre binary, freq long")
     return found.groupBy("pre").agg(F.sum("freq").alias("freq"))
 
 
@@ -100,7 +100,7 @@ def piece_counts(pretokens: DataFrame, path: str) -> DataFrame:
             n = [len(splitter.ids(p)) for p in pre]
             yield pa.RecordBatch.from_arrays([batch.column("pre"), batch.column("freq"), pa.array(n, pa.int32()), pa.array(h.view(np.int64))], ["pre", "freq", "n_pieces", "h"])
 
-    return pretokens.select("pre", "freq").mapInArrow(count, "pre binary, freq long, n_pieces int, h long")
+    return pretokens.select("pre", "freq").transform(in_arrow, count, "pre binary, freq long, n_pieces int, h long")
 
 
 def _most_frequent(counted: DataFrame, most: int) -> DataFrame:
@@ -161,7 +161,7 @@ def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
 
     kind = docs.schema[id].dataType.simpleString()
     source = docs.select(F.col(id).alias("id"), F.xxhash64(text_of(text)).alias("fp"), text_of(text).alias("text"))
-    rows = source.mapInArrow(frequencies, f"id {kind}, fp long, pre binary, n long, n_bytes long")
+    rows = source.transform(in_arrow, frequencies, f"id {kind}, fp long, pre binary, n long, n_bytes long")
     known = counted.select(F.col("pre").alias("p"), "n_pieces")
     joined = rows.filter("pre IS NOT NULL").join(known, F.col("pre") == F.col("p"))
     tails = joined.select("id", "fp", (F.col("n") * F.col("n_pieces")).alias("n"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("copies"))
