@@ -19,7 +19,7 @@ from millrace.sources.readers import spread
 #: Bytes of a batch that goes to Python: bounds a worker's memory with long texts.
 BATCH_BYTES = 1 << 20
 #: Bytes of text that the vectorised kernels take at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Bytes of a written table that may be broadcast; Parquet holds rows in a third to a tenth of their memory.
 SMALL_BYTES = 12 << 20
 _own_dir: list[str] = []

@@ -42,7 +42,7 @@ MIN_WORDS = 5
 #: A line of so many code points is compared with one edit whatever its words: scripts without spaces have few.
 POINTS = 25
 #: Variants that a task gathers before it hands them on.
-GATHER = 200_000
+GATHER = 50_000
 _LETTER = np.array([chr(b).isalnum() for b in range(128)])
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)

@@ -56,6 +56,23 @@ def test_html_structure():
         assert isinstance(html_extract.extract(broken), str)
 
 
+def test_html_survives_stray_quotes_and_depth():
+    page = """<body><div><p class="a"">Hello <b title=it's>world</b></p><p><img alt="5" tall">of <i a='b'c">text</i> = ok</p></div>"""
+    assert html_extract.extract(page) == "Hello world\nof text = ok"
+    assert html_extract.extract("<div>" * 20_000 + "<p>deep" + "</div>" * 20_000) == "deep"
+    deep = [f"<html><body>{'<div>' * n}<p>text {n}</p>{'</div>' * n}" for n in (2_990, 3_000, 3_000, 3_005)]
+    known = html_extract.template(html_extract.induce([*deep, deep[1] + " "]))
+    assert len(known) > 2_990 and html_extract.placed(known, html_extract.parse(deep[0])) is not None
+
+
+def test_names_count_as_marks_only_beside_layout_words():
+    kept = "<article><section class=discussion><p>a</p></section><p class=notice-period>b</p><p id=adoption>c</p><ul><li><a href=x>source</a></li></ul></article>"
+    assert html_extract.extract(kept) == "a\nb\nc\nsource"
+    gone = "<article><p>a</p><div class='comments-area'><p>x</p></div><div class=cookieNotice>x</div><div id=ad-slot>x</div><div class='site-footer wide'>x</div></article>"
+    assert html_extract.extract(gone) == "a"
+    assert html_extract.extract("<body><div><p>one two three</p><p>four five</p><ul><li><a href=x>source</a></li></ul></div><ul><li><a href=y>menu</a></li></ul>") == "one two three\nfour five\nsource"
+
+
 def test_html_wrapper_is_induced_from_aligned_pages(spark):
     pages = [f"<html><body><div><p>{w} one two</p><p>Follow us today</p></div></body>" for w in "abcdef"]
     rows = [(k, f"http://h.example/{k}", p) for k, p in enumerate(pages)] + [(9, None, pages[0]), (10, "http://h.example/x", None), (9, None, pages[0]), (None, "http://x.example", "")]
@@ -64,14 +81,70 @@ def test_html_wrapper_is_induced_from_aligned_pages(spark):
     for r in got:
         by[r["page_id"]].append(r["text"])
     assert by[0] == ["a one two"] and by[9] == ["a one two\nFollow us today"] * 2 and by[10] == [""] and by[None] == [""]
-    copies = [pages[0]] * 5 + [pages[0].replace("today", "now")]
-    assert html_extract.induce(copies) == []  # copies do not make a template
-
+    copies = [(k, "http://h.example/", pages[0].replace("today", "today" if k else "now")) for k in range(9)]
+    got = html_extract.extract_pages(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {"a one two\nFollow us today", "a one two\nFollow us now"}  # copies do not make a template
+    assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_wrappers_find_the_content_of_pages_without_names(spark):
+    r = random.Random(7)
+    say = lambda n: " ".join("".join(r.choice("abcdefg") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    for k in range(60):
+        body = [say(r.randrange(5, 30)) for _ in range(r.randrange(1, 9))]
+        menu = "".join(f"<li><a href=/{i}>{say(1)}</a></li>" for i in range(5))
+        notes = [say(12) for _ in range(4)] if k % 2 else [say(14)]  # as long as a short article, and never the same
+        html = f"<body><div><ul>{menu}</ul></div><div><div><h1>{say(4)}</h1>{''.join(f'<p>{b}</p>' for b in body)}<p>Share this</p></div></div><div>{''.join(f'<p>{n}</p>' for n in notes[: k % 3])}</div><div>{say(3)}</div>"
+        rows.append((k, f"https://{'hot' if k % 3 else 'cold'}.example/{k}", html))
+        want[k] = "\n".join([html_extract.parse(html)[1][5].text, *body])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {x["page_id"]: x["text"] for x in html_extract.extract_pages(pages, marks=False).collect()}
+    assert got == want
+    assert sum(html_extract.extract(h) == want[k] for k, _, h in rows) < 20  # alone a page does not tell
+
+
+def brute_matching(a, b):
+    if a.tag != b.tag:
+        return 0
+    w = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids):
+        for j, y in enumerate(b.kids):
+            w[i + 1][j + 1] = max(w[i][j + 1], w[i + 1][j], w[i][j] + brute_matching(x, y))
+    return w[-1][-1] + 1
+
+
+def test_tree_matching_equals_the_plain_recursion(monkeypatch):
+    r = random.Random(3)
 
-def test_tree_matching_counts_the_largest_ordered_mapping():
-    a, b = (html_extract.parse(x)[0] for x in ("<div><p>1</p><ul><li>2</li></ul><p>3</p></div>", "<div><p>1</p><p>4</p></div>"))
-    pairs = []
-    assert html_extract.match(a, b, pairs) == 4 and len(pairs) == 4  # root, div, two p
+    def grow(depth):
+        node = html_extract.Node(r.choice("ab"), None)
+        node.kids = [grow(depth - 1) for _ in range(r.randrange(5))] if depth else []
+        return node
+
+    def every(node):
+        return [node, *[x for k in node.kids for x in every(k)]]
+
+    for cells in (html_extract.CELLS, 4):
+        monkeypatch.setattr(html_extract, "CELLS", cells)
+        for _ in range(300):
+            a, b = grow(3), grow(3)
+            a.tag = b.tag = "#"
+            for t in (a, b):
+                for x in every(t):
+                    for k in x.kids:
+                        k.parent = x
+                html_extract.shaped(every(t))
+            matching = html_extract.Matching()
+            pairs = list(matching.pairs(a, b))
+            assert matching.score(a, b) == brute_matching(a, b) == len(pairs)
+            to = {id(x): y for x, y in pairs}
+            assert len({id(y) for y in to.values()}) == len(to)
+            assert all(x.tag == y.tag and (x is a or to[id(x.parent)] is y.parent) for x, y in pairs)
+            order = [id(y) for y in every(b)]
+            for x in every(a):
+                at = [order.index(id(to[id(k)])) for k in x.kids if id(k) in to]
+                assert at == sorted(at)
 
 
 # 2 -----------------------------------------------------------------------------------------
