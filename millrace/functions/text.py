@@ -69,6 +69,12 @@ def normalize(text: Column) -> Column:
     return strip(collapse_newlines(trim_line_ends(drop_controls(unify_newlines(nfc(text))))))
 
 
+def once(x: Column) -> Column:
+    """The same values, computed where the column is made: the optimizer inlines no expression
+    that counts as nondeterministic into the filters and columns that read it."""
+    return F.when(F.spark_partition_id() >= 0, x)
+
+
 def occurrences(text: Column, pattern: str) -> Column:
     """How many code points match a class, without a list of matches."""
     return F.length(text) - F.length(replaced(text, pattern, ""))

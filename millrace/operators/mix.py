@@ -50,10 +50,11 @@ def mix(docs: DataFrame, weights: DataFrame, max_oversample: int = 3) -> DataFra
 
 
 def stats(docs: DataFrame, weights: DataFrame, mixed: DataFrame) -> DataFrame:
-    """A row for each weighted source, whether it has documents or not."""
+    """A row for each weighted source, whether it has documents or not; ``unique_docs`` is all
+    that the source has, taken or not. ``mixed`` is the result of ``mix``."""
     shares = normalized_weights(weights).select("source", "target_weight")
     whole = docs.agg(F.greatest(F.sum("chars"), F.lit(1)).alias("__all"))
-    got = mixed.groupBy("source").agg(F.sum("chars").alias("actual_chars"), F.count("*").alias("docs"), F.count_if(F.col("pass") == 0).alias("unique_docs"), F.max("pass").cast("long").alias("repeat_passes"))
+    got = mixed.groupBy("source").agg(F.sum("chars").alias("actual_chars"), F.count("*").alias("docs"), F.max("docs_in_pool").alias("unique_docs"), F.max("pass").cast("long").alias("repeat_passes"))
     rows = shares.crossJoin(F.broadcast(whole)).join(got, "source", "left").fillna(0, ["actual_chars", "docs", "unique_docs", "repeat_passes"])
     sum_ = rows.agg(F.greatest(F.sum("actual_chars"), F.lit(1)).alias("__sum"))
     return rows.crossJoin(F.broadcast(sum_)).select(

@@ -54,8 +54,9 @@ def reason(text: Column, language: Column, config: FilterConfig = FilterConfig()
 
 
 def classify(docs: DataFrame, config: FilterConfig = FilterConfig(), text: str = "text", language: str = "language") -> DataFrame:
-    """Replaces the text by its normal form and adds the column reason."""
-    return docs.withColumn(text, tx.normalize(F.col(text))).withColumn("reason", reason(F.col(text), F.col(language), config))
+    """Replaces the text by its normal form and adds the column reason; either is computed once."""
+    normal = docs.withColumn(text, tx.once(tx.normalize(F.col(text))))
+    return normal.withColumn("reason", tx.once(reason(F.col(text), F.col(language), config)))
 
 
 def kept(classified: DataFrame) -> DataFrame:

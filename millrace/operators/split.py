@@ -26,7 +26,8 @@ def split(docs: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
     """Adds split; neither side stays empty if one document can be moved.
 
     The counts and the least document of each side are one aggregate row, joined back by
-    a broadcast: no window over all documents. Needs columns source and document_id.
+    a broadcast: no window over all documents. Needs columns source and document_id. The
+    documents are read twice: give a table that is written down, not a plan to run twice.
     """
     marked = docs.withColumn("split", assign(F.col("document_id"), ratio, seed))
     least = F.struct("source", "document_id")

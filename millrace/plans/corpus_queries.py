@@ -11,7 +11,7 @@ from millrace.functions import text as tx
 from millrace.operators import dedup, mix, quality, split
 from millrace.operators.quality import FilterConfig
 from millrace.plans import oracles as o
-from millrace.sources import readers
+from millrace.sources import readers, tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -66,7 +66,9 @@ def unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parts(spark: SparkSession, sf_dir: str, ratio: float = 0.2) -> DataFrame:
-    return split.split(unique(spark, sf_dir), ratio)
+    """The split corpus without its texts, which the dataflow yields once."""
+    lean = unique(spark, sf_dir).select("doc_id", "source", "document_id", "chars")
+    return split.split(tables.materialize(lean, "unique"), ratio)
 
 
 @query(o.corpus() + "SELECT source, split, count(*)::BIGINT AS docs, sum(chars)::BIGINT AS chars FROM s GROUP BY ALL")
@@ -208,7 +210,7 @@ def ingest_funnel(spark, sf_dir):
 def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four tables and a source without weight as one union."""
     def one(name, key, source, language, text):
-        return table(spark, sf_dir, name).select(key.alias("doc_id"), F.lit(source).alias("source"), language.alias("language"), text.alias("text"))
+        return readers.spread(table(spark, sf_dir, name)).select(key.alias("doc_id"), F.lit(source).alias("source"), language.alias("language"), text.alias("text"))
 
     c, unknown = F.col, F.lit("unknown")
     return reduce(DataFrame.unionByName, [
@@ -223,8 +225,9 @@ def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.kept(quality.classify(mixed_sources(spark, sf_dir)))
     rows = rows.withColumns({"document_id": tx.document_id(F.col("source"), F.col("text")), "chars": F.length("text").cast("long")})
-    rows = dedup.ranked(rows, ["source", "document_id", "doc_id"]).filter("rank = 1")
-    return split.split(rows, 0.01).filter("split = 'train'").select("source", "document_id", F.lit(0).alias("ord"), "chars")
+    rows = dedup.ranked(rows, ["source", "document_id", "doc_id"]).filter("rank = 1").select("source", "document_id", F.lit(0).alias("ord"), "chars")
+    train = split.split(tables.materialize(rows, "unique"), 0.01).filter("split = 'train'").drop("split")
+    return tables.materialize(train, "train")
 
 
 def weights(spark: SparkSession) -> DataFrame:
@@ -279,7 +282,7 @@ def split_counts(spark, sf_dir):
 
 def _sided(spark, sf_dir, val: bool):
     """Documents that all hash to one side at a ratio, so that the fallback must move one."""
-    rows = unique(spark, sf_dir)
+    rows = tables.materialize(unique(spark, sf_dir).select("doc_id", "source", "document_id"), "unique")
     at = split.bucket(F.col("document_id"))
     return rows.filter(at < 2000 if val else at >= 2000)
 
@@ -320,9 +323,9 @@ def mix_oversample(spark, sf_dir):
     return mix.mix(mixed_train(spark, sf_dir), weights(spark), 3).select("source", "document_id", "pass")
 
 
-@query(o.mixed(3) + """, a AS (SELECT source, sum(chars) AS c, count(*) AS n, count(*) FILTER (pass = 0) AS un, max(pass) AS rp FROM m GROUP BY source)
+@query(o.mixed(3) + """, a AS (SELECT source, sum(chars) AS c, count(*) AS n, max(pass) AS rp FROM m GROUP BY source), pool AS (SELECT source, count(*) AS un FROM t GROUP BY source)
 SELECT source, round(g.target_weight, 9) AS target_weight, floor(g.target)::BIGINT AS target_chars, coalesce(c, 0)::BIGINT AS actual_chars, coalesce(n, 0)::BIGINT AS docs, coalesce(un, 0)::BIGINT AS unique_docs,
-coalesce(rp, 0)::BIGINT AS repeat_passes, round(coalesce(c, 0)::DOUBLE / greatest(sum(c) OVER (), 1), 9) AS actual_char_ratio FROM g LEFT JOIN a USING (source)""")
+coalesce(rp, 0)::BIGINT AS repeat_passes, round(coalesce(c, 0)::DOUBLE / greatest(sum(c) OVER (), 1), 9) AS actual_char_ratio FROM g LEFT JOIN a USING (source) LEFT JOIN pool USING (source)""")
 def mix_stats(spark, sf_dir):
     train = mixed_train(spark, sf_dir)
     rows = mix.stats(train, weights(spark), mix.mix(train, weights(spark), 3))

@@ -8,6 +8,7 @@ from millrace.functions import text as tx
 from millrace.operators import stats
 from millrace.plans import oracles as o
 from millrace.plans.corpus_queries import classified, documents, kept, parts, ranked, table
+from millrace.sources import tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -132,8 +133,9 @@ r AS (SELECT list_sort(list(chars::DOUBLE / (tokens - 1))) AS xs FROM smp WHERE
 g AS (SELECT *, round_even(kc / cpt + kd, 0)::BIGINT AS est FROM e), h AS (SELECT *, round_even(kc / p90 + kd, 0)::BIGINT AS lo, round_even(kc / p10 + kd, 0)::BIGINT AS hi, round_even(est * 0.85::DOUBLE, 0)::BIGINT AS fl, round_even(est * 1.15::DOUBLE, 0)::BIGINT AS ce FROM g)
 SELECT round(cpt, 9) AS chars_per_token, est AS estimated, CASE WHEN greatest(least(lo, hi), fl) > least(greatest(lo, hi), ce) THEN fl ELSE greatest(least(lo, hi), fl) END AS low, CASE WHEN greatest(least(lo, hi), fl) > least(greatest(lo, hi), ce) THEN ce ELSE least(greatest(lo, hi), ce) END AS high FROM h""")
 def token_estimate(spark, sf_dir):
-    rows = kept(spark, sf_dir)
-    sample = stats.bottom_sample(rows, "document_id", 100).select("chars", (F.size(F.split("text", " ", -1)) + 1).alias("tokens"))
+    rows = kept(spark, sf_dir).select("document_id", "chars", (F.size(F.split("text", " ", -1)) + 1).alias("tokens"))
+    rows = tables.materialize(rows, "kept")
+    sample = stats.bottom_sample(rows, "document_id", 100).select("chars", "tokens")
     return rounded(stats.token_estimate(rows.select("chars"), sample), "chars_per_token")
 
 
