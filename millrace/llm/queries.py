@@ -110,6 +110,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from millrace.llm import licenses, line_dedup, ngram_join
+    from millrace.llm import licenses, line_dedup, ngram_join, sharding
 
-    return {"op3_ngram_join": ngram_join.oracle(), "op4_license_scans": licenses.oracle(), "op7_line_dedup": line_dedup.oracle()}
+    return {"op3_ngram_join": ngram_join.oracle(), "op4_license_scans": licenses.oracle(), "op7_line_dedup": line_dedup.oracle(), "op9_sharding": sharding.oracle()}

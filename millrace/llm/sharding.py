@@ -33,13 +33,15 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 17, id: str = "doc_id",
         F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")).alias("stratum"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("crc"),
-    ).withColumn("h", F.xxhash64(F.lit(seed), "id", "crc", "size"))
+    )
+    rows = rows.withColumn("h", F.substring(F.md5(F.concat_ws("|", F.lit(seed), "id", "crc", "size").cast("binary")), 1, 16))
     rows = materialize(rows, "shard-rows")
     total = rows.count()
     buckets = max(1, total // per_bucket)
     tie = ["h", "id", "crc", "size"]
 
-    rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    # the leading digits of the hash cut each source into even buckets, in the order of the hash
+    rows = rows.withColumn("bucket", F.expr(f"cast(conv(substring(h, 1, 8), 16, 10) AS long) * {buckets} div {1 << 32}"))
     counts = rows.groupBy("stratum", "bucket").agg(F.count("*").alias("n"))
     own = Window.partitionBy("stratum")
     known = counts.select("stratum", "bucket", F.sum("n").over(own).alias("of"), (F.sum("n").over(own.orderBy("bucket")) - F.col("n")).alias("before"))
@@ -63,3 +65,24 @@ def write_shards(docs: DataFrame, placed: DataFrame, path: str, id: str = "doc_i
     """The documents as one folder a shard, its files in the order of their slots. Ids must be unique."""
     joined = docs.join(placed.select(id, "shard", "slot"), id)
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def oracle(shards: int = 16, seed: int = 17) -> str:
+    """The result of op9 in DuckDB; the checksum is computed byte by byte from its rule."""
+    polynomial, ones = 0xEDB88320, 0xFFFFFFFF
+    entry = "i"
+    for _ in range(8):
+        entry = f"list_transform([{entry}], lambda c: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {polynomial}::BIGINT) ELSE c >> 1 END)[1]"
+    byte = "(strpos('0123456789ABCDEF', h[2 * k + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * k + 2]) - 1"
+    return f"""
+WITH t AS (SELECT list_transform(range(256), lambda i: {entry}) AS t),
+d AS (SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, source, size, list_prepend({ones}::BIGINT, list_transform(range(len(h) // 2), lambda k: ({byte})::BIGINT)) AS b FROM d),
+c AS (SELECT doc_id, coalesce('=' || source, '') AS stratum, size::BIGINT AS size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), {ones}::BIGINT) AS crc FROM b, t),
+h AS (SELECT *, substr(md5(concat_ws('|', {seed}, doc_id, crc, size)), 1, 16) AS h FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id, crc, size) AS nth, count(*) OVER (PARTITION BY stratum) AS n FROM h),
+f AS (SELECT *, (2 * nth - 1)::DOUBLE / (2 * n)::DOUBLE AS fraction FROM r),
+p AS (SELECT *, row_number() OVER (ORDER BY fraction, stratum, h, doc_id, crc, size) - 1 AS place, count(*) OVER () AS total FROM f)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, (place * {shards} // total)::INTEGER AS shard,
+       (place - ((place * {shards} // total) * total + {shards - 1}) // {shards})::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM p
+"""

@@ -163,10 +163,13 @@ def count_tokens(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
     source = docs.select(F.col(id).alias("id"), F.xxhash64(text_of(text)).alias("fp"), text_of(text).alias("text"))
     rows = source.transform(in_arrow, frequencies, f"id {kind}, fp long, pre binary, n long, n_bytes long")
     known = counted.select(F.col("pre").alias("p"), "n_pieces")
-    joined = rows.filter("pre IS NOT NULL").join(known, F.col("pre") == F.col("p"))
-    tails = joined.select("id", "fp", (F.col("n") * F.col("n_pieces")).alias("n"), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("copies"))
-    bases = rows.filter("pre IS NULL").select("id", "fp", "n", "n_bytes", F.lit(1).cast("long").alias("copies"))
-    total = bases.unionByName(tails).groupBy("id", "fp").agg(F.sum("n").alias("n"), F.max("n_bytes").alias("n_bytes"), F.sum("copies").alias("copies"))
+    # a row's own count has no pre-token: it goes along under a key that no UTF-8 holds, dealt by the text's hash
+    own = F.col("pre").isNull()
+    key = F.coalesce("pre", F.concat(F.lit(b"\xff"), F.col("fp").cast("string").cast("binary")))
+    rows = rows.withColumns({"own": own, "key": key}).drop("pre")
+    joined = rows.join(known, F.col("key") == F.col("p"), "left")
+    n = F.when(F.col("own"), F.col("n")).otherwise(F.col("n") * F.col("n_pieces"))
+    total = joined.groupBy("id", "fp").agg(F.sum(n).alias("n"), F.max("n_bytes").alias("n_bytes"), F.count_if("own").alias("copies"))
     # equal rows meet in one group: each of them gets its share back
     each = total.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return each.select(F.col("id").alias(id), "n_bytes", F.expr("n div copies").alias("n_tokens"))
