@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import once
+
 
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
@@ -14,29 +18,34 @@ def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and however deep it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rms_norm(x: Column, eps: float = 1e-6) -> Column:
     """x over the root of its mean square."""
-    scale = F.sqrt(dot(x, x) / F.size(x) + F.lit(eps))
-    return F.transform(x, lambda v: v.cast("double") / scale)
+    return let(x, lambda y: let(F.sqrt(dot(y, y) / F.size(y) + F.lit(eps)), lambda scale: F.transform(y, lambda v: v.cast("double") / scale)))
 
 
 def rope(x: Column, position: Column, theta: float = 10_000.0) -> Column:
     """Rotates adjacent pairs by the position times theta to the power -2i / size."""
-    n = F.size(x)
 
-    def one(v: Column, j: Column) -> Column:
-        pair = F.floor(j / 2)
-        angle = position.cast("double") * F.pow(F.lit(theta), -2.0 * pair / n)
-        other = F.get(x, F.when(j % 2 == 0, j + 1).otherwise(j - 1)).cast("double")
-        v = v.cast("double")
-        return F.when(j % 2 == 0, v * F.cos(angle) - other * F.sin(angle)).otherwise(other * F.sin(angle) + v * F.cos(angle))
+    def turned(x: Column) -> Column:
+        def one(v: Column, j: Column) -> Column:
+            pair = F.floor(j / 2)
+            angle = position.cast("double") * F.pow(F.lit(theta), -2.0 * pair / F.size(x))
+            other = F.get(x, F.when(j % 2 == 0, j + 1).otherwise(j - 1)).cast("double")
+            v = v.cast("double")
+            return F.when(j % 2 == 0, v * F.cos(angle) - other * F.sin(angle)).otherwise(other * F.sin(angle) + v * F.cos(angle))
+
+        return F.transform(x, one)
 
-    return F.transform(x, one)
+    return let(x, turned)
 
 
 def log_sum_exp(x: Column) -> Column:
-    top = F.array_max(x).cast("double")
-    return top + F.log(total(F.transform(x, lambda v: F.exp(v.cast("double") - top))))
+    return let(F.array_max(x).cast("double"), lambda top: top + F.log(total(F.transform(x, lambda v: F.exp(v.cast("double") - top)))))
 
 
 def cross_entropy(logits: Column, label: Column) -> Column:
@@ -57,6 +66,22 @@ def swiglu(gate: Column, up: Column) -> Column:
     return F.zip_with(gate, up, lambda g, u: silu(g.cast("double")) * u.cast("double"))
 
 
+def linear(x: Column, weight: Column, bias: Column | None = None) -> Column:
+    """The rows of a matrix times a vector, plus a bias if there is one."""
+    out = let(x, lambda v: F.transform(weight, lambda row: dot(row, v)))
+    return out if bias is None else add(out, bias)
+
+
+def add(a: Column, b: Column) -> Column:
+    """The sum of two vectors."""
+    return F.zip_with(a, b, lambda x, y: x.cast("double") + y.cast("double"))
+
+
+def swiglu_ffn(x: Column, gate: Column, up: Column, down: Column) -> Column:
+    """The feed-forward layer: two projections, their gated product, a third projection."""
+    return linear(swiglu(linear(x, gate), linear(x, up)), down)
+
+
 def perplexity(loss: Column) -> Column:
     return F.when(loss < 20, F.exp(loss)).otherwise(F.lit(float("inf")))
 
@@ -80,13 +105,20 @@ def heads(vectors: DataFrame, vector: str, count: int) -> DataFrame:
     """A row for each head: its number and its slice of the vector."""
     size = F.expr(f"size({vector}) div {count}")
     cut = vectors.withColumn("head", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    return cut.withColumn("x", F.slice(vector, F.col("head") * size + 1, size))
+    return cut.withColumn("x", once(F.slice(vector, F.col("head") * size + 1, size)))
 
 
-def causal_scores(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(*keys, q_pos, k_pos, score): scaled products of each query with the keys not after it."""
+def merge_heads(parts: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
+    """The inverse of ``heads``: a row for each of the keys, the heads' vectors end to end."""
+    ordered = F.array_sort(F.collect_list(F.struct("head", value)))
+    return parts.groupBy(*keys).agg(F.flatten(F.transform(ordered, lambda h: h[value])).alias(value))
+
+
+def causal_scores(rows: DataFrame, keys: list[str], key_rows: DataFrame | None = None) -> DataFrame:
+    """(*keys, q_pos, k_pos, score): scaled products of each query with the keys not after it.
+    Queries and keys are the same vectors unless ``key_rows`` are given."""
     q = rows.select(*keys, F.col("pos").alias("q_pos"), F.col("x").alias("q"))
-    k = rows.select(*keys, F.col("pos").alias("k_pos"), F.col("x").alias("k"))
+    k = (key_rows if key_rows is not None else rows).select(*keys, F.col("pos").alias("k_pos"), F.col("x").alias("k"))
     seen = q.join(k, keys).filter("k_pos <= q_pos")
     return seen.select(*keys, "q_pos", "k_pos", (dot(F.col("q"), F.col("k")) / F.sqrt(F.size("q"))).alias("score"))
 
@@ -104,6 +136,44 @@ def attended(weights: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return weights.join(v, [*keys, "k_pos"]).groupBy(*keys, "q_pos", "dim").agg(F.sum(F.col("weight") * F.col("v").cast("double")).alias("value"))
 
 
+def qkv(rows: DataFrame, weights: DataFrame, count: int) -> dict[str, DataFrame]:
+    """Queries, keys and values by head: (seq, pos, head, x) of each. ``weights`` is one row
+    with the matrices wq, wk and wv: a layer's parameters, whose size the model bounds."""
+    both = rows.crossJoin(F.broadcast(weights))
+    return {side: heads(both.select("seq", "pos", once(linear(F.col("x"), F.col(f"w{side}"))).alias("v")), "v", count).select("seq", "pos", "head", "x") for side in "qkv"}
+
+
+def attention(rows: DataFrame, weights: DataFrame, count: int, theta: float = 10_000.0) -> DataFrame:
+    """(seq, pos, x): causal self-attention with rotated queries and keys and an output projection wo."""
+    sides = qkv(rows, weights, count)
+    q, k = (sides[s].withColumn("x", rope(F.col("x"), F.col("pos"), theta)) for s in "qk")
+    weight = softmax(causal_scores(q, ["seq", "head"], k), ["seq", "head", "q_pos"])
+    out = attended(weight, sides["v"], ["seq", "head"]).groupBy("seq", "head", F.col("q_pos").alias("pos"))
+    out = out.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda d: d["value"]).alias("x"))
+    merged = merge_heads(out, ["seq", "pos"]).crossJoin(F.broadcast(weights))
+    return merged.select("seq", "pos", linear(F.col("x"), F.col("wo")).alias("x"))
+
+
+def block(rows: DataFrame, weights: DataFrame, count: int, eps: float = 1e-6, theta: float = 10_000.0) -> DataFrame:
+    """(seq, pos, x): a pre-norm layer, each branch added to what it reads."""
+    normed = rows.select("seq", "pos", once(rms_norm(F.col("x"), eps)).alias("x"))
+    seen = attention(normed, weights, count, theta).withColumnRenamed("x", "a")
+    mid = rows.join(seen, ["seq", "pos"]).select("seq", "pos", once(add(F.col("x"), F.col("a"))).alias("x")).crossJoin(F.broadcast(weights))
+    ffn = swiglu_ffn(rms_norm(F.col("x"), eps), F.col("gate"), F.col("up"), F.col("down"))
+    return mid.select("seq", "pos", add(F.col("x"), ffn).alias("x"))
+
+
+def forward(tokens: DataFrame, table: DataFrame, layers: list[DataFrame], count: int, eps: float = 1e-6, theta: float = 10_000.0) -> DataFrame:
+    """(seq, pos, logits): token vectors through the layers, the last norm, and the tied output.
+
+    ``tokens`` has (seq, pos, token), ``table`` (token, x) with tokens from 0 on."""
+    rows = tokens.join(table, "token").select("seq", "pos", F.col("x").cast("array<double>").alias("x"))
+    for weights in layers:
+        rows = block(rows, weights, count, eps, theta)
+    tied = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("token", "x"))), lambda r: r["x"]).alias("head"))  # the model's vocabulary
+    return rows.crossJoin(F.broadcast(tied)).select("seq", "pos", linear(rms_norm(F.col("x"), eps), F.col("head")).alias("logits"))
+
+
 def window_means(history: DataFrame, order: str, value: str, width: int) -> DataFrame:
     """One row: the means of the first and of the last ``width`` values."""
     first = history.orderBy(order).limit(width).agg(F.avg(value).alias("first_mean"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -9,6 +10,8 @@ import tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import materialize, release
+
 # Special tokens in the order of their ids, and the word mark.
 SPECIALS = ("<|pad|>", "<|unk|>", "<|bos|>", "<|eos|>")
 WORD_MARK = "▁"
@@ -29,17 +32,36 @@ def word_counts(lines: DataFrame, line: str = "line") -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def train(lines: DataFrame, path: str | None = None, vocab_size: int = 32_000, min_frequency: int = 2, line: str = "line") -> tokenizers.Tokenizer:
-    """Trains on the lines as they come to the driver, one partition at a time."""
+def train(lines: DataFrame, path: str | None = None, vocab_size: int = 32_000, min_frequency: int = 2, line: str = "line", most_words: int = 100_000_000) -> tokenizers.Tokenizer:
+    """Trains on the words of all lines, which the cluster counts; lines don't reach the driver.
+
+    The driver gets a row for each distinct word of enough occurrences (a merge needs
+    ``min_frequency`` of them) and feeds it to the trainer as often as it occurs. Where that
+    would be more than ``most_words``, a documented bound, all counts are divided alike.
+    """
     if vocab_size <= len(SPECIALS):
         raise ValueError(f"vocab_size must be over {len(SPECIALS)}")
     if min_frequency < 1:
         raise ValueError("min_frequency must be at least 1")
-    if lines.limit(1).count() == 0:
+    counted = materialize(word_counts(lines, line), "words")
+    total = counted.agg(F.sum("n")).first()[0]
+    if not total:
         raise ValueError("there are no lines to train on")
+    share = max(1, -(-total // most_words))
+    use = counted.filter(F.col("n") >= share) if share > 1 else counted
     tok = blank_tokenizer()
     trainer = tokenizers.trainers.BpeTrainer(vocab_size=vocab_size, min_frequency=min_frequency, special_tokens=list(SPECIALS), show_progress=False)
-    tok.train_from_iterator((r[0] for r in lines.select(line).toLocalIterator()), trainer)
+
+    def fed() -> Iterator[str]:
+        for r in use.toLocalIterator(prefetchPartitions=True):
+            left = r["n"] // share
+            while left > 0:
+                k = min(left, 10_000)
+                yield " ".join([r["word"]] * k)
+                left -= k
+
+    tok.train_from_iterator(fed(), trainer)
+    release(counted)
     if path:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
         tok.save(path)
@@ -103,7 +125,7 @@ def offsets(docs: DataFrame, size: str, order: list[str], block_rows: int = 100_
     parts = max(1, docs.count() // block_rows)
     if parts == 1:
         return docs.withColumn("offset", F.sum(size).over(Window.orderBy(*order)) - F.col(size))
-    cut = docs.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()).persist()
+    cut = materialize(docs.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "offsets")
     sums = cut.groupBy("part").agg(F.sum(size).alias("s"))
     first = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("first"))
     run = F.sum(size).over(Window.partitionBy("part").orderBy(*order)) - F.col(size)

@@ -121,6 +121,99 @@ def swiglu(spark, sf_dir):
     return rows.select("vec_id", F.round(nm.total(nm.swiglu(F.slice("v", 1, 32), F.slice("v", 33, 32))), 8).alias("total"))
 
 
+#: Sizes of the layer of the queries below; its parameters follow a rule that both engines know.
+WIDTH, FFN = 64, 32
+_SHAPES = {"wq": (WIDTH, WIDTH), "wk": (WIDTH, WIDTH), "wv": (WIDTH, WIDTH), "wo": (WIDTH, WIDTH), "gate": (FFN, WIDTH), "up": (FFN, WIDTH), "down": (WIDTH, FFN)}
+
+
+def _weights(spark, salt=0):
+    """One row: the matrices of a layer."""
+    def matrix(k, rows, cols):
+        one = lambda i: F.transform(F.sequence(F.lit(0), F.lit(cols - 1)), lambda j: F.sin((i * cols + j + 1000 * (k + salt)).cast("double")) / 4)
+        return F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), one)
+
+    return spark.range(1).select(*[matrix(k, *shape).alias(name) for k, (name, shape) in enumerate(_SHAPES.items())])
+
+
+def _sql_linear(x, name, salt=0):
+    """The product in SQL, each entry of the matrix from its rule."""
+    k, (rows, cols) = list(_SHAPES).index(name), _SHAPES[name]
+    return f"list_transform(range({rows}), lambda i: list_sum(list_transform(range({cols}), lambda j: {x}[j + 1] * sin((i * {cols} + j + {1000 * (k + salt)})::DOUBLE) / 4)))"
+
+
+def _sql_norm(x):
+    return f"list_transform({x}, lambda z: z / sqrt(list_sum(list_transform({x}, lambda y: y * y)) / len({x}) + 1e-6))"
+
+
+def _sql_rope(x):
+    angle = "pos * pow(10000.0, -2.0 * ((j - 1) // 2) / 16)"
+    return f"list_transform(range(1, 17), lambda j: CASE WHEN j % 2 = 1 THEN {x}[j] * cos({angle}) - {x}[j + 1] * sin({angle}) ELSE {x}[j - 1] * sin({angle}) + {x}[j] * cos({angle}) END)"
+
+
+def _sql_attention(source, p=""):
+    """CTEs that end with {p}att(seq, pos, x) over a relation (seq, pos, x)."""
+    cut = f"FROM {p}p, (SELECT unnest(range({HEADS})) AS head)"
+    side = lambda s: f"{s}[head * 16 + 1 : head * 16 + 16]"
+    return f"""{p}p AS (SELECT seq, pos, {_sql_linear('x', 'wq')} AS q, {_sql_linear('x', 'wk')} AS k, {_sql_linear('x', 'wv')} AS v FROM {source}),
+{p}h AS (SELECT seq, pos, head, {side('q')} AS q, {side('k')} AS k, {side('v')} AS v {cut}),
+{p}r AS (SELECT seq, pos, head, {_sql_rope('q')} AS q, {_sql_rope('k')} AS k, v FROM {p}h),
+{p}s AS (SELECT a.seq, a.head, a.pos, b.v, list_sum(list_transform(range(1, 17), lambda j: a.q[j] * b.k[j])) / 4 AS score FROM {p}r a JOIN {p}r b ON a.seq = b.seq AND a.head = b.head AND b.pos <= a.pos),
+{p}e AS (SELECT *, exp(score - max(score) OVER (PARTITION BY seq, head, pos)) AS e FROM {p}s),
+{p}o AS (SELECT seq, head, pos, generate_subscripts(v, 1) AS dim, unnest(v) * e AS part, e FROM {p}e),
+{p}c AS (SELECT seq, pos, head, dim, sum(part) / sum(e) AS value FROM {p}o GROUP BY ALL),
+{p}m AS (SELECT seq, pos, list(value ORDER BY head, dim) AS x FROM {p}c GROUP BY ALL),
+{p}att AS (SELECT seq, pos, {_sql_linear('x', 'wo')} AS x FROM {p}m)"""
+
+
+def _sequences(spark, sf_dir):
+    return _rows(spark, sf_dir).select("seq", "pos", F.col("v").alias("x"))
+
+
+_SEQ = f"(SELECT seq, pos, v AS x FROM {_E})"
+_SHOW = "SELECT seq, pos, round(list_sum(x), 5) + 0.0::DOUBLE AS total, round(x[1], 6) + 0.0::DOUBLE AS x0, round(x[64], 6) + 0.0::DOUBLE AS x63"  # no negative zero
+
+
+def _shown(rows):
+    shown = {"total": F.round(nm.total(F.col("x")), 5), "x0": F.round(F.get("x", F.lit(0)), 6), "x63": F.round(F.get("x", F.lit(63)), 6)}
+    return rows.select("seq", "pos", *[(v + F.lit(0.0)).alias(k) for k, v in shown.items()])
+
+
+@query(f"WITH p AS (SELECT seq, pos, {_sql_linear('x', 'wq')} AS q, {_sql_linear('x', 'wk')} AS k, {_sql_linear('x', 'wv')} AS v FROM {_SEQ}) SELECT seq, pos, side, head, round(list_sum(x[head * 16 + 1 : head * 16 + 16]), 6) AS total FROM (SELECT seq, pos, unnest(['q', 'k', 'v']) AS side, unnest([q, k, v]) AS x FROM p), (SELECT unnest(range({HEADS})) AS head)")
+def qkv_projection(spark, sf_dir):
+    sides = nm.qkv(_sequences(spark, sf_dir), _weights(spark), HEADS)
+    parts = [rows.select("seq", "pos", F.lit(s).alias("side"), F.col("head").cast("long").alias("head"), F.round(nm.total(F.col("x")), 6).alias("total")) for s, rows in sides.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"{_SHOW} FROM {_SEQ}")
+def merged_heads(spark, sf_dir):
+    cut = nm.heads(_sequences(spark, sf_dir).withColumnRenamed("x", "v"), "v", HEADS).drop("v")
+    return _shown(nm.merge_heads(cut, ["seq", "pos"]))
+
+
+@query(f"WITH {_sql_attention(_SEQ)} {_SHOW} FROM att")
+def self_attention(spark, sf_dir):
+    return _shown(nm.attention(_sequences(spark, sf_dir), _weights(spark), HEADS))
+
+
+_GATED = f"(SELECT seq, pos, x, {_sql_linear('n', 'gate')} AS g, {_sql_linear('n', 'up')} AS u FROM {{0}})"
+_FFN = f"(SELECT seq, pos, x, {_sql_linear('h', 'down')} AS f FROM (SELECT seq, pos, x, list_transform(range(1, {FFN + 1}), lambda j: g[j] / (1 + exp(-g[j])) * u[j]) AS h FROM {_GATED}))"
+
+
+@query(f"{_SHOW} FROM (SELECT seq, pos, f AS x FROM {_FFN.format(f'(SELECT seq, pos, x, x AS n FROM {_SEQ})')})")
+def swiglu_ffn(spark, sf_dir):
+    rows = _sequences(spark, sf_dir).crossJoin(F.broadcast(_weights(spark)))
+    return _shown(rows.select("seq", "pos", nm.swiglu_ffn(F.col("x"), F.col("gate"), F.col("up"), F.col("down")).alias("x")))
+
+
+_MID = f"(SELECT s.seq, s.pos, list_transform(range(1, {WIDTH + 1}), lambda j: s.x[j] + a.x[j]) AS x FROM {_SEQ} s JOIN att a ON s.seq = a.seq AND s.pos = a.pos)"
+
+
+@query(f"WITH {_sql_attention(f'(SELECT seq, pos, {_sql_norm(chr(120))} AS x FROM {_SEQ})')}, mid AS {_MID}, f AS {_FFN.format(f'(SELECT seq, pos, x, {_sql_norm(chr(120))} AS n FROM mid)')}, y AS (SELECT seq, pos, list_transform(range(1, {WIDTH + 1}), lambda j: x[j] + f[j]) AS x FROM f) {_SHOW} FROM y")
+def transformer_block(spark, sf_dir):
+    return _shown(nm.block(_sequences(spark, sf_dir), _weights(spark), HEADS))
+
+
 @query("SELECT event_id, label, round(embedding[1]::DOUBLE, 9) AS x0 FROM events JOIN embeddings ON user_id = vec_id")
 def embedding_lookup(spark, sf_dir):
     ids = table(spark, sf_dir, "events").select("event_id", "user_id")

@@ -59,11 +59,12 @@ def token_counts(spark, sf_dir):
     return rows.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.size("ids")).alias("tokens"))
 
 
-@query()
+@query("SELECT count(*)::BIGINT AS documents, count(*)::BIGINT AS end_tokens, count(*)::BIGINT AS ended FROM documents WHERE text IS NOT NULL")
 def eos_invariant(spark, sf_dir):
+    """As many end tokens as documents, one at the end of each; ids stay in their rows."""
     rows, eos = _encoded(spark, sf_dir)
-    ids = rows.select(F.explode("ids").alias("token"))
-    return ids.agg(F.count_if(F.col("token") == eos).alias("eos"), F.count("*").alias("tokens"))
+    ends = F.size(F.filter("ids", lambda t: t == eos))
+    return rows.filter("ids IS NOT NULL").agg(F.count("*").alias("documents"), F.sum(ends).cast("long").alias("end_tokens"), F.count_if(F.element_at("ids", -1) == eos).alias("ended"))
 
 
 @query(o.corpus() + "SELECT doc_id, n::BIGINT AS n, (sum(n) OVER (ORDER BY source, document_id) - n)::BIGINT AS offset FROM (SELECT *, len(string_split(text, ' ')) + 1 AS n FROM u)")

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 PROVENANCE = ("id", "url", "dump", "title", "language", "language_score", "token_count", "score", "int_score")
 JSON_KEYS = ("license", "url", "notes", "id")
 FORMATS = {"txt": ".txt", "jsonl": ".jsonl", "parquet": ".parquet"}
+#: Bytes of a scan, by its statistics, that are dealt out anew.
+SPREAD_BYTES = 256 << 20
 CORE = "source string, language string, path string, format string, line long, ord long, text string, prov map<string,string>, error string"
 
 
@@ -147,9 +149,11 @@ def read_parquet(spark: SparkSession, path: str, source: str, language: str | No
 
 def spread(scan: DataFrame) -> DataFrame:
     """A table that a scan cuts into fewer parts than there are cores, such as one small file
-    of one row group, dealt to all cores. Larger tables are left as they are: no shuffle."""
+    of one row group, dealt to all cores. Tables of over ``SPREAD_BYTES`` are left as they are,
+    however many cores there are: no shuffle."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    small = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES
+    return scan.repartition(cores) if small and scan.rdd.getNumPartitions() < cores else scan
 
 
 def columns_of(spark: SparkSession, path: str) -> list[str]:

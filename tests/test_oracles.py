@@ -7,7 +7,7 @@ from millrace.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["corpus_funnel", "normalize_steps", "filter_reasons_tight", "exact_dedup", "split_fallback_val", "mix_oversample", "token_estimate", "lm_samples", "causal_softmax", "rope", "source_report"]
+SOME = ["corpus_funnel", "normalize_steps", "filter_reasons_tight", "exact_dedup", "split_fallback_val", "mix_oversample", "token_estimate", "lm_samples", "causal_softmax", "rope", "transformer_block", "qkv_projection", "swiglu_ffn", "eos_invariant", "mix_stats", "source_report"]
 
 
 @pytest.fixture(scope="module")
@@ -28,4 +28,4 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_an_oracle_or_is_named():
-    assert {n for n in catalog.queries() if n not in catalog.oracle_sql()} == {"bpe_encode", "token_counts", "eos_invariant"}
+    assert {n for n in catalog.queries() if n not in catalog.oracle_sql()} == {"bpe_encode", "token_counts"}
