@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, path: str, limit: int = 2048, end_id: int = 0, id: s
     return docs.select(F.col(id).alias("id"), text_of(text).alias("text")).transform(in_arrow, cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(found: DataFrame, limit: int = 2048, per_bucket: int = 100_000) -> DataFrame:
+def pack(found: DataFrame, limit: int = 2048, per_bucket: int = 5_000) -> DataFrame:
     """Adds sequence_id and offset to pieces that are written down already.
 
     Ranks within a length come from counts of (length, hash bucket) and a row number
