@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import materialize
 
 #: Rows that one task orders at once.
-PER_BUCKET = 20_000
+PER_BUCKET = 5_000
 
 
 def shard(docs: DataFrame, shards: int = 16, seed: int = 17, id: str = "doc_id", text: str = "text", stratum: str = "source", per_bucket: int = PER_BUCKET) -> DataFrame:
@@ -51,7 +51,7 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 17, id: str = "doc_id",
     ranked = materialize(ranked.select("id", "size", "crc", "h", "stratum", fraction.alias("fraction")), "shard-ranks")
 
     ranked = ranked.withColumn("run", F.least(F.floor(F.col("fraction") * buckets), F.lit(buckets - 1)))
-    runs = ranked.groupBy("run").agg(F.count("*").alias("n"))  # a row for each 20,000 documents
+    runs = ranked.groupBy("run").agg(F.count("*").alias("n"))  # a row for each 5,000 documents
     runs = runs.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("first"))
     nth = F.row_number().over(Window.partitionBy("run").orderBy("fraction", "stratum", *tie))
     placed = ranked.withColumn("nth", nth).join(runs, "run").withColumn("place", F.col("first") + F.col("nth") - 1)
