@@ -15,6 +15,8 @@ from millrace.sources.tables import materialize, release
 # Special tokens in the order of their ids, and the word mark.
 SPECIALS = ("<|pad|>", "<|unk|>", "<|bos|>", "<|eos|>")
 WORD_MARK = "▁"
+#: Words that go to the trainer at once.
+FED = 20_000
 
 
 def blank_tokenizer() -> tokenizers.Tokenizer:
@@ -53,12 +55,17 @@ def train(lines: DataFrame, path: str | None = None, vocab_size: int = 32_000, m
     trainer = tokenizers.trainers.BpeTrainer(vocab_size=vocab_size, min_frequency=min_frequency, special_tokens=list(SPECIALS), show_progress=False)
 
     def fed() -> Iterator[str]:
+        held: list[str] = []
         for r in use.toLocalIterator(prefetchPartitions=True):
             left = r["n"] // share
             while left > 0:
-                k = min(left, 10_000)
-                yield " ".join([r["word"]] * k)
+                k = min(left, FED - len(held))
+                held += [r["word"]] * k
                 left -= k
+                if len(held) == FED:
+                    yield " ".join(held)
+                    held = []
+        yield " ".join(held)
 
     tok.train_from_iterator(fed(), trainer)
     release(counted)
