@@ -539,7 +539,8 @@ def templates(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
 
 
 def _slots(pages: DataFrame) -> DataFrame:
-    """(host, page, at, above, h, chars, linked) of every block of the pages that follow their template."""
+    """(host, page, at, above, h, chars, linked) of every block of the pages that follow their
+    template; text that names set apart, such as comments longer than the article, weighs nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[Node]] = {}
@@ -555,7 +556,7 @@ def _slots(pages: DataFrame) -> DataFrame:
                     continue
                 long = sorted(((len(b.text), b.text) for b in tree[1]), reverse=True)[:2]
                 own = xxhash.xxh64_intdigest("\n".join(t for _, t in long).encode()) - (1 << 63)
-                rows += [(host, own, at, above, _text_hash(b), len(b.text), b.linked >= 0.9 * len(b.text)) for b, at, above in found]
+                rows += [(host, own, at, above, _text_hash(b), 0 if b.skip else len(b.text), b.linked >= 0.9 * len(b.text)) for b, at, above in found]
             names = ["host", "page", "at", "above", "h", "chars", "linked"]
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7

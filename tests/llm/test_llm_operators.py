@@ -104,6 +104,15 @@ def test_wrappers_find_the_content_of_pages_without_names(spark):
     assert sum(html_extract.extract(h) == want[k] for k, _, h in rows) < 20  # alone a page does not tell
 
 
+def test_long_comments_do_not_draw_the_content_to_them(spark):
+    r = random.Random(2)
+    say = lambda n: " ".join("".join(r.choice("abcdefg") for _ in range(5)) for _ in range(n))
+    bodies = [[say(9), say(9)] for _ in range(8)]
+    rows = [(k, f"http://h.example/{k}", f"<body><div><h1>{say(3)}</h1>{''.join(f'<p>{x}' for x in b)}</div><div class=comments><div><p>{say(40)}<p>{say(50)}</div></div><div>{say(2)}</div>") for k, b in enumerate(bodies)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {x["page_id"]: x["text"].split("\n")[1:] for x in got} == dict(enumerate(bodies))
+
+
 def brute_matching(a, b):
     if a.tag != b.tag:
         return 0
