@@ -94,6 +94,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.suffix_dedup import dedup
+
+    return dedup(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.prefix_trie import sequences, shared_heads, trie
+
+    return trie(shared_heads(sequences(read(spark, sf_dir, "conversations"))))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.lexical_search import search
+
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark", dealt=False))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -106,10 +124,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_sharding": op9_sharding,
         "op10_token_counts": op10_token_counts,
+        "op11_suffix_array_dedup": op11_suffix_array_dedup,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from millrace.llm import licenses, line_dedup, ngram_join, sharding
+    from millrace.llm import lexical_search, licenses, line_dedup, ngram_join, prefix_trie, sharding, suffix_dedup
 
-    return {"op3_ngram_join": ngram_join.oracle(), "op4_license_scans": licenses.oracle(), "op7_line_dedup": line_dedup.oracle(), "op9_sharding": sharding.oracle()}
+    return {
+        "op3_ngram_join": ngram_join.oracle(),
+        "op4_license_scans": licenses.oracle(),
+        "op7_line_dedup": line_dedup.oracle(),
+        "op9_sharding": sharding.oracle(),
+        "op11_suffix_array_dedup": suffix_dedup.oracle(),
+        "op12_prefix_trie": prefix_trie.oracle(),
+        "op13_lexical_search": lexical_search.oracle(),
+    }
