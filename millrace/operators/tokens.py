@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -10,13 +9,13 @@ import tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.sources.tables import materialize, release
+from millrace.functions.text import nfc as text_nfc
+from millrace.operators import bpe
+from millrace.sources.tables import materialize
 
 # Special tokens in the order of their ids, and the word mark.
 SPECIALS = ("<|pad|>", "<|unk|>", "<|bos|>", "<|eos|>")
 WORD_MARK = "▁"
-#: Words that go to the trainer at once.
-FED = 20_000
 
 
 def blank_tokenizer() -> tokenizers.Tokenizer:
@@ -34,41 +33,32 @@ def word_counts(lines: DataFrame, line: str = "line") -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def train(lines: DataFrame, path: str | None = None, vocab_size: int = 32_000, min_frequency: int = 2, line: str = "line", most_words: int = 100_000_000) -> tokenizers.Tokenizer:
+def marked_counts(lines: DataFrame, line: str = "line") -> DataFrame:
+    """(word, n) as the tokenizer sees words: in NFC, cut at word marks, each with a mark before it.
+    Distinct words are normalized, not their occurrences."""
+    plain = F.replace(text_nfc(F.col("word")), F.lit(WORD_MARK), F.lit(" "))
+    cut = word_counts(lines, line).select(F.explode(F.split(plain, " ")).alias("word"), "n").filter("word <> ''")
+    return cut.groupBy(F.concat(F.lit(WORD_MARK), "word").alias("word")).agg(F.sum("n").alias("n"))
+
+
+def train(lines: DataFrame, path: str | None = None, vocab_size: int = 32_000, min_frequency: int = 2, line: str = "line") -> tokenizers.Tokenizer:
     """Trains on the words of all lines, which the cluster counts; lines don't reach the driver.
 
-    The driver gets a row for each distinct word of enough occurrences (a merge needs
-    ``min_frequency`` of them) and feeds it to the trainer as often as it occurs. Where that
-    would be more than ``most_words``, a documented bound, all counts are divided alike.
+    The driver gets one row for each distinct word, with its count, and learns the merges
+    from these weights (``bpe.learn``): its time and memory go with the distinct words, about
+    60 bytes a letter, whatever the size of the corpus. No word is dropped and no count changed.
     """
     if vocab_size <= len(SPECIALS):
         raise ValueError(f"vocab_size must be over {len(SPECIALS)}")
     if min_frequency < 1:
         raise ValueError("min_frequency must be at least 1")
-    counted = materialize(word_counts(lines, line), "words")
-    total = counted.agg(F.sum("n")).first()[0]
-    if not total:
+    counted = marked_counts(lines, line).toArrow()
+    if not len(counted):
         raise ValueError("there are no lines to train on")
-    share = max(1, -(-total // most_words))
-    use = counted.filter(F.col("n") >= share) if share > 1 else counted
+    vocab, merges = bpe.learn(counted.column("word").to_pylist(), counted.column("n").to_numpy(), vocab_size, min_frequency, SPECIALS)
     tok = blank_tokenizer()
-    trainer = tokenizers.trainers.BpeTrainer(vocab_size=vocab_size, min_frequency=min_frequency, special_tokens=list(SPECIALS), show_progress=False)
-
-    def fed() -> Iterator[str]:
-        held: list[str] = []
-        for r in use.toLocalIterator(prefetchPartitions=True):
-            left = r["n"] // share
-            while left > 0:
-                k = min(left, FED - len(held))
-                held += [r["word"]] * k
-                left -= k
-                if len(held) == FED:
-                    yield " ".join(held)
-                    held = []
-        yield " ".join(held)
-
-    tok.train_from_iterator(fed(), trainer)
-    release(counted)
+    tok.model = tokenizers.models.BPE(vocab=vocab, merges=merges, unk_token=SPECIALS[1], byte_fallback=True)
+    tok.add_special_tokens(list(SPECIALS))
     if path:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
         tok.save(path)
@@ -156,13 +146,13 @@ def samples(tokens: DataFrame, length: int, total: int | None = None) -> DataFra
 
 
 def batches(samples: DataFrame, batch_size: int, seed: int | None = None, drop_last: bool = False) -> DataFrame:
-    """(batch_id, sample_ids): samples by their order, or by a seeded hash of it."""
+    """(batch_id, sample_ids): samples by their order, or by a seeded hash of it (MD5 of ``seed|sample_id``)."""
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
     if seed is None:  # ids are gapless from 0: they are their own places
         keyed = samples.select("sample_id", F.col("sample_id").alias("k"))
     else:
-        shuffled = samples.select("sample_id", F.xxhash64(F.lit(seed), "sample_id").alias("h"), F.lit(1).alias("one"))
+        shuffled = samples.select("sample_id", F.md5(F.concat_ws("|", F.lit(seed), "sample_id").cast("binary")).alias("h"), F.lit(1).alias("one"))
         keyed = offsets(shuffled, "one", ["h", "sample_id"]).select("sample_id", F.col("offset").alias("k"))
     rows = keyed.groupBy(F.expr(f"k div {batch_size}").alias("batch_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "sample_id"))), lambda x: x["sample_id"]).alias("sample_ids"))
     return rows.filter(F.size("sample_ids") == batch_size) if drop_last else rows
