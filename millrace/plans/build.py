@@ -146,7 +146,7 @@ def preprocess(spark: SparkSession, path: str, tokenizer: str, output: str, vali
     """The plain path: text files, a seeded split of the file list, no cleaning."""
     import random
 
-    files = readers.list_files(path, ".txt")
+    files = readers.list_files(path, ".txt", spark)
     order = list(files)
     random.Random(seed).shuffle(order)
     n_val = 0 if len(order) == 1 or validation_ratio == 0 else min(max(1, round(len(order) * validation_ratio)), len(order) - 1)

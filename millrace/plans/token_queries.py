@@ -8,6 +8,7 @@ from millrace.operators import tokens as tk
 from millrace.plans import oracles as o
 from millrace.plans.corpus_queries import documents, unique
 from millrace.sources import token_bin
+from millrace.sources.tables import scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -53,6 +54,14 @@ def bpe_encode(spark, sf_dir):
     return _encoded(spark, sf_dir)[0].select("doc_id", "ids")
 
 
+@query("SELECT doc_id, md5(replace(nfc_normalize(text), chr(10), '')) AS decoded FROM documents WHERE text IS NOT NULL")
+def bpe_round_trip(spark, sf_dir):
+    """Documents encoded and decoded again. The tokenizer has seen every letter, but no line end: these are unknown to it."""
+    tok = tk.train(_lines(spark, sf_dir), vocab_size=1000)
+    rows = documents(spark, sf_dir).filter("text IS NOT NULL").select("doc_id", tk.encoder(spark, tok)(F.col("text")).alias("ids"))
+    return rows.select("doc_id", F.md5(tk.decoder(spark, tok)("ids").cast("binary")).alias("decoded"))
+
+
 @query()
 def token_counts(spark, sf_dir):
     rows, _ = _encoded(spark, sf_dir)
@@ -81,16 +90,31 @@ def _stream(spark, sf_dir):
     return e.select(F.col("event_id").alias("pos"), (F.col("user_id") * 31 + F.col("event_id") % 97).cast("long").alias("token"))
 
 
+def _samples(spark, sf_dir):
+    """The stream written in parts, and samples cut where these are read."""
+    path = scratch(spark, "lm-stream")
+    token_bin.write_stream(_stream(spark, sf_dir).select("pos", F.array("token").alias("ids")), path, 100_000, ["pos"])
+    return token_bin.read_samples(spark, path, 64)
+
+
 @query(f"WITH t AS ({_STREAM}), x AS (SELECT pos, token, lead(token) OVER (ORDER BY pos) AS next FROM t) SELECT pos // 64 AS sample_id, string_agg(token::VARCHAR, ',' ORDER BY pos) AS input_ids, string_agg(next::VARCHAR, ',' ORDER BY pos) AS labels FROM x WHERE pos // 64 < ((SELECT count(*) FROM t) - 1) // 64 GROUP BY 1")
 def lm_samples(spark, sf_dir):
-    s = tk.samples(_stream(spark, sf_dir), 64)
-    return s.select("sample_id", *[F.concat_ws(",", F.col(c).cast("array<string>")).alias(c) for c in ("input_ids", "labels")])
+    return _samples(spark, sf_dir).select("sample_id", *[F.concat_ws(",", F.col(c).cast("array<string>")).alias(c) for c in ("input_ids", "labels")])
+
+
+def _batched(batches):
+    return batches.select("batch_id", F.concat_ws(",", F.col("sample_ids").cast("array<string>")).alias("sample_ids"))
 
 
 @query(f"WITH t AS ({_STREAM}) SELECT s // 8 AS batch_id, string_agg(s::VARCHAR, ',' ORDER BY s) AS sample_ids FROM (SELECT unnest(range(((SELECT count(*) FROM t) - 1) // 64)) AS s) GROUP BY 1")
 def lm_batches(spark, sf_dir):
-    b = tk.batches(tk.samples(_stream(spark, sf_dir), 64), 8)
-    return b.select("batch_id", F.concat_ws(",", F.col("sample_ids").cast("array<string>")).alias("sample_ids"))
+    return _batched(tk.batches(_samples(spark, sf_dir), 8))
+
+
+@query(f"WITH t AS ({_STREAM}), s AS (SELECT s, row_number() OVER (ORDER BY md5('7|' || s), s) - 1 AS k FROM (SELECT unnest(range(((SELECT count(*) FROM t) - 1) // 64)) AS s)) SELECT k // 8 AS batch_id, string_agg(s::VARCHAR, ',' ORDER BY k) AS sample_ids FROM s GROUP BY 1 HAVING count(*) = 8")
+def lm_batches_shuffled(spark, sf_dir):
+    """A seeded order, without the last batch where it is not full."""
+    return _batched(tk.batches(_samples(spark, sf_dir), 8, seed=7, drop_last=True))
 
 
 @query(f"SELECT count(*) FILTER (token >= 3000)::BIGINT AS invalid FROM ({_STREAM})")

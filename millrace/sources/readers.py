@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import reduce
 from pathlib import Path
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.storage import any_case, has_scheme, kind, listing, qualified
+
 # Provenance columns that are kept where a Parquet file has them, and the
 # optional keys of a JSON line.
 PROVENANCE = ("id", "url", "dump", "title", "language", "language_score", "token_count", "score", "int_score")
@@ -26,23 +29,18 @@ SPREAD_BYTES = 256 << 20
 CORE = "source string, language string, path string, format string, line long, ord long, text string, prov map<string,string>, error string"
 
 
-def list_files(path: str, suffix: str) -> list[str]:
-    """The files of a path with this suffix, sorted; what isn't there is an error."""
-    p = Path(path)
-    if p.is_file():
-        if p.suffix.lower() != suffix:
-            raise ValueError(f"{path} is not a {suffix} file")
-        return [str(p)]
-    if not p.exists():
-        raise FileNotFoundError(path)
-    found = sorted(str(f) for f in p.rglob("*") if f.is_file() and f.suffix.lower() == suffix)
-    if not found:
-        raise FileNotFoundError(f"no {suffix} files under {path}")
-    return found
+def list_files(path: str, suffix: str, spark: SparkSession | None = None) -> list[str]:
+    """The files of a path with this suffix, sorted; what isn't there is an error. For folders of many
+    files use ``storage.listing``, whose rows stay on the cluster."""
+    rows = listing((spark or SparkSession.builder.getOrCreate()), path, suffix).select("path").orderBy("path").collect()
+    return [re.sub(r"^file:/+", "/", r["path"]) for r in rows]
 
 
-def _uris(files: list[str]) -> list[str]:
-    return [Path(f).absolute().as_uri() for f in files]
+def _load(spark: SparkSession, path: str, suffix: str, fmt: str, **options: str | bool) -> DataFrame:
+    """All files below a path with this suffix. Spark lists them; the driver holds no list."""
+    listing(spark, path, suffix)  # what isn't there is an error
+    reader = spark.read.format(fmt).option("recursiveFileLookup", "true").option("pathGlobFilter", any_case(suffix)).options(**options)
+    return reader.load(qualified(spark, path))
 
 
 def _core(df: DataFrame, source: str, language: str | None, fmt: str) -> DataFrame:
@@ -57,22 +55,21 @@ def _core(df: DataFrame, source: str, language: str | None, fmt: str) -> DataFra
 
 def read_txt(spark: SparkSession, path: str, source: str, language: str | None = None) -> DataFrame:
     """One document a file; bytes that aren't UTF-8 become U+FFFD."""
-    files = list_files(path, ".txt")
-    raw = spark.read.format("binaryFile").load(_uris(files))
+    raw = _load(spark, path, ".txt", "binaryFile")
     rows = raw.select(F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("path"), F.lit(0).alias("line"))
     return _core(rows.withColumn("ord", F.lit(0)), source, language, "txt")
 
 
 def read_txt_strict(spark: SparkSession, path: str) -> DataFrame:
     """(path, text), trimmed; empty files and bytes that aren't UTF-8 are errors."""
-    raw = spark.read.format("binaryFile").load(_uris(list_files(path, ".txt")))
+    raw = _load(spark, path, ".txt", "binaryFile")
     text = F.trim(F.validate_utf8(F.col("content").cast("string")))
     return raw.select("path", F.when(text == "", F.raise_error(F.concat(F.lit("empty document: "), "path")).cast("string")).otherwise(text).alias("text"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-empty trimmed lines of text files."""
-    return spark.read.text(_uris(list_files(path, ".txt"))).select(F.trim("value").alias("line")).filter("line <> ''")
+    return _load(spark, path, ".txt", "text").select(F.trim("value").alias("line")).filter("line <> ''")
 
 
 def parse_json_lines(lines: DataFrame, text_field: str = "text") -> DataFrame:
@@ -109,7 +106,7 @@ def parse_json_lines(lines: DataFrame, text_field: str = "text") -> DataFrame:
 
 def read_jsonl(spark: SparkSession, path: str, source: str, language: str | None = None, text_field: str = "text") -> DataFrame:
     """One document a line; lines are numbered with the blank ones."""
-    whole = spark.read.text(_uris(list_files(path, ".jsonl")), wholetext=True).select("_metadata.file_path", "value")
+    whole = _load(spark, path, ".jsonl", "text", wholetext=True).select("_metadata.file_path", "value")
     lines = whole.select(F.col("file_path").alias("path"), F.posexplode(F.split("value", "\r\n|\n|\r", -1)).alias("k", "value"))
     parsed = parse_json_lines(lines.withColumn("line", F.col("k") + 1), text_field)
     return _core(parsed.withColumn("ord", F.col("line")), source, language, "jsonl")
@@ -137,7 +134,7 @@ def with_errors(df: DataFrame, text_field: str = "text") -> DataFrame:
 
 def read_parquet(spark: SparkSession, path: str, source: str, language: str | None = None, text_field: str = "text") -> DataFrame:
     """Rows of Parquet files: the text and what provenance columns there are, and no others."""
-    found = spark.read.parquet(*_uris(list_files(path, ".parquet"))) if "://" not in path else spark.read.parquet(path)
+    found = _load(spark, path, ".parquet", "parquet")
     checked = with_errors(found, text_field)
     there = [c for c in PROVENANCE if c in found.columns]
     prov = F.map_filter(F.create_map(*[x for c in there for x in (F.lit(c), F.col(c).cast("string"))]), lambda _, v: v.isNotNull()) if there else F.create_map()
@@ -187,21 +184,22 @@ def load_manifest(path: str) -> dict:
     return found
 
 
-def resolve(path: str, manifest: str) -> str:
-    """An absolute path as it is; else beside the manifest, else from here."""
-    if os.path.isabs(path):
+def resolve(path: str, manifest: str, spark: SparkSession | None = None) -> str:
+    """An absolute path or one with a scheme as it is; else beside the manifest, else from here."""
+    if os.path.isabs(path) or has_scheme(path):
         return path
-    tried = [Path(manifest).parent / path, Path.cwd() / path]
-    for t in tried:
-        if t.exists():
-            return str(t.resolve())
-    raise FileNotFoundError(f"{path}: neither {tried[0]} nor {tried[1]}")
+    session = spark or SparkSession.builder.getOrCreate()
+    beside = f"{manifest.rpartition('/')[0] or '.'}/{path}"
+    for tried in (beside, path):
+        if kind(session, tried):
+            return tried if has_scheme(tried) else str(Path(tried).resolve())
+    raise FileNotFoundError(f"{path}: neither {beside} nor {Path.cwd() / path}")
 
 
 def read_manifest(spark: SparkSession, path: str, text_field: str = "text") -> DataFrame:
     """All sources of a manifest, in its order (src_idx)."""
     parts = []
     for k, s in enumerate(load_manifest(path)["sources"]):
-        df = read_source(spark, resolve(s["path"], path), s["name"], s["format"], s.get("language"), s.get("text_field", text_field))
+        df = read_source(spark, resolve(s["path"], path, spark), s["name"], s["format"], s.get("language"), s.get("text_field", text_field))
         parts.append(df.withColumn("src_idx", F.lit(k)))
     return reduce(lambda a, b: a.unionByName(b), parts)

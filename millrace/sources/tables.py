@@ -44,6 +44,13 @@ def _cleanup() -> None:
             return
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: it cuts the lineage, and
     the loss of an executor costs at most the task in hand. Deleted when the driver ends."""
