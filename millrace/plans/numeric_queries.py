@@ -214,6 +214,72 @@ def transformer_block(spark, sf_dir):
     return _shown(nm.block(_sequences(spark, sf_dir), _weights(spark), HEADS))
 
 
+def _gain_row(spark, *names):
+    """One row: the gains of norms, by a rule that both engines know."""
+    one = lambda k: F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda j: 1 + F.sin((j + k).cast("double")) / 8)
+    return spark.range(1).select(*[one(_GAINS[n]).alias(n) for n in names])
+
+
+NORM1 = "norm1"
+_GAINS = {"norm1": 1, "norm2": 2, "gain": 3}
+
+
+def _sql_scaled(x, name):
+    return f"list_transform(range({WIDTH}), lambda g: ({_sql_norm(x)})[g + 1] * (1 + sin((g + {_GAINS[name]})::DOUBLE) / 8))"
+
+
+@query(f"SELECT vec_id, round(list_sum(n), 7) AS total, round({_SQ.format('n')}, 6) AS squares FROM (SELECT vec_id, {_sql_scaled('v', 'gain')} AS n FROM {_E})")
+def rmsnorm_gain(spark, sf_dir):
+    rows = _rows(spark, sf_dir).crossJoin(F.broadcast(_gain_row(spark, "gain"))).select("vec_id", nm.rms_norm(F.col("v"), gain=F.col("gain")).alias("n"))
+    return rows.select("vec_id", F.round(nm.total(F.col("n")), 7).alias("total"), F.round(nm.dot(F.col("n"), F.col("n")), 6).alias("squares"))
+
+
+def _layer(spark):
+    return _weights(spark).crossJoin(_gain_row(spark, "norm1", "norm2"))
+
+
+def _sql_layer(source):
+    """CTEs that end with y(seq, pos, x): one layer with gains over a relation (seq, pos, x)."""
+    mid = f"(SELECT s.seq, s.pos, list_transform(range(1, {WIDTH + 1}), lambda j: s.x[j] + a.x[j]) AS x FROM {source} s JOIN att a ON s.seq = a.seq AND s.pos = a.pos)"
+    ffn = _FFN.format(f"(SELECT seq, pos, x, {_sql_scaled('x', 'norm2')} AS n FROM mid)")
+    return f"{_sql_attention(f'(SELECT seq, pos, {_sql_scaled(chr(120), NORM1)} AS x FROM {source})')}, mid AS {mid}, f AS {ffn}, y AS (SELECT seq, pos, list_transform(range(1, {WIDTH + 1}), lambda j: x[j] + f[j]) AS x FROM f)"
+
+
+@query(f"WITH {_sql_layer(_SEQ)} {_SHOW} FROM y")
+def transformer_block_gain(spark, sf_dir):
+    return _shown(nm.block(_sequences(spark, sf_dir), _layer(spark), HEADS))
+
+
+#: Tokens of the model's vocabulary; their vectors follow a rule, as its other parameters do.
+VOCABULARY = 300
+_TABLE = f"(SELECT token, list_transform(range({WIDTH}), lambda j: sin((token * {WIDTH} + j)::DOUBLE)) AS x FROM range({VOCABULARY}) t(token))"
+_TOKENS = f"(SELECT seq, pos, x FROM (SELECT seq, pos, vec_id * 7 % {VOCABULARY} AS token FROM {_E}) JOIN {_TABLE} USING (token))"
+
+
+def _sql_forward(head):
+    logits = f"SELECT seq, pos, list(list_sum(list_transform(range(1, {WIDTH + 1}), lambda j: z.n[j] * h.x[j])) ORDER BY h.token) AS logits FROM (SELECT seq, pos, {_sql_scaled('x', 'gain')} AS n FROM y) z, {head} h GROUP BY ALL"
+    return f"WITH {_sql_layer(_TOKENS)}, l AS ({logits}) SELECT seq, pos, len(logits)::INTEGER AS n, round(list_sum(logits), 4) + 0.0::DOUBLE AS total, round(list_max(logits), 5) + 0.0::DOUBLE AS most, round(logits[1], 5) + 0.0::DOUBLE AS first FROM l"
+
+
+def _forward(spark, sf_dir, tied):
+    table = spark.range(VOCABULARY).select(F.col("id").alias("token"), F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda j: F.sin((F.col("id") * WIDTH + j).cast("double"))).alias("x"))
+    head = None if tied else table.select("token", F.transform("x", lambda x, j: x * F.cos((F.col("token") + j).cast("double"))).alias("x"))
+    tokens = _rows(spark, sf_dir).select("seq", "pos", (F.col("vec_id") * 7 % VOCABULARY).alias("token"))
+    found = nm.forward(tokens, table, [_layer(spark)], HEADS, gain=_gain_row(spark, "gain"), head=head, height=64)
+    shown = {"total": F.round(nm.total(F.col("logits")), 4), "most": F.round(F.array_max("logits"), 5), "first": F.round(F.get("logits", F.lit(0)), 5)}
+    return found.select("seq", "pos", F.size("logits").alias("n"), *[(v + F.lit(0.0)).alias(k) for k, v in shown.items()])
+
+
+@query(_sql_forward(_TABLE))
+def forward_tied(spark, sf_dir):
+    return _forward(spark, sf_dir, True)
+
+
+@query(_sql_forward(f"(SELECT token, list_transform(range(1, {WIDTH + 1}), lambda j: x[j] * cos((token + j - 1)::DOUBLE)) AS x FROM {_TABLE})"))
+def forward_untied(spark, sf_dir):
+    return _forward(spark, sf_dir, False)
+
+
 @query("SELECT event_id, label, round(embedding[1]::DOUBLE, 9) AS x0 FROM events JOIN embeddings ON user_id = vec_id")
 def embedding_lookup(spark, sf_dir):
     ids = table(spark, sf_dir, "events").select("event_id", "user_id")
