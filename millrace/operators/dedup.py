@@ -22,6 +22,20 @@ def winners(docs: DataFrame, key: str, order: list[str], text: str = "text") ->
     return docs.join(best, key, "left_semi")
 
 
+def places(docs: DataFrame, hash: str, order: list[str], keep: list[str]) -> DataFrame:
+    """(*order, *keep) of the first of equal texts, from a table without texts: a minimum by hash, put
+    together in each task before rows meet. Whoever holds the texts joins them by place."""
+    best = docs.groupBy(hash).agg(F.min(F.struct(*order, *[k for k in keep if k not in order])).alias("place"))
+    return best.select("place.*")
+
+
+def counts(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Seen, kept and duplicates by source, from all documents and those that stay."""
+    seen = docs.groupBy("source").agg(F.count("*").alias("seen"))
+    rows = seen.join(kept.groupBy("source").agg(F.count("*").alias("kept")), "source", "left").fillna(0, ["kept"])
+    return rows.withColumn("duplicates", F.col("seen") - F.col("kept"))
+
+
 def stats(ranked: DataFrame) -> DataFrame:
     """Seen, kept and duplicates by source; a duplicate counts where it was lost."""
     seen = ranked.groupBy("source").agg(F.count("*").alias("seen"), F.count_if(F.col("rank") == 1).alias("kept"))

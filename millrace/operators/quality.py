@@ -70,5 +70,10 @@ def reason_counts(classified: DataFrame) -> DataFrame:
 def previews(classified: DataFrame, order: list[str], most: int = 3, text: str = "text") -> DataFrame:
     """The first non-empty previews of each reason."""
     shown = classified.filter("reason IS NOT NULL").select("reason", *order, tx.preview(F.col(text)).alias("preview")).filter("preview <> ''")
+    return first_previews(shown, order, most)
+
+
+def first_previews(shown: DataFrame, order: list[str], most: int = 3) -> DataFrame:
+    """The first rows (reason, preview) of each reason."""
     nth = F.row_number().over(Window.partitionBy("reason").orderBy(*order))  # a limit that is pruned before the shuffle
     return shown.withColumn("nth", nth).filter(F.col("nth") <= most)

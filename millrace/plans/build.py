@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from millrace import __version__
 from millrace.functions import text as tx
-from millrace.operators import dedup, mix, quality, split, tokens
+from millrace.operators import dedup, limit, mix, quality, split, tokens
 from millrace.operators.quality import FilterConfig
 from millrace.sources import readers, token_bin
+from millrace.sources.tables import materialize, release
 
 PIPELINE_VERSION = f"millrace-{__version__}"
 
@@ -46,56 +47,78 @@ def by_key(df: DataFrame, key: str) -> dict:
     return {r[key]: {k: v for k, v in r.asDict().items() if k != key} for r in df.collect()}
 
 
-def ingest(docs: DataFrame, config: FilterConfig, max_documents: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(errors, classified documents). ``max_documents`` counts documents in the order of the sources."""
-    errors = docs.filter("error IS NOT NULL")
-    good = docs.filter("error IS NULL")
+PLACE = ["src_idx", "path", "ord"]
+
+
+def ingest(docs: DataFrame, config: FilterConfig, max_documents: int | None = None) -> DataFrame:
+    """Every row of the sources with its place, normalized and judged: reason and preview of what is rejected,
+    identities, length and text of what is kept, error of what can't be read. ``max_documents`` counts
+    documents in the order of the sources."""
     if max_documents is not None:
-        good = good.orderBy("src_idx", "path", "ord").limit(max_documents)
-    return errors, quality.classify(good, config)
+        inside = limit.cut_off(docs.filter("error IS NULL").select(*PLACE), max_documents, ["src_idx", "path"], "ord")
+        docs = docs if inside is None else docs.filter(F.col("error").isNotNull() | inside)
+    rows = quality.classify(docs, config)
+    stays, text = F.col("error").isNull() & F.col("reason").isNull(), F.col("text")
+    return rows.select(
+        *PLACE, "source", "error", F.when(F.col("error").isNull(), F.col("reason")).alias("reason"), F.when(F.col("reason").isNotNull(), tx.preview(text)).alias("preview"),
+        F.when(stays, tx.document_id(F.col("source"), text)).alias("document_id"), F.when(stays, tx.content_hash(text)).alias("hash"), F.when(stays, F.length(text).cast("long")).alias("chars"), F.when(stays, text).alias("text"),
+    ).withColumn("row", F.monotonically_increasing_id())
 
 
 def build(
     spark: SparkSession, manifest: str, output: str, tokenizer: str | None = None, validation_ratio: float = 0.01, seed: int = 42, vocab_size: int = 32_000, min_chars: int = 32,
-    max_documents: int | None = None, max_oversample: int = 3, text_field: str = "text", dry_run: bool = False, filter_overrides: dict | None = None,
+    max_documents: int | None = None, max_oversample: int = 3, text_field: str = "text", dry_run: bool = False, filter_overrides: dict | None = None, single_files: bool = True,
 ) -> dict:
-    """Builds a training corpus from a manifest; a dry run stops before tokenization."""
+    """Builds a training corpus from a manifest; a dry run stops before tokenization.
+
+    Texts are written down once, with their hashes; everything up to the encoding reads the columns beside them, and
+    encoding reads the texts that stay. ``single_files``: one file for each stream; else folders of parts."""
     sources = readers.load_manifest(manifest)["sources"]
     config = FilterConfig.of({"min_chars": min_chars, **(filter_overrides or {})})
     out = Path(output)
-    errors, rows = ingest(readers.read_manifest(spark, manifest, text_field), config, max_documents)
-    rows = rows.persist()  # scanned, normalized and judged once for the corpus and its reports
-    kept = quality.kept(rows).withColumns({"document_id": tx.document_id(F.col("source"), F.col("text")), "chars": F.length("text").cast("long")})
-    ranked = dedup.ranked(kept, ["source", "document_id", "src_idx", "path", "ord"]).persist()
-    unique = ranked.filter("rank = 1").drop("rank")
-    both = split.split(unique, validation_ratio, seed).persist()
+    whole = materialize(ingest(readers.read_manifest(spark, manifest, text_field), config, max_documents), "build-texts")
+    good, lean = whole.filter("error IS NULL"), whole.filter("document_id IS NOT NULL").select(*PLACE, "source", "document_id", "hash", "chars", "row")
+    unique = dedup.places(lean, "hash", ["source", "document_id", *PLACE], ["chars", "row"])
+    both = materialize(split.split(materialize(unique, "build-unique"), validation_ratio, seed), "build-split")
     if split.overlap(both).limit(1).count():
         raise RuntimeError("a document is on both sides of the split")
-    train, val = both.filter("split = 'train'"), both.filter("split = 'val'")
     weights = spark.createDataFrame([(s["name"], float(s["weight"])) for s in sources], "source string, weight double")
-    lean = train.select("source", "document_id", "ord", "chars")
-    mixed = mix.mix(lean, weights, max_oversample)
-    mixed_stats = by_key(mix.stats(lean, weights, mixed), "source")
-
-    error_counts = by_key(errors.groupBy(tx.error_kind(F.col("error")).alias("kind")).agg(F.count("*").alias("n")), "kind")
-    funnel = by_key(rows.groupBy("source").agg(F.count("*").alias("input"), F.count_if(F.col("reason").isNull()).alias("kept_after_filter"), F.count_if(F.col("reason").isNotNull()).alias("filtered")), "source")
-    error_sources = by_key(errors.groupBy("source").agg(F.count("*").alias("n")), "source")
+    train = both.filter("split = 'train'").select("source", "document_id", "ord", "chars", "row")
+    mixed = mix.mix(train, weights, max_oversample)
+    mixed_stats = by_key(mix.stats(train, weights, mixed), "source")
+
+    broken = whole.filter("error IS NOT NULL").groupBy("source", tx.error_kind(F.col("error")).alias("kind")).agg(F.count("*").alias("n")).collect()
+    error_counts: dict[str, int] = {}
+    error_sources: dict[str, int] = {}
+    for r in broken:
+        error_counts[r["kind"]] = error_counts.get(r["kind"], 0) + r["n"]
+        error_sources[r["source"]] = error_sources.get(r["source"], 0) + r["n"]
+    judged = good.groupBy("source", "reason").agg(F.count("*").alias("n")).collect()  # a row for each reason of each source
     none = {"input": 0, "kept_after_filter": 0, "filtered": 0}
-    funnel = {s["name"]: none | funnel.get(s["name"], {}) | {"parse_errors": error_sources.get(s["name"], {}).get("n", 0)} for s in sources}
-    reasons = {r["reason"]: r["n"] for r in quality.reason_counts(rows).orderBy(F.desc("n"), "reason").collect()}
+    funnel = {s["name"]: none | {"parse_errors": error_sources.get(s["name"], 0)} for s in sources}
+    found: dict[str, int] = {}
+    for r in judged:
+        own = funnel[r["source"]]
+        own["input"] += r["n"]
+        own["kept_after_filter" if r["reason"] is None else "filtered"] += r["n"]
+        if r["reason"] is not None:
+            found[r["reason"]] = found.get(r["reason"], 0) + r["n"]
+    reasons = dict(sorted(found.items(), key=lambda x: (-x[1], x[0])))
     samples: dict[str, list[str]] = {}
-    for r in quality.previews(rows, ["src_idx", "path", "ord"]).orderBy("reason", "nth").collect():
+    for r in quality.first_previews(good.filter("preview <> ''"), PLACE).orderBy("reason", "nth").collect():
         samples.setdefault(r["reason"], []).append(r["preview"][:120])
-    dedup_stats = by_key(dedup.stats(ranked), "source")
+    dedup_stats = by_key(dedup.counts(lean, both), "source")
     kept_docs, duplicates = (sum(s[k] for s in dedup_stats.values()) for k in ("kept", "duplicates"))
-    counts = {r["split"]: r["n"] for r in both.groupBy("split").agg(F.count("*").alias("n")).collect()}
-    avg_chars = unique.agg(F.coalesce(F.avg("chars"), F.lit(0.0))).first()[0]
+    sides = {r["split"]: r for r in both.groupBy("split").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect()}
+    counts = {k: r["n"] for k, r in sides.items()}
+    avg_chars = sum(r["chars"] for r in sides.values()) / sum(counts.values()) if counts else 0.0
     total_input = sum(f["input"] for f in funnel.values())
-    totals = {"input_documents": total_input, "kept_after_filter": sum(f["kept_after_filter"] for f in funnel.values()), "filtered_documents": sum(f["filtered"] for f in funnel.values()), "filter_reasons": reasons, "filter_samples": samples, "parse_errors": {k: v["n"] for k, v in error_counts.items()}}
+    totals = {"input_documents": total_input, "kept_after_filter": sum(f["kept_after_filter"] for f in funnel.values()), "filtered_documents": sum(f["filtered"] for f in funnel.values()), "filter_reasons": reasons, "filter_samples": samples, "parse_errors": error_counts}
 
     if dry_run:
         result = {"dry_run": True, "pipeline_version": PIPELINE_VERSION, "ingest": totals | {"by_source": funnel}, "dedup": {"kept": kept_docs, "duplicates": duplicates, "by_source": dedup_stats}, "split": {"train_documents": counts.get("train", 0), "val_documents": counts.get("val", 0)}, "mix": mixed_stats, "avg_chars_kept": avg_chars, "filter_reasons": reasons}
         write_json(out / "statistics.json", result)
+        release(whole, both)
         return result
 
     if tokenizer is None:
@@ -104,13 +127,16 @@ def build(
     eos = tokens.validate(tok, vocab_size)
     out.mkdir(parents=True, exist_ok=True)
     encode = tokens.encoder(spark, tok, eos)
-    encoded = both.select("source", "document_id", "ord", "split", encode(F.col("text")).alias("ids")).persist()  # each text once, however often it is mixed
-    stream = mixed.select("source", "document_id", "ord", "pass").join(encoded.filter("split = 'train'").drop("split"), ["source", "document_id", "ord"])
-    train_tokens, train_docs = token_bin.write_bin(stream, str(out / "train.bin"), vocab_size, ["source", "pass", "document_id", "ord"])
+    texts = whole.select("row", "text").join(both.select("row", "source", "document_id", "ord", "split"), "row")
+    encoded = materialize(texts.select("row", "source", "document_id", "ord", "split", encode(F.col("text")).alias("ids")), "build-ids")  # each text once, however often it is mixed
+    stream = mixed.select("row", "source", "document_id", "ord", "pass").join(encoded.select("row", "ids"), "row")
+    write = token_bin.write_bin if single_files else token_bin.write_stream
+    train_tokens, train_docs = write(stream, str(out / "train.bin"), vocab_size, ["source", "pass", "document_id", "ord"])
     val_stream = encoded.filter("split = 'val'")
-    val_tokens, val_docs = token_bin.write_bin(val_stream, str(out / "val.bin"), vocab_size, ["source", "document_id", "ord"])
-    per = lambda df: by_key(df.groupBy("source").agg(F.sum(F.size("ids")).alias("tokens"), F.count("*").alias("docs")), "source")
-    train_by, val_by = per(stream), per(val_stream)
+    val_tokens, val_docs = write(val_stream, str(out / "val.bin"), vocab_size, ["source", "document_id", "ord"])
+    sizes = materialize(encoded.select("row", "source", "split", F.size("ids").alias("n")), "build-sizes")
+    per = lambda df: by_key(df.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")), "source")
+    train_by, val_by = per(mixed.select("row", "source").join(sizes.select("row", "n"), "row")), per(sizes.filter("split = 'val'"))
 
     weight_sum = sum(float(s["weight"]) for s in sources)
     nothing = {"tokens": 0, "docs": 0}
@@ -137,8 +163,7 @@ def build(
     write_json(out / "sources.json", listed)
     write_json(out / "statistics.json", statistics)
     write_json(out / "build_config.json", {"validation_ratio": validation_ratio, "seed": seed, "min_chars": min_chars, "dedup": True, "pipeline_version": PIPELINE_VERSION, "max_oversample": max_oversample, "vocab_size": vocab_size})
-    for df in (rows, ranked, both, encoded):
-        df.unpersist()
+    release(whole, both, encoded, sizes)
     return metadata
 
 

@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--max-oversample", type=int, default=3)
     b.add_argument("--text-field", default="text")
     b.add_argument("--dry-run", action="store_true")
+    b.add_argument("--parts", action="store_true", help="streams as folders of parts")
     a = sub.add_parser("audit", help="a report on one source")
     a.add_argument("--input", required=True)
     a.add_argument("--format", default="parquet")
@@ -41,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--max-documents", type=int)
     a.add_argument("--previews", type=int, default=0)
     a.add_argument("--full-token-audit", action="store_true")
+    a.add_argument("--layout", choices=("general", "scale"), default="general")
     r = sub.add_parser("preprocess", help="text files to token streams, as they are")
     r.add_argument("--input", required=True)
     r.add_argument("--tokenizer", required=True)
@@ -69,9 +71,9 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = session()
     if a.command == "build":
-        done = build.build(spark, a.manifest, a.output, a.tokenizer, a.validation_ratio, a.seed, a.vocab_size, a.min_chars, a.max_documents, a.max_oversample, a.text_field, a.dry_run)
+        done = build.build(spark, a.manifest, a.output, a.tokenizer, a.validation_ratio, a.seed, a.vocab_size, a.min_chars, a.max_documents, a.max_oversample, a.text_field, a.dry_run, single_files=not a.parts)
     elif a.command == "audit":
-        done = audit.audit(spark, a.input, a.format, a.source, a.tokenizer, a.output, a.language, a.text_field, a.min_chars, a.sample_documents, a.seed, a.full_token_audit, a.max_documents, a.previews)
+        done = audit.audit(spark, a.input, a.format, a.source, a.tokenizer, a.output, a.language, a.text_field, a.min_chars, a.sample_documents, a.seed, a.full_token_audit, a.max_documents, a.previews, a.layout)
         print(audit.render(done))
         return 0
     elif a.command == "preprocess":

@@ -57,18 +57,20 @@ def kept(spark: SparkSession, sf_dir: str, config: FilterConfig = FilterConfig()
     return rows.withColumns({"document_id": tx.document_id(F.col("source"), F.col("text")), "chars": F.length("text").cast("long")})
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.ranked(kept(spark, sf_dir), ["source", "document_id", "doc_id"])
+def lean(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    """The documents that pass the filters, without their texts: hash, identities, length and ``more`` columns of them."""
+    return kept(spark, sf_dir).select("source", "document_id", "doc_id", "chars", tx.content_hash(F.col("text")).alias("hash"), *[c.alias(k) for k, c in more.items()])
 
 
-def unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(spark, sf_dir).filter("rank = 1").drop("rank")
+def unique(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    """(source, document_id, doc_id, chars, ``more``) of the documents that stay after dedup."""
+    return dedup.places(lean(spark, sf_dir, **more), "hash", ["source", "document_id", "doc_id"], ["chars", *more])
 
 
 def parts(spark: SparkSession, sf_dir: str, ratio: float = 0.2) -> DataFrame:
     """The split corpus without its texts, which the dataflow yields once."""
-    lean = unique(spark, sf_dir).select("doc_id", "source", "document_id", "chars")
-    return split.split(tables.materialize(lean, "unique"), ratio)
+    rows = unique(spark, sf_dir).select("doc_id", "source", "document_id", "chars")
+    return split.split(tables.materialize(rows, "unique"), ratio)
 
 
 @query(o.corpus() + "SELECT source, split, count(*)::BIGINT AS docs, sum(chars)::BIGINT AS chars FROM s GROUP BY ALL")
@@ -225,7 +227,7 @@ def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.kept(quality.classify(mixed_sources(spark, sf_dir)))
     rows = rows.withColumns({"document_id": tx.document_id(F.col("source"), F.col("text")), "chars": F.length("text").cast("long")})
-    rows = dedup.ranked(rows, ["source", "document_id", "doc_id"]).filter("rank = 1").select("source", "document_id", F.lit(0).alias("ord"), "chars")
+    rows = dedup.places(rows.withColumn("hash", tx.content_hash(F.col("text"))), "hash", ["source", "document_id", "doc_id"], ["chars"]).select("source", "document_id", F.lit(0).alias("ord"), "chars")
     train = split.split(tables.materialize(rows, "unique"), 0.01).filter("split = 'train'").drop("split")
     return tables.materialize(train, "train")
 
@@ -241,8 +243,7 @@ def union_sources(spark, sf_dir):
 
 @query(o.corpus() + "SELECT doc_id, document_id FROM u")
 def exact_dedup(spark, sf_dir):
-    rows = kept(spark, sf_dir).select("doc_id", "source", "document_id", "text")
-    return dedup.winners(rows, "doc_id", ["source", "document_id"]).select("doc_id", "document_id")
+    return unique(spark, sf_dir).select("doc_id", "document_id")
 
 
 @query(o.corpus() + "SELECT doc_id, rank::INTEGER AS rank FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rank FROM k)")
@@ -253,20 +254,27 @@ def dedup_by_arrival(spark, sf_dir):
 _STATS = "count(*)::BIGINT AS seen, count(*) FILTER (rank = 1)::BIGINT AS kept, count(*) FILTER (rank > 1)::BIGINT AS duplicates FROM d"
 
 
+def dedup_counts(spark, sf_dir):
+    """Seen, kept and duplicates by source, from one table of hashes."""
+    rows = tables.materialize(lean(spark, sf_dir).drop("chars"), "lean")
+    return dedup.counts(rows, dedup.places(rows, "hash", ["source", "document_id", "doc_id"], []))
+
+
 @query(o.corpus() + f"SELECT source, {_STATS} GROUP BY source")
 def dedup_stats(spark, sf_dir):
-    return dedup.stats(ranked(spark, sf_dir))
+    return dedup_counts(spark, sf_dir)
 
 
 @query(o.corpus() + f"SELECT source, {_STATS} GROUP BY ROLLUP (source)")
 def dedup_rollup(spark, sf_dir):
-    return dedup.totals(ranked(spark, sf_dir))
+    return dedup_counts(spark, sf_dir).rollup("source").agg(*[F.sum(c).alias(c) for c in ("seen", "kept", "duplicates")])
 
 
 @query(o.corpus() + "SELECT sha256(text) AS hash, min(source) FILTER (rank = 1) AS winner, count(DISTINCT source)::BIGINT AS sources FROM d GROUP BY 1 HAVING count(DISTINCT source) > 1")
 def cross_source_winner(spark, sf_dir):
-    rows = ranked(spark, sf_dir).withColumn("hash", tx.content_hash(F.col("text")))
-    return rows.groupBy("hash").agg(F.min(F.when(F.col("rank") == 1, F.col("source"))).alias("winner"), F.countDistinct("source").alias("sources")).filter("sources > 1")
+    first = F.min(F.struct("source", "document_id", "doc_id"))
+    rows = lean(spark, sf_dir).groupBy("hash").agg(first.alias("first"), F.size(F.collect_set("source")).cast("long").alias("sources"))
+    return rows.filter("sources > 1").select("hash", F.col("first.source").alias("winner"), "sources")
 
 
 @query(f"SELECT doc_id, {o.bucket('id')} AS bucket, CASE WHEN {o.bucket('id', 7)} < 1234 THEN 'val' ELSE 'train' END AS split FROM (SELECT doc_id, sha256(source || chr(10) || text) AS id FROM documents)")
@@ -342,7 +350,9 @@ def mix_order(spark, sf_dir):
 
 @query(o.corpus() + "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) AS rn FROM raw) WHERE rn <= 150")
 def max_documents(spark, sf_dir):
-    return documents(spark, sf_dir).select("source", "doc_id").orderBy("source", "doc_id").limit(150).select("doc_id")
+    from millrace.operators import limit
+
+    return limit.first(documents(spark, sf_dir).select("source", "doc_id"), 150, ["source"], "doc_id").select("doc_id")
 
 
 @query(o.corpus() + "SELECT (row_number() OVER (ORDER BY source, document_id) - 1)::BIGINT AS place, doc_id FROM u")

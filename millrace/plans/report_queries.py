@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as tx
 from millrace.operators import stats
 from millrace.plans import oracles as o
-from millrace.plans.corpus_queries import classified, documents, kept, parts, ranked, table
+from millrace.plans.corpus_queries import classified, dedup_counts, documents, kept, parts, table
 from millrace.sources import tables
 
 QUERIES: dict = {}
@@ -37,7 +37,7 @@ def source_report(spark, sf_dir):
     """Per-source assembly: the manifest joined to what each stage counted."""
     rows = classified(spark, sf_dir)
     a = rows.groupBy("source").agg(F.count("*").alias("input_docs"), F.count_if(F.col("reason").isNull()).alias("kept_after_filter"))
-    x = ranked(spark, sf_dir).groupBy("source").agg(F.count_if(F.col("rank") > 1).alias("duplicates"))
+    x = dedup_counts(spark, sf_dir).select("source", "duplicates")
     y = parts(spark, sf_dir).groupBy("source").agg(F.count_if(F.col("split") == "train").alias("train_docs"), F.count_if(F.col("split") == "val").alias("val_docs"))
     names = documents(spark, sf_dir).select("source").distinct().withColumn("weight", 1 + F.substring("source", 4, 9).cast("int"))
     manifest = names.unionByName(spark.createDataFrame([("absent", 5)], "source string, weight int"))

@@ -78,7 +78,7 @@ def eos_invariant(spark, sf_dir):
 
 @query(o.corpus() + "SELECT doc_id, n::BIGINT AS n, (sum(n) OVER (ORDER BY source, document_id) - n)::BIGINT AS offset FROM (SELECT *, len(string_split(text, ' ')) + 1 AS n FROM u)")
 def pack_offsets(spark, sf_dir):
-    rows = unique(spark, sf_dir).select("doc_id", "source", "document_id", (F.size(F.split("text", " ", -1)) + 1).cast("long").alias("n"))
+    rows = unique(spark, sf_dir, n=(F.size(F.split("text", " ", -1)) + 1).cast("long")).select("doc_id", "source", "document_id", "n")
     return tk.offsets(rows, "n", ["source", "document_id"]).select("doc_id", "n", "offset")
 
 

@@ -139,8 +139,8 @@ def read_parquet(spark: SparkSession, path: str, source: str, language: str | No
     there = [c for c in PROVENANCE if c in found.columns]
     prov = F.map_filter(F.create_map(*[x for c in there for x in (F.lit(c), F.col(c).cast("string"))]), lambda _, v: v.isNotNull()) if there else F.create_map()
     text = F.when(F.col("error").isNull(), F.col(text_field).cast("string"))
-    rows = checked.select(text.alias("text"), prov.cast("map<string,string>").alias("prov"), F.concat_ws(":", "error", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).alias("e"), "error", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("b"))
-    rows = rows.withColumn("error", F.when(F.col("error").isNotNull(), F.col("e"))).withColumn("ord", F.monotonically_increasing_id())
+    rows = checked.select(text.alias("text"), prov.cast("map<string,string>").alias("prov"), F.concat_ws(":", "error", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).alias("e"), "error", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("ord"))
+    rows = rows.withColumn("error", F.when(F.col("error").isNotNull(), F.col("e")))
     return _core(rows, source, language, "parquet")
 
 
