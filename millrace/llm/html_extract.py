@@ -7,21 +7,26 @@ others, cut down to the elements that most of them have, is the template of the
 Then every page is aligned with its template, and what stands at each element is summed
 up over all pages of the host, in aggregations that no hot host makes one task's lot:
 
-- a text that stays the same below one element in most pages is constant: template;
 - the smallest element that holds most of the text that varies is the content (the
   article or main element around it, if there is one), and what lies elsewhere, such as
-  menus, adverts and footers whose words change from page to page, is template too;
-- a slot inside it that most pages have and that is nothing but links is template.
+  menus, adverts and footers whose words change from page to page, is template;
+- a text that stays the same below one element in most pages is constant. At the content's
+  edges, before the first and after the last text that varies, it is template, but for a heading
+  that varying text follows; between them it is the article's (the headings of a recipe),
+  unless the same text stands outside too;
+- so are slots that are nothing but links in most pages, where no article or main frames the content;
+  in one they are the article's own.
 
 Pages are aligned a second time to take their content out. Names break the ties that no
 alignment can: comments, forms, adverts and notices inside an article go by element names
-and by class, id and role words (``MARKS``), and a page without a wrapper, for its host has
-too few pages or it has another layout, is judged by these and by where its text lies.
+and by class, id and role words of blocks (``MARKS``; of words in a sentence only by ``UNSEEN``), and a page without a
+wrapper, for its host has too few pages or it has another layout, is judged by these and by where its text lies.
 
 Simple tree matching is exact at every size: it runs without recursion, subtrees of one
 shape are matched once, equal ones at the ends of a list of children pair off (which no
 better mapping can beat), and the rest is a dynamic programme in rows, divided where its
-table would be large.
+table would be large. Where two lists have many different shapes, all pairs are scored at once, level by
+level: 1,500 against 1,500 items of different shapes take a second or two, and 4 bytes a pair.
 
 Character references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined by line feeds in page order. Text is never cut.
@@ -58,6 +63,8 @@ SUPPORT, LEAST = 0.6, 3
 MOST_TEXT = 0.7
 #: Cells of a matching table that are kept whole; larger ones are divided.
 CELLS = 1 << 20
+#: Pairs of children's shapes beyond which all are scored at once.
+MANY = 1 << 10
 
 # Element names of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,6 +73,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 HIDDEN = frozenset("head script style template noscript iframe object svg canvas audio video map math select datalist textarea title".split())
 AROUND = frozenset("nav footer aside form button menu dialog".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPE = frozenset("table ul ol dl article body section main".split())
 #: Words of class, id and role that name what surrounds an article.
 MARKS = frozenset(
@@ -75,6 +83,8 @@ MARKS = frozenset(
 )
 #: Those that never frame an article; the others don't count where an element holds a heading h1, a main or an article.
 NEVER = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo comment comments commentlist reply replies respond disqus cookie cookies consent gdpr hidden".split())
+#: Those that also take a word out of a sentence; any other name of an inline element tells nothing about what it holds.
+UNSEEN = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored hidden".split())
 #: Layout words that may stand beside a mark in one name; with any other word the name is the article's own.
 BESIDE = frozenset(
     "area article bar bars block body bottom box btn button buttons col column container content entry fixed form global group head icon icons inline inner item items label left link links "
@@ -91,7 +101,7 @@ _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 class Node:
     """An element: its name, children and blocks, and the shape of all below it."""
 
-    __slots__ = ("tag", "kids", "parent", "never", "around", "holds", "main", "blocks", "chars", "shape", "size", "at")
+    __slots__ = ("tag", "kids", "parent", "never", "around", "holds", "main", "blocks", "chars", "shape", "size", "at", "near")
 
     def __init__(self, tag: str, parent: Node | None, never: bool = False, around: bool = False):
         self.tag, self.parent, self.kids = tag, parent, []
@@ -99,28 +109,16 @@ class Node:
         self.around, self.holds = around, False
         self.main = bool(parent and parent.main)
         self.blocks: list[Block] = []
-        self.chars, self.shape, self.size, self.at = 0, 0, 1, -1
+        self.chars, self.shape, self.size, self.at, self.near = 0, 0, 1, -1, -1
 
 
 class Block:
-    """A run of text that no block element interrupts."""
+    """A run of text that no block element interrupts; ``skip``: names say that it stands in something around the article."""
 
-    __slots__ = ("node", "raw", "linked", "text")
+    __slots__ = ("node", "raw", "linked", "text", "skip")
 
     def __init__(self, node: Node):
-        self.node, self.raw, self.linked, self.text = node, [], 0, ""
-
-    @property
-    def skip(self) -> bool:
-        """Whether names say that it stands in something around the article."""
-        node = self.node
-        if node.never:
-            return True
-        while node is not None:
-            if node.around and not node.holds:
-                return True
-            node = node.parent
-        return False
+        self.node, self.raw, self.linked, self.text, self.skip = node, [], 0, "", False
 
 
 def _marks(name: str) -> set[str]:
@@ -154,7 +152,7 @@ def parse(page: str) -> tuple[Node, list[Block], list[Node]]:
     root = Node("#", None)
     now, blocks, nodes = root, [], [root]
     block: Block | None = None
-    depth_skip: list[str] = []  # open inline elements that hide their text
+    depth_skip: list[str] = []  # open inline elements that hide their text: by style, or as adverts
     links = 0
     at, end = 0, len(page)
     open_tags: Counter[str] = Counter()
@@ -202,7 +200,7 @@ def parse(page: str) -> tuple[Node, list[Block], list[Node]]:
                 if depth_skip:
                     if depth_skip[-1] == tag:
                         depth_skip.append(tag)
-                elif m[3] and _attributes(m[3])[0]:
+                elif m[3] and _attributes(m[3])[0] & UNSEEN:
                     depth_skip.append(tag)
             continue
         if tag in ("br", "wbr", "img", "input"):
@@ -220,7 +218,7 @@ def parse(page: str) -> tuple[Node, list[Block], list[Node]]:
             continue
         if now.tag == "p":
             close(now)
-        if tag in CLOSED_BY:
+        if tag in CLOSED_BY and any(open_tags[t] for t in CLOSED_BY[tag]):
             node = now
             while node is not root and node.tag not in SCOPE:
                 if node.tag in CLOSED_BY[tag]:
@@ -247,8 +245,12 @@ def parse(page: str) -> tuple[Node, list[Block], list[Node]]:
             closing = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = closing.end() if closing else end
             close(node)
+    outer: dict[int, bool] = {id(None): False}
+    for node in nodes:  # parents first: what surrounds a node is known by then
+        outer[id(node)] = outer[id(node.parent)] or node.around and not node.holds
     for b in blocks:
         b.text = " ".join(_html.unescape("".join(b.raw)).split())
+        b.skip = b.node.never or outer[id(b.node)]
     return root, [b for b in blocks if b.text], shaped(nodes)
 
 
@@ -272,11 +274,53 @@ def _ends(a: list[Node], b: list[Node]) -> tuple[int, int]:
     return lo, hi
 
 
+def scores(left: list[Node], right: list[Node]) -> np.ndarray:
+    """The matching scores of all pairs of two lists of subtrees of different shapes.
+
+    Level by level from the deepest: at each the different shapes of all children on either side. One subtree
+    goes against all of the other side that have its name at once, a step of the dynamic programme for
+    each of its children."""
+    levels = [(left, right)]
+    while all(levels[-1]):
+        levels.append(tuple(list({k.shape: k for n in side for k in n.kids}.values()) for side in levels[-1]))
+    lower = np.zeros((len(levels[-1][0]), len(levels[-1][1]) + 1), np.int32)
+    for k in range(len(levels) - 2, -1, -1):
+        row_of, column_of = ({n.shape: i for i, n in enumerate(side)} for side in levels[k + 1])
+        out = np.zeros((len(levels[k][0]), len(levels[k][1]) + 1), np.int32)  # the last column: no child
+        groups: dict[tuple[str, int], list[int]] = {}
+        for j, n in enumerate(levels[k][1]):
+            groups.setdefault((n.tag, len(n.kids).bit_length()), []).append(j)
+        for (tag, bits), columns in groups.items():
+            width = (1 << bits) - 1
+            kids = np.full((len(columns), width), lower.shape[1] - 1)
+            for at, j in enumerate(columns):
+                own = [column_of[c.shape] for c in levels[k][1][j].kids]
+                kids[at, : len(own)] = own
+            gathered: dict[int, np.ndarray] = {}
+            for i, n in enumerate(levels[k][0]):
+                if n.tag != tag:
+                    continue
+                best = np.zeros((width + 1, len(columns)), np.int32)
+                for kid in n.kids if width else ():
+                    r = row_of[kid.shape]
+                    if r not in gathered:
+                        if len(gathered) * kids.size > CELLS * 16:
+                            gathered.clear()
+                        gathered[r] = np.ascontiguousarray(lower[r][kids].T)
+                    step = best[:-1] + gathered[r]
+                    np.maximum(step, best[1:], out=step)
+                    np.maximum.accumulate(step, axis=0, out=best[1:])
+                out[i, columns] = 1 + best[-1]
+        lower = out
+    return lower[:, :-1]
+
+
 class Matching:
     """Simple tree matching: the largest top-down mapping of two trees that keeps names and order."""
 
     def __init__(self):
         self.known: dict[tuple[int, int], int] = {}
+        self.tables: dict[tuple, np.ndarray] = {}
 
     def score(self, a: Node, b: Node) -> int:
         """The size of the largest mapping; without recursion, each pair of shapes once."""
@@ -289,7 +333,8 @@ class Matching:
             lo, hi = _ends(x.kids, y.kids)
             xs, ys = x.kids[lo : len(x.kids) - hi], y.kids[lo : len(y.kids) - hi]
             left, right = ({k.shape: k for k in side if k.kids}.values() for side in (xs, ys))
-            need = [(p, q) for p in left for q in right if self._easy(p, q) is None]
+            many = len(left) * len(right) > MANY  # these are scored all at once
+            need = [] if many else [(p, q) for p in left for q in right if self._easy(p, q) is None]
             if need:
                 todo += need
                 continue
@@ -312,7 +357,13 @@ class Matching:
             first: dict[int, int] = {}
             kinds = np.array([first.setdefault(k.shape, len(first)) for k in side], np.intp)
             sides.append((kinds, list({k.shape: k for k in side}.values())))
-        table = np.array([[self._easy(p, q) for q in sides[1][1]] for p in sides[0][1]], np.int64)
+        left, right = sides[0][1], sides[1][1]
+        if sum(bool(k.kids) for k in left) * sum(bool(k.kids) for k in right) > MANY:
+            key = (tuple(k.shape for k in left), tuple(k.shape for k in right))
+            if key not in self.tables:
+                self.tables[key] = scores(left, right)
+            return self.tables[key], sides[0][0], sides[1][0]
+        table = np.array([[self._easy(p, q) for q in right] for p in left], np.int64)
         return table, sides[0][0], sides[1][0]
 
     @staticmethod
@@ -354,11 +405,11 @@ class Matching:
 
     def pairs(self, a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
         """The pairs of a largest mapping, parents first."""
-        self.score(a, b)
         todo = [(a, b)] if a.tag == b.tag else []
         while todo:
             x, y = todo.pop()
             yield x, y
+            self.score(x, y)  # what was scored with many others is known by its own children only now
             if x.shape == y.shape:
                 todo += zip(x.kids, y.kids, strict=True)
                 continue
@@ -423,16 +474,9 @@ def placed(known: list[Node], tree: tuple[Node, list[Block], list[Node]]) -> lis
         n += 1
     if 2 * n < len(known):
         return None
-    out = []
-    for b in tree[1]:
-        node = b.node
-        above = node.parent or node
-        while node.at < 0:
-            node = node.parent
-        while above.at < 0:
-            above = above.parent
-        out.append((b, node.at, above.at))
-    return out
+    for node in tree[2]:  # parents first
+        node.near = node.at if node.at >= 0 else node.parent.near
+    return [(b, b.node.near, (b.node.parent or b.node).near) for b in tree[1]]
 
 
 class Wrapper:
@@ -442,6 +486,7 @@ class Wrapper:
         told = json.loads(text)
         self.known = template(told["template"])
         self.links, self.constant = set(told["links"]), {(p, h) for p, h in told["constant"]}
+        self.framed = self.known[told["content"]].tag in ("article", "main")
         inside = {told["content"]}
         for node in self.known:
             if node.parent is not None and node.parent.at in inside:
@@ -453,7 +498,15 @@ class Wrapper:
         found = placed(self.known, tree)
         if found is None:
             return None
-        return [b for b, at, above in found if at in self.inside and at not in self.links and (above, _text_hash(b)) not in self.constant]
+        inner = [(b, (above, _text_hash(b)) in self.constant, at in self.links) for b, at, above in found if at in self.inside]
+        beyond = {b.text for b, at, _ in found if at not in self.inside}
+        varies = [k for k, (_, constant, links) in enumerate(inner) if not constant and (self.framed or not links)]
+        if not varies:
+            return []
+        first, last = varies[0], varies[-1]
+        while first and inner[first - 1][0].node.tag in HEADINGS and not inner[first - 1][2]:
+            first -= 1  # a heading that varying text follows
+        return [b for b, constant, _ in inner[first : last + 1] if not (constant and b.text in beyond)]
 
 
 def learn(known: str, pages: int, mass: dict[int, int], linked: list[int], constant: list[tuple[int, int]]) -> str:
@@ -481,29 +534,24 @@ def learn(known: str, pages: int, mass: dict[int, int], linked: list[int], const
 
 def _alone(tree: tuple[Node, list[Block], list[Node]], marks: bool) -> list[Block]:
     """The content of a page of which no wrapper is known."""
-    root, blocks, _ = tree
+    root, blocks, nodes = tree
     left = [b for b in blocks if not (marks and b.skip)]
     inside = [b for b in left if b.node.main]
     if inside:
         return inside
     for b in left:
-        node, own = b.node, len(b.text) if b.linked < 0.9 * len(b.text) else 0
-        while node is not None:
-            node.chars += own
-            node = node.parent
+        b.node.chars += len(b.text) if b.linked < 0.9 * len(b.text) else 0
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.chars += node.chars
     top = root
     while kid := next((k for k in top.kids if k.chars >= MOST_TEXT * root.chars and k.kids and any(x.chars for x in k.kids)), None):
         top = kid
     held = {id(top)}
-    kept = []
-    for b in left:
-        path, node = [], b.node
-        while node is not None and id(node) not in held:
-            path.append(id(node))
-            node = node.parent
-        if node is not None:
-            held.update(path)
-            kept.append(b)
+    for node in nodes:
+        if id(node.parent) in held:
+            held.add(id(node))
+    kept = [b for b in left if id(b.node) in held]
     if top.tag in ("#", "html", "body"):  # nothing frames the article: lists of links before and after it are menus
         plain = [k for k, b in enumerate(kept) if b.linked < 0.9 * len(b.text)]
         kept = kept[plain[0] : plain[-1] + 1] if plain else kept
