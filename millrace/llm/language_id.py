@@ -137,7 +137,8 @@ class ByteNet:
 
 
 def train(docs: DataFrame, id: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = 400, windows_per_doc: int = 8, most: int = 20_000) -> ByteNet | None:
-    """Fits a network on at most ``per_label`` documents of each label and ``most`` of all, the first by a hash of the id."""
+    """Fits a network on at most ``per_label`` documents of each label and ``most`` of all, the first by a hash of
+    the id. Of each the driver gets ``windows_per_doc`` windows, cut by the executors: 2 kB, however long it is."""
     labelled = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(id).isNotNull())
     counts = labelled.groupBy(F.col(label).alias("l")).agg(F.count("*").alias("n")).orderBy("l").limit(MOST_LABELS + 1).collect()
     if not counts:
@@ -149,22 +150,31 @@ def train(docs: DataFrame, id: str = "doc_id", text: str = "text", label: str =
     reach = F.lit(False)
     for r in counts:  # a share of each label that holds about twice the bound
         reach = reach | ((F.col(label) == r["l"]) & (place < F.lit(min(1 << 20, (1 << 20) * 2 * per_label // r["n"] + 64))))
-    keyed = labelled.select(F.col(label).alias("l"), F.xxhash64(F.lit("fit"), F.col(id)).alias("h"), F.col(id).alias("id"), reach.alias("near"), F.col(text).alias("t"))
-    rows = keyed.filter("near").orderBy("h", "id", "t").limit(4 * per_label * len(counts)).toPandas()
+    kind = docs.schema[id].dataType.simpleString()
+    keyed = labelled.filter(reach).select(F.col(label).alias("l"), F.xxhash64(F.lit("fit"), F.col(id)).alias("h"), F.col(id).alias("id"), F.col(text).alias("t"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column("t"))
+            some = np.flatnonzero(np.diff(offsets))
+            picked = []
+            for k in some:
+                x, _ = windows_of(data[offsets[k] : offsets[k + 1]], offsets[k : k + 2] - offsets[k])
+                r = np.random.default_rng([3, batch.column("h")[k].as_py() & ((1 << 63) - 1)])
+                x = x[r.permutation(len(x))[:windows_per_doc]].copy()
+                if r.random() < 0.5:  # short texts must be known too
+                    x[0, int(r.integers(16, WINDOW)) :] = 0
+                picked.append(x.tobytes())
+            kept = batch.take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([kept.column("l"), kept.column("h"), kept.column("id"), pa.array(picked, pa.binary())], ["l", "h", "id", "x"])
+
+    small_batches(docs.sparkSession)
+    cut_rows = in_arrow(keyed, cut, f"l string, h long, id {kind}, x binary")  # a few windows of a text: no text is sorted or sent
+    rows = cut_rows.orderBy("h", "id", "x").limit(4 * per_label * len(counts)).toPandas()
     rows = rows.groupby("l", sort=True).head(per_label)
     labels = sorted(rows["l"].unique())
-    r, xs, ys = np.random.default_rng(3), [], []
-    for lang, body in zip(rows["l"], rows["t"], strict=True):
-        raw = np.frombuffer(body.encode(), np.uint8)
-        if not len(raw):
-            continue
-        x, _ = windows_of(raw, np.array([0, len(raw)]))
-        pick = r.permutation(len(x))[:windows_per_doc]
-        x = x[pick].copy()
-        if r.random() < 0.5:  # short texts must be known too
-            x[0, int(r.integers(16, WINDOW)) :] = 0
-        xs.append(x)
-        ys += [labels.index(lang)] * len(x)
+    xs = [np.frombuffer(x, np.uint8).reshape(-1, WINDOW) for x in rows["x"]]
+    ys = [labels.index(lang) for lang, x in zip(rows["l"], xs, strict=True) for _ in x]
     return ByteNet(labels).fit(np.concatenate(xs), np.array(ys)) if xs else None
 
 

@@ -247,3 +247,44 @@ def test_nothing_to_search(spark):
 
 def test_all_three_are_registered():
     assert {"op11_suffix_array_dedup", "op12_prefix_trie", "op13_lexical_search"} <= set(queries())
+
+
+# 2, 8 --------------------------------------------------------------------------------------
+
+
+def test_held_out_documents_get_their_language(spark):
+    """The network learns from windows that the executors cut; here is what it makes of the fold that it has not seen."""
+    from millrace.llm import language_id
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").repartition(4)
+    net = language_id.train(docs.filter(~language_id.held_out()))
+    found = language_id.predict(docs.filter(language_id.held_out()), net, keep=("lang",)).filter("lang IS NOT NULL AND lang_pred <> 'und'")
+    right, n = found.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert n > 100 and right >= 0.97 * n, (right, n)
+
+
+@pytest.mark.parametrize("per_bucket", [1, 7, 5_000])
+def test_packing_places_all_pieces_of_a_length_in_any_number_of_buckets(spark, per_bucket):
+    from millrace.llm import packing
+
+    r = random.Random(per_bucket)
+    rows = [(k, 0, 0, r.choice([3, 3, 3, 5, 8, 16, r.randrange(1, 17)]), k * 7) for k in range(400)]
+    found = spark.createDataFrame(rows, "id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    got = packing.pack(found, 16, per_bucket).collect()
+    held = defaultdict(list)
+    for x in got:
+        held[x["sequence_id"]].append((x["offset"], x["length"]))
+    assert sorted(x["id"] for x in got) == list(range(400))
+    for spans in held.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 16
+    rooms = []
+    for n in sorted((x[3] for x in rows), reverse=True):  # best-fit decreasing, one by one
+        fit = min((x for x in rooms if x >= n), default=None)
+        if fit is not None:
+            rooms.remove(fit)
+        rooms.append((16 if fit is None else fit) - n)
+    assert len(held) == len(rooms)
