@@ -26,6 +26,10 @@ from millrace.llm.hashing import span_hashes
 from millrace.llm.pretoken import Splitter, Vocabulary
 
 
+#: Runs of a plan that are broadcast with their lengths: about 40 bytes each.
+MOST_RUNS = 300_000
+
+
 class CapacityTree:
     """A segment tree over capacities 0 to limit; a node tells whether any bin lies below it."""
 
@@ -130,20 +134,22 @@ def pack(found: DataFrame, limit: int = 2048, per_bucket: int = 5_000) -> DataFr
     """Adds sequence_id and offset to pieces that are written down already.
 
     Ranks within a length come from counts of (length, hash bucket) and a row number
-    within each, so no task has to see all pieces of the most frequent length.
+    within each. A length has a bucket for each ``per_bucket`` of its pieces: no task sees all pieces
+    of the most frequent one, and there are hardly more counts than lengths.
     """
     spark = found.sparkSession
     sizes = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most limit rows
-    buckets = max(1, sum(sizes.values()) // per_bucket)
     runs: dict[int, list] = {}
     for length, lo, hi, first, per, offset in plan(sizes, limit):
         runs.setdefault(length, []).append((lo, hi, first, per, offset))
-    table = spark.createDataFrame(list(runs.items()), "length long, runs array<struct<lo:long,hi:long,first:long,per:long,base:long>>")
-    keyed = found.withColumn("bucket", F.expr(f"pmod(xxhash64(id, piece, ids_crc32), {buckets})"))
+    table = spark.createDataFrame([(n, -(-sizes[n] // per_bucket), r) for n, r in runs.items()], "length long, buckets long, runs array<struct<lo:long,hi:long,first:long,per:long,base:long>>")
+    share = F.broadcast(table.select("length", "buckets"))  # at most limit rows
+    table = F.broadcast(table.drop("buckets")) if sum(map(len, runs.values())) <= MOST_RUNS else table.drop("buckets")
+    keyed = found.join(share, "length").withColumn("bucket", F.expr("pmod(xxhash64(id, piece, ids_crc32), buckets)")).drop("buckets")
     counts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
     ranked = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32")) - 1)
-    placed = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("nth")).join(F.broadcast(table), "length")
+    placed = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("nth")).join(table, "length")
     run = placed.withColumn("run", F.expr("element_at(filter(runs, r -> rank >= r.lo AND rank < r.hi), 1)"))
     return run.select(
         "id", "piece", "start", "length", "ids_crc32",
