@@ -10,8 +10,11 @@ Time and memory go with the letters of the distinct words, not with how often wo
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SHIFT = 32
 
@@ -36,20 +39,34 @@ def _sums(keys: np.ndarray, weight: np.ndarray) -> list[tuple[int, int]]:
 
 class Symbols:
     """Words as linked symbols: at each place a symbol (-1: merged away), the places beside it
-    (-1: the word's edge) and the weight of its word."""
+    (-1: the word's edge) and the number of its word: 16 bytes a letter."""
 
     def __init__(self, letters: np.ndarray, sizes: np.ndarray, weights: np.ndarray):
         n = len(letters)
-        self.symbol, self.weight = letters.astype(np.int64), np.repeat(weights.astype(np.int64), sizes)
-        at = np.arange(n)
+        if n >= 1 << 31:
+            raise ValueError("the distinct words have 2^31 letters or more")
+        self.symbol = letters
+        self.word, self.count = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), weights.astype(np.int64)
+        at = np.arange(n, dtype=np.int32)
         ends = np.cumsum(sizes)
         self.after, self.before = at + 1, at - 1
         self.after[ends - 1] = -1
         self.before[ends - sizes] = -1
 
-    def pairs(self, places: np.ndarray) -> np.ndarray:
-        """The pairs that begin at these places, packed."""
-        return self.symbol[places] << _SHIFT | self.symbol[self.after[places]]
+    def weight(self, places: np.ndarray) -> np.ndarray:
+        """The counts of the words of these places."""
+        return self.count[self.word[places]]
+
+    def pairs(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(pair, weight, places) of all pairs; those of one first symbol at a time."""
+        begins = np.flatnonzero(self.after >= 0).astype(np.int32)
+        first = self.symbol[begins]
+        begins = begins[np.argsort(first.astype(np.uint16) if len(first) and first.max() < 1 << 16 else first, kind="stable")]
+        edges = np.flatnonzero(np.diff(self.symbol[begins], prepend=-1))
+        for lo, hi in zip(edges, [*edges[1:], len(begins)], strict=True):
+            own = begins[lo:hi]
+            for y, w, at in _groups(self.symbol[self.after[own]], own, self.weight(own)):
+                yield int(self.symbol[own[0]]) << _SHIFT | y, w, at
 
     def merge(self, a: int, b: int, new: int, places: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int, np.ndarray]]]:
         """Puts ``new`` for a and b wherever they still follow each other at ``places``, from the left. Returns the
@@ -63,7 +80,7 @@ class Symbols:
             first = np.maximum.accumulate(np.where(opens, np.arange(len(places)), 0))
             use = (np.arange(len(places)) - first) % 2 == 0
             places, second = places[use], second[use]
-        weight = self.weight[places]
+        weight = self.weight(places)
         left, right = self.before[places], self.after[second]
         inner = right >= 0
         right_was = self.symbol[right[inner]]
@@ -82,7 +99,16 @@ class Symbols:
         return gone, [(pair, *x) for pair, x in came.items()]
 
 
-def learn(words: list[str], counts: np.ndarray, vocab_size: int, min_frequency: int = 2, specials: tuple[str, ...] = ()) -> tuple[dict[str, int], list[tuple[str, str]]]:
+def _letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all words, end to end, and their numbers; no word becomes an object."""
+    sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    _, offsets, data = words.buffers()
+    o = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(words.type) else np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else [0, 0]
+    text = data.slice(int(o[0]), int(o[-1]) - int(o[0])).to_pybytes().decode() if data is not None and int(o[-1]) > int(o[0]) else ""
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32), sizes
+
+
+def learn(words: list[str] | pa.Array | pa.ChunkedArray, counts: np.ndarray, vocab_size: int, min_frequency: int = 2, specials: tuple[str, ...] = ()) -> tuple[dict[str, int], list[tuple[str, str]]]:
     """(vocabulary, merges) of distinct words and their counts.
 
     Ids: the specials, all letters by code point, then a symbol for each merge, until there are
@@ -91,22 +117,22 @@ def learn(words: list[str], counts: np.ndarray, vocab_size: int, min_frequency:
     """
     vocab = {s: k for k, s in enumerate(specials)}
     names = list(specials)
-    there = [k for k, w in enumerate(words) if w]
-    sizes = np.array([len(words[k]) for k in there], np.int64)
-    points = np.frombuffer("".join(words[k] for k in there).encode("utf-32-le"), np.uint32)
-    alphabet, letters = np.unique(points, return_inverse=True)
-    ids = np.empty(len(alphabet), np.int64)
-    for k, point in enumerate(alphabet.tolist()):
+    column = pa.array(words, pa.large_string()) if isinstance(words, list) else words
+    points, sizes = _letters(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+    seen = np.zeros(0x110000, bool)
+    seen[points] = True
+    ids = np.zeros(0x110000, np.int32)
+    for point in np.flatnonzero(seen).tolist():
         letter = chr(point)
         if letter not in vocab:
             vocab[letter] = len(names)
             names.append(letter)
-        ids[k] = vocab[letter]
+        ids[point] = vocab[letter]
     merges: list[tuple[str, str]] = []
-    if not there:
+    if not len(points):
         return vocab, merges
-    text = Symbols(ids[letters], sizes, np.asarray(counts)[there])
-    begins = np.flatnonzero(text.after >= 0)
+    text = Symbols(ids[points], sizes[sizes > 0], np.asarray(counts)[sizes > 0])
+    del points
     weight: dict[int, int] = {}
     heap: list[tuple[int, int, int]] = []
     index: list[np.ndarray] = []
@@ -115,7 +141,7 @@ def learn(words: list[str], counts: np.ndarray, vocab_size: int, min_frequency:
         heapq.heappush(heap, (-weight[pair], pair, len(index)))
         index.append(places)
 
-    for pair, n, places in _groups(text.pairs(begins), begins, text.weight[begins]):
+    for pair, n, places in text.pairs():
         weight[pair] = n
         put(pair, places)
     while heap and len(names) < vocab_size:
@@ -133,7 +159,7 @@ def learn(words: list[str], counts: np.ndarray, vocab_size: int, min_frequency:
             names.append(name)
         merges.append((names[a], names[b]))
         gone, came = text.merge(a, b, vocab[name], index[k])
-        index[k] = begins[:0]
+        index[k] = index[k][:0]
         for other, less in gone:
             weight[other] -= less
         for other, more, places in came:
