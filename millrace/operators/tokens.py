@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +17,8 @@ from millrace.sources.tables import materialize
 # Special tokens in the order of their ids, and the word mark.
 SPECIALS = ("<|pad|>", "<|unk|>", "<|bos|>", "<|eos|>")
 WORD_MARK = "▁"
+#: Code points that the library encodes at once.
+AT_ONCE = 1 << 19
 
 
 def blank_tokenizer() -> tokenizers.Tokenizer:
@@ -90,11 +93,19 @@ def encoder(spark: SparkSession, tok: tokenizers.Tokenizer, eos: int | None = No
     def encode(texts: pd.Series) -> pd.Series:
         if not held:
             held.append(tokenizers.Tokenizer.from_str(sent.value))
-        there = texts.notna()
-        found = held[0].encode_batch(texts[there].tolist())
-        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-        out[there] = pd.Series([e.ids + ([eos] if eos is not None else []) for e in found], index=texts.index[there], dtype=object)
-        return out
+        end = [eos] if eos is not None else []
+        out: list = [None] * len(texts)
+        waiting: list[int] = []
+        size = 0
+        there = np.flatnonzero(texts.notna().to_numpy()).tolist()
+        for n, k in enumerate(there):  # what the library gives is many times as large as its ids: some texts at a time
+            waiting.append(k)
+            size += len(texts.iat[k])
+            if size >= AT_ONCE or n == len(there) - 1:
+                for j, e in zip(waiting, held[0].encode_batch([texts.iat[j] for j in waiting]), strict=True):
+                    out[j] = np.array(e.ids + end, np.int32)
+                waiting, size = [], 0
+        return pd.Series(out, index=texts.index, dtype=object)
 
     return encode.asNondeterministic()
 
