@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from pathlib import Path
 
 import numpy as np
@@ -18,7 +19,7 @@ from millrace.sources.tables import materialize
 SPECIALS = ("<|pad|>", "<|unk|>", "<|bos|>", "<|eos|>")
 WORD_MARK = "▁"
 #: Code points that the library encodes at once.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 17
 
 
 def blank_tokenizer() -> tokenizers.Tokenizer:
@@ -92,6 +93,7 @@ def encoder(spark: SparkSession, tok: tokenizers.Tokenizer, eos: int | None = No
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
         if not held:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores; threads of a worker would each keep memory
             held.append(tokenizers.Tokenizer.from_str(sent.value))
         end = [eos] if eos is not None else []
         out: list = [None] * len(texts)
