@@ -50,7 +50,7 @@ def train(lines: DataFrame, path: str | None = None, vocab_size: int = 32_000, m
 
     The driver gets one row for each distinct word, with its count, and learns the merges
     from these weights (``bpe.learn``): its time and memory go with the distinct words, about
-    40 bytes a letter at its peak, whatever the size of the corpus. No word is dropped and no count changed.
+    30 bytes a letter at its peak, whatever the size of the corpus. No word is dropped and no count changed.
     """
     if vocab_size <= len(SPECIALS):
         raise ValueError(f"vocab_size must be over {len(SPECIALS)}")
