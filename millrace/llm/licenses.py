@@ -1,28 +1,29 @@
 """License scans: texts against license notices by the Dice coefficient over word bigrams.
 
 Native column expressions only, and no shuffle: a row is scanned where it is read. A
-line and a template are bags of bigrams of normalised words (lower case, letters and
-digits). With a threshold t, bags of sizes a and b can only match if
-t / (2 - t) * b <= a <= (2 - t) / t * b: templates outside these bounds are pruned
-before any bigram is compared.
-
-First every line is judged as a whole. What these lines leave is then one run of words
-across line ends, and every window of it within the bounds is compared with the notices
-and with standard headers (``HEADERS``): a notice that is wrapped, or stands inside a
-longer line, is a window. Only windows that begin and end with a bigram of the template
-are tried, for any other one is worse than the one inside it. A notice of fewer than
-``SHORT`` bigrams has no windows shorter than itself: "licensed under CC BY-SA" would
-else be version 4.0 of it, whatever follows. Of windows that overlap the one with most
-bigrams in common stays, then the one of the larger coefficient.
+text is one run of normalised words (lower case, letters and digits) across its line
+ends, so where lines break has no say. A window of it and a template are bags of
+bigrams. With a threshold t, bags of sizes a and b can only match if
+t / (2 - t) * b <= a <= (2 - t) / t * b: windows outside these bounds, and such with
+fewer bigrams of the template than the bound asks for, are pruned before any bags are
+compared, with two look-ups for each place a window may begin at.
+
+A window begins where a run of the template's bigrams begins, or with the template's
+first bigram, and ends where a run ends, or with the template's last one: any bigram
+of the template that stands next to a window makes it a better one. It must hold the
+words of the template that the license's name holds too ("mit", "apache", "4", "0"), and
+none of ``KINDS`` that the template lacks ("affero", "sa"): so "licensed under CC BY-SA",
+whatever follows, is not version 4.0 of it. Of windows that overlap the one with most
+bigrams in common stays, then the one of the larger coefficient, then of the first
+template, the first start and the first end.
 
 Texts that hold none of the ``anchors`` can't hold a window that matches, and cost no more
 than that look.
 
-Defined results: null and empty texts have no notice; a line of one word has no bigram
-and matches nothing by itself; among templates of the same coefficient the first name
-wins; a window counts for the line it begins in; repeated rows are scanned each; an
-empty table gives an empty result; other columns are not read. Whole texts are scanned,
-whatever their length.
+Defined results: null and empty texts have no notice, nor has a text of one word; a
+window counts for the line it begins in; repeated rows are scanned each; an empty table
+gives an empty result; other columns are not read. Whole texts are scanned, whatever
+their length.
 """
 
 from __future__ import annotations
@@ -75,8 +76,8 @@ HEADERS = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
-#: A notice of fewer bigrams is found by windows of its size or more.
-SHORT = 8
+#: Words that make another license of a notice.
+KINDS = ("affero", "lesser", "nc", "nd", "noncommercial", "noderivatives", "noderivs", "sa", "sharealike")
 #: What normalisation turns into one space; the same pattern in Spark and in the oracle.
 BREAK = "[^a-z0-9]+"
 
@@ -90,35 +91,16 @@ def _quote(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def matches(text: str = "text", threshold: float = 0.8, templates: tuple = TEMPLATES) -> str:
-    """array<struct<line, best>>, as SQL: the best template of every line that has one."""
-    bags = [(name, Counter(bigrams(body))) for name, body in templates]
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    rows = []
-    for name, bag in bags:
-        n = sum(bag.values())
-        grams = ", ".join(f"named_struct('g', {_quote(g)}, 'n', {k})" for g, k in bag.items())
-        rows.append(f"named_struct('name', {_quote(name)}, 'n', {n}, 'low', {low * n - 1e-9!r}D, 'high', {high * n + 1e-9!r}D, 'grams', array({grams}))")
-    every = ", ".join(_quote(g) for g in sorted({g for _, bag in bags for g in bag}))
-    least, most = min(low * sum(b.values()) for _, b in bags) - 1e-9, max(high * sum(b.values()) for _, b in bags) + 1e-9
-    dice = "2D * aggregate(t.grams, 0, (acc, p) -> acc + least(size(filter(bag, x -> x = p.g)), p.n)) / (size(bag) + t.n)"
-    # the maximum by (dice, then the first name): names are compared by their place in the list
-    scored = f"transform(filter(array({', '.join(rows)}), t -> size(bag) BETWEEN t.low AND t.high), (t, k) -> named_struct('dice', {dice}, 'place', -k, 'name', t.name))"
-    best = f"array_max(filter({scored}, s -> s.dice >= {threshold!r}D))"
-    words = f"split(trim(regexp_replace(lower(line), '{BREAK}', ' ')), ' ')"
-    bag = "transform(slice(w, 2, greatest(size(w) - 1, 0)), (x, k) -> concat(w[k], ' ', x))"
-    one = (
-        f"element_at(transform(array({words}), w -> CASE WHEN size(w) - 1 BETWEEN {least!r}D AND {most!r}D THEN "
-        f"element_at(transform(array({bag}), bag -> CASE WHEN arrays_overlap(bag, array({every})) THEN {best} END), 1) END), 1)"
-    )
-    lines = f"split(coalesce(`{text}`, ''), '\\n')"
-    return f"filter(transform({lines}, (line, i) -> named_struct('line', i, 'best', {one})), m -> m.best IS NOT NULL)"
-
-
-def _bounds(n: int, threshold: float) -> tuple[int, int, int]:
-    """Of a template of n bigrams: the least and the largest window, the least bigrams in common."""
-    least = n if n < SHORT else math.ceil(threshold / (2 - threshold) * n - 1e-9)
-    return least, math.floor((2 - threshold) / threshold * n + 1e-9), math.ceil(threshold * (least + n) / 2 - 1e-9)
+def bounds(n: int, threshold: float) -> tuple[int, int]:
+    """Of a template of n bigrams: the largest window, and the least bigrams in common with any."""
+    least = math.ceil(threshold / (2 - threshold) * n - 1e-9)
+    return math.floor((2 - threshold) / threshold * n + 1e-9), math.ceil(threshold * (least + n) / 2 - 1e-9)
+
+
+def marks(name: str, body: str) -> tuple[list[str], list[str]]:
+    """Words that a window of the template must hold, and those that it must not."""
+    has = {w for g in bigrams(body) for w in g.split(" ")}
+    return sorted(has & set(re.split(BREAK, name.lower()))), sorted(set(KINDS) - has)
 
 
 def anchors(threshold: float = 0.8, templates: tuple = TEMPLATES + HEADERS) -> list[str]:
@@ -127,7 +109,7 @@ def anchors(threshold: float = 0.8, templates: tuple = TEMPLATES + HEADERS) -> l
     out: set[str] = set()
     for _, body in templates:
         grams = [g.split(" ") for g in bigrams(body)]
-        spare = len(grams) - _bounds(len(grams), threshold)[2]
+        spare = len(grams) - bounds(len(grams), threshold)[1]
         for word in sorted({w for g in grams for w in g}, key=lambda w: (w not in out, -len(w), w)):
             if sum(1 for g in grams if out & set(g)) > spare:
                 break
@@ -135,69 +117,93 @@ def anchors(threshold: float = 0.8, templates: tuple = TEMPLATES + HEADERS) -> l
     return sorted(out)
 
 
-def windows(text: str = "text", found: str = "m", threshold: float = 0.8, templates: tuple = TEMPLATES + HEADERS) -> str:
-    """array<struct<line, license, dice>>, as SQL: the notices outside the lines of ``found``, the result of ``matches``."""
-    rows, every = [], set()
-    for k, (name, body) in enumerate(templates):
-        bag = Counter(bigrams(body))
-        n = sum(bag.values())
-        least, most, need = _bounds(n, threshold)
-        every |= set(bag)
-        grams = f"split({_quote(','.join(bag))}, ',')"  # one expression, not hundreds
-        twice = ", ".join(f"named_struct('g', {_quote(g)}, 'n', {c})" for g, c in bag.items() if c > 1)
-        twice = f"array({twice})" if twice else "filter(array(named_struct('g', '', 'n', 0)), x -> false)"
-        rows.append(f"named_struct('k', {k}, 'name', {_quote(name)}, 'n', {n}, 'least', {least}, 'most', {most}, 'need', {need}, 'grams', {grams}, 'twice', {twice})")
+def _list(words: list[str]) -> str:
+    return f"array({', '.join(map(_quote, words))})" if words else "cast(array() AS array<string>)"
+
+
+def _windows_of(k: int, name: str, body: str, threshold: float) -> str:
+    """array<struct<less, far, k, start, end, line>>, as SQL: the windows of one template among
+    ``seen``, the text's bigrams that any template has, and ``a``, its words."""
+    grams = bigrams(body)
+    bag = Counter(grams)
+    n = len(grams)
+    most, need = bounds(n, threshold)
+    must, never = marks(name, body)
+    twice = "".join(f" + greatest(least(size(filter(b, x -> x = {_quote(g)})), {c}) - 1, 0)" for g, c in bag.items() if c > 1)
+    common = f"element_at(transform(array(transform(slice(h, k + 1, j + 1), x -> x.g)), b -> size(array_distinct(b)){twice}), 1)"
+    begins = f"(s.g = {_quote(grams[0])} OR k = 0 OR get(h, k - 1).p < s.p - 1)"
+    enough = f"coalesce(get(h, k + {need - 1}).p - s.p < {most}, false)"
+    ends = f"(e.g = {_quote(grams[-1])} OR coalesce(get(h, k + j + 1).p > e.p + 1, true))"
+    window = f"named_struct('less', -{common}, 'size', e.p - s.p + 1, 'start', s.p, 'end', e.p, 'line', s.i)"
+    some = f"transform(slice(h, k + 1, {most}), (e, j) -> CASE WHEN j >= {need - 1} AND e.p - s.p < {most} AND {ends} THEN {window} END)"
+    every = f"flatten(filter(transform(h, (s, k) -> CASE WHEN {enough} AND {begins} THEN filter({some}, x -> x IS NOT NULL) END), y -> y IS NOT NULL))"
+    scored = f"transform({every}, x -> named_struct('less', x.less, 'far', 2D * x.less / (x.size + {n}), 'k', {k}, 'start', x.start, 'end', x.end, 'line', x.line))"
+    words = "transform(slice(a, x.start + 1, x.end - x.start + 2), y -> y.w)"
+    marked = f"size(array_intersect({_list(must)}, {words})) = {len(must)} AND NOT arrays_overlap({words}, {_list(never)})"
+    found = f"filter({scored}, x -> x.far <= -{threshold!r}D AND {marked})"
+    return f"element_at(transform(array(filter(seen, s -> s.g IN ({', '.join(map(_quote, bag))}))), h -> {found}), 1)"
+
+
+def notices(text: str = "text", threshold: float = 0.8, templates: tuple = TEMPLATES + HEADERS) -> str:
+    """array<struct<line, license, dice>>, as SQL: the notices of a text, in the order of their lines."""
     any_ = f"exists(array(lower(`{text}`)), low -> {' OR '.join(f'contains(low, {_quote(a)})' for a in anchors(threshold, templates))})"
     words = f"filter(split(regexp_replace(lower(line), '{BREAK}', ' '), ' '), x -> x <> '')"
-    run = (
-        f"flatten(transform(split(`{text}`, '\\n'), (line, i) -> CASE WHEN array_contains(`{found}`.line, i) THEN array(named_struct('i', i, 'w', '|')) "
-        f"ELSE transform({words}, x -> named_struct('i', i, 'w', x)) END))"
-    )
-    known = ", ".join(_quote(g) for g in sorted(every))
+    run = f"flatten(transform(split(`{text}`, '\\n'), (line, i) -> transform({words}, x -> named_struct('i', i, 'w', x))))"
+    known = ", ".join(_quote(g) for g in sorted({g for _, body in templates for g in bigrams(body)}))
     seen = f"filter(transform(slice(a, 2, greatest(size(a) - 1, 0)), (y, p) -> named_struct('p', p, 'i', a[p].i, 'g', concat(a[p].w, ' ', y.w))), s -> s.g IN ({known}))"
-    more = "aggregate(t.twice, 0, (acc, d) -> acc + greatest(least(size(filter(b, x -> x = d.g)), d.n) - 1, 0))"
-    common = f"element_at(transform(array(transform(slice(h, k + 1, j + 1), x -> x.g)), b -> size(array_distinct(b)) + {more}), 1)"
-    scored = f"named_struct('c', {common}, 'size', greatest(e.p - s.p + 1, t.least), 'end', e.p)"
-    ends = f"transform(slice(h, k + 1, t.most), (e, j) -> CASE WHEN j + 1 >= t.need AND e.p - s.p < t.most THEN {scored} END)"
-    tried = f"array_max(transform(filter({ends}, e -> e IS NOT NULL), e -> named_struct('dice', 2D * e.c / (e.size + t.n), 'c', e.c, 'end', e.end)))"
-    best = f"transform(h, (s, k) -> CASE WHEN k + t.need <= size(h) AND h[k + t.need - 1].p - s.p < t.most THEN named_struct('best', {tried}, 'start', s.p, 'line', s.i) END)"
-    of = f"element_at(transform(array(filter(seen, s -> array_contains(t.grams, s.g))), h -> filter({best}, x -> x.best.dice >= {threshold!r}D)), 1)"
-    order = "named_struct('less', -x.best.c, 'far', -x.best.dice, 'k', t.k, 'start', x.start, 'end', x.best.end, 'line', x.line, 'license', t.name)"
-    all_ = f"flatten(transform(array({', '.join(rows)}), t -> transform({of}, x -> {order})))"
+    every = f"concat({', '.join(_windows_of(k, name, body, threshold) for k, (name, body) in enumerate(templates))})"
     apart = "aggregate(sort_array(c), filter(c, x -> false), (acc, x) -> CASE WHEN exists(acc, o -> x.start <= o.end AND o.start <= x.end) THEN acc ELSE concat(acc, array(x)) END)"
-    pick = f"element_at(transform(array({all_}), c -> {apart}), 1)"
+    pick = f"element_at(transform(array({every}), c -> {apart}), 1)"
     got = f"element_at(transform(array({run}), a -> element_at(transform(array({seen}), seen -> {pick}), 1)), 1)"
     none = "cast(array() AS array<struct<line: int, license: string, dice: double>>)"
-    return f"CASE WHEN {any_} THEN transform({got}, x -> named_struct('line', x.line, 'license', x.license, 'dice', -x.far)) ELSE {none} END"
+    names = _list([name for name, _ in templates])
+    return f"CASE WHEN {any_} THEN array_sort(transform({got}, x -> named_struct('line', x.line, 'license', {names}[x.k], 'dice', -x.far))) ELSE {none} END"
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """(id, notices array<struct<line, license, dice>>) of every row."""
-    lines = "transform(m, x -> named_struct('line', x.line, 'license', x.best.name, 'dice', x.best.dice))"
-    every = f"array_sort(concat({lines}, {windows('text', 'm', threshold)}))"
-    # m is bound, not a column: that would be computed anew wherever it stands
-    once = F.expr(f"element_at(transform(array({matches('text', threshold)}), m -> {every}), 1)")
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).select(F.col("id").alias(id), once.alias("notices"))
-
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).select(F.col("id").alias(id), F.expr(notices("text", threshold)).alias("notices"))
 
 
-def oracle(threshold: float = 0.8, templates: tuple = TEMPLATES) -> str:
-    """The digest of op4 in DuckDB as far as whole lines go: lines unnested, bigrams counted, bags joined."""
-    values = []
+def oracle(threshold: float = 0.8, templates: tuple = TEMPLATES + HEADERS) -> str:
+    """The digest of op4 in DuckDB: words unnested, every window joined with the bigrams in it, the best taken in turn."""
+    grams, of = [], []
     for k, (name, body) in enumerate(templates):
-        bag = Counter(bigrams(body))
-        values += [f"({k}, '{name}', {sum(bag.values())}, '{g}', {n})" for g, n in bag.items()]
+        own = bigrams(body)
+        most, need = bounds(len(own), threshold)
+        must, never = marks(name, body)
+        lists = ", ".join("[" + ", ".join(f"'{w}'" for w in ws) + "]::VARCHAR[]" for ws in (must, never))
+        of.append(f"({k}, '{name}', {len(own)}, {most}, {need}, '{own[0]}', '{own[-1]}', {lists})")
+        grams += [f"({k}, '{g}', {c})" for g, c in Counter(own).items()]
     return f"""
-WITH t(k, name, size, g, n) AS (VALUES {", ".join(values)}),
-lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-w AS (SELECT doc_id, i, string_split(trim(regexp_replace(lower(line), '{BREAK}', ' ', 'g')), ' ') AS w FROM lines),
-grams AS (SELECT doc_id, i, len(w) - 1 AS size, unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM w),
-bag AS (SELECT doc_id, i, size, g, count(*) AS n FROM grams GROUP BY ALL),
-hit AS (SELECT b.doc_id, b.i, t.k, t.name, 2.0::DOUBLE * sum(least(b.n, t.n))::DOUBLE / (any_value(b.size) + any_value(t.size)) AS dice
-        FROM bag b JOIN t ON b.g = t.g GROUP BY b.doc_id, b.i, t.k, t.name),
-best AS (SELECT doc_id, i, name, dice FROM hit WHERE dice >= {threshold} QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY dice DESC, k) = 1)
-SELECT d.doc_id, count(b.i)::BIGINT AS n_notices,
-       coalesce(string_agg(DISTINCT b.name, ',' ORDER BY b.name), '') AS licenses,
-       round(coalesce(max(b.dice), 0), 6) AS best_dice, coalesce(min(b.i) - 1, -1)::BIGINT AS first_line
-FROM documents d LEFT JOIN best b USING (doc_id) GROUP BY d.doc_id
+WITH RECURSIVE t(k, name, n, most, need, head, tail, must, never) AS (VALUES {", ".join(of)}),
+tg(k, g, m) AS (VALUES {", ".join(grams)}),
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
+parts AS (SELECT doc_id, i, string_split(trim(regexp_replace(lower(line), '{BREAK}', ' ', 'g')), ' ') AS w FROM lines),
+words AS (SELECT doc_id, i, unnest(w) AS w, generate_subscripts(w, 1) AS j FROM parts),
+placed AS (SELECT doc_id, i, w, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS p FROM words WHERE w <> ''),
+paired AS (SELECT doc_id, i, p, w || ' ' || lead(w) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM placed),
+h AS (SELECT doc_id, k, i, p, g, m, row_number() OVER o AS x, lag(p) OVER o AS before, lead(p) OVER o AS after
+      FROM paired JOIN tg USING (g) WINDOW o AS (PARTITION BY doc_id, k ORDER BY p)),
+win AS (SELECT s.doc_id, s.k, s.i AS line, s.p AS b, e.p AS e FROM h s JOIN t ON t.k = s.k
+        JOIN h e ON e.doc_id = s.doc_id AND e.k = s.k AND e.x - s.x >= t.need - 1 AND e.p - s.p BETWEEN 0 AND t.most - 1
+        WHERE (s.g = t.head OR coalesce(s.before < s.p - 1, true)) AND (e.g = t.tail OR coalesce(e.after > e.p + 1, true))),
+held AS (SELECT win.doc_id, win.k, win.line, win.b, win.e, least(count(*), any_value(h.m)) AS c
+         FROM win JOIN h ON h.doc_id = win.doc_id AND h.k = win.k AND h.p BETWEEN win.b AND win.e GROUP BY win.doc_id, win.k, win.line, win.b, win.e, h.g),
+scored AS (SELECT held.doc_id, held.k, line, b, e, sum(c) AS c, 2.0::DOUBLE * sum(c)::DOUBLE / (e - b + 1 + any_value(t.n)) AS dice
+           FROM held JOIN t USING (k) GROUP BY held.doc_id, held.k, line, b, e),
+told AS (SELECT s.doc_id, s.k, s.line, s.b, s.e, s.c, s.dice, list(p.w) AS ws FROM scored s JOIN placed p ON p.doc_id = s.doc_id AND p.p BETWEEN s.b AND s.e + 1
+         WHERE s.dice >= {threshold} GROUP BY s.doc_id, s.k, s.line, s.b, s.e, s.c, s.dice),
+cand AS (SELECT doc_id, name, line, b, e, dice, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, dice DESC, k, b, e) AS turn
+         FROM told JOIN t USING (k) WHERE list_has_all(ws, must) AND NOT list_has_any(ws, never)),
+pick AS (SELECT doc_id, 1::BIGINT AS turn, [{{'b': b, 'e': e, 'name': name, 'line': line, 'dice': dice}}] AS kept FROM cand WHERE turn = 1
+         UNION ALL
+         SELECT r.doc_id, c.turn, CASE WHEN len(list_filter(r.kept, lambda o: c.b <= o.e AND o.b <= c.e)) > 0 THEN r.kept
+                ELSE list_append(r.kept, {{'b': c.b, 'e': c.e, 'name': c.name, 'line': c.line, 'dice': c.dice}}) END
+         FROM pick r JOIN cand c ON c.doc_id = r.doc_id AND c.turn = r.turn + 1),
+best AS (SELECT doc_id, unnest(max_by(kept, turn)) AS x FROM pick GROUP BY doc_id)
+SELECT d.doc_id, count(x)::BIGINT AS n_notices,
+       coalesce(string_agg(DISTINCT x.name, ',' ORDER BY x.name), '') AS licenses,
+       round(coalesce(max(x.dice), 0), 6) AS best_dice, coalesce(min(x.line), -1)::BIGINT AS first_line
+FROM documents d LEFT JOIN best USING (doc_id) GROUP BY d.doc_id
 """
