@@ -10,7 +10,13 @@ are used and their filters intersected before a pair is verified:
    set holds cannot match, so it costs no row, and a passage that very many documents
    share stands last and makes no pairs. The pairs that meet here are then held to
 3. what a single set holds first, the rest by a second hash, and
-4. the same by a third hash. A pair that misses under either goes unverified.
+4. the same by a third hash. A pair that misses under either goes unverified: the two
+   prefixes are joined and compared first, and only what is left joins the whole sets.
+
+A passage may stand in a third of all texts. Shingles that are frequent in a part of the
+texts (``SAMPLED``, by their hash) are dealt by class too, so none of them is one task's
+lot. This moves rows only: such a shingle is known to have several classes, and any number
+that is the same for all sets will do for its place in the order.
 
 Equal sets are one class from the start. Links serve the components: a first round
 verifies each class against the central class it shares most prefix shingles with, some
@@ -44,6 +50,9 @@ ROUNDS = 1
 ORDERS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))
 #: Counts of a shingle are exact up to here; all higher ones are one class of the order.
 MOST_COUNTED = 65_536
+#: One text of so many tells which shingles are frequent; how many classes among those make one so; into how
+#: many parts its rows go; and how many such shingles there are at most, the others being rarer. None changes a result.
+SAMPLED, FREQUENT, PARTS, MOST_FREQUENT = 64, 16, 64, 100_000
 
 
 def prefix(n: np.ndarray | int, percent: int = PERCENT):
@@ -122,13 +131,48 @@ def _tokens(texts: DataFrame, size: int, percent: int | None) -> DataFrame:
     return texts.transform(in_arrow, run, "token long, cls long, n long")
 
 
-def _shared(rows: DataFrame, tasks: int) -> DataFrame:
+def frequent(texts: DataFrame, size: int, sampled: int = SAMPLED, least: int = FREQUENT) -> DataFrame:
+    """(token, often): shingles of many classes, the most frequent ones if there are too many, and about how many hold each."""
+    some = texts.filter(F.pmod(F.xxhash64("t"), F.lit(sampled)) == 0)
+    held = _tokens(some, size, None).select("token", "cls").distinct().groupBy("token").agg(F.count("*").alias("c"))
+    most = held.filter(F.col("c") >= least).orderBy(F.desc("c"), "token").limit(MOST_FREQUENT)
+    return most.select("token", (F.col("c") * sampled).alias("often"))
+
+
+def _dealt(rows: DataFrame, hot: DataFrame, tasks: int) -> DataFrame:
+    """The rows with ``often``, null for all but frequent tokens, in order by (token, cls); those of
+    a token are in one task, of a frequent one only those of a class."""
+    marked = rows.join(F.broadcast(hot), "token", "left")
+    part = F.when(F.col("often").isNull(), 0).otherwise(F.pmod("cls", F.lit(PARTS)))
+    return marked.repartition(tasks, F.col("token"), part).sortWithinPartitions("token", "cls")
+
+
+def _spread(batch: pa.RecordBatch, names: tuple[str, ...], last: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """A batch of ``_dealt``: the rows of other tokens, those of frequent ones without repeats of (token, cls),
+    how frequent they are, and the last of them (``last`` is that of the batch before)."""
+    rows = np.stack([batch.column(k).to_numpy() for k in names], axis=1)
+    often = batch.column("often").fill_null(0).to_numpy()
+    own = rows[often > 0]
+    if not len(own):
+        return rows, own, often[:0], last
+    before = np.concatenate([own[:1] - 1 if last is None else last[None], own[:-1]])
+    new = (own[:, :2] != before[:, :2]).any(axis=1)
+    return rows[often == 0], own[new], often[often > 0][new], own[-1]
+
+
+def _shared(rows: DataFrame, hot: DataFrame, tasks: int) -> DataFrame:
     """(cls, c): at how many tokens a class meets another one. Runs of equal tokens are read as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, cls, met = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        token, cls, met, last = np.zeros(0, np.int64), np.zeros(0, np.int64), False, None
         for batch in batches:  # the last row of the batch before goes first
-            t, c = np.append(token, batch.column("token").to_numpy()), np.append(cls, batch.column("cls").to_numpy())
+            few, many_, _, last = _spread(batch, ("token", "cls"), last)
+            if len(many_):
+                found, many = np.unique(many_[:, 1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(many)], ["cls", "c"])
+            if not len(few):
+                continue
+            t, c = np.append(token, few[:, 0]), np.append(cls, few[:, 1])
             meet = np.flatnonzero((t[1:] == t[:-1]) & (c[1:] != c[:-1]))
             opens = np.ones(len(meet), bool)  # the first two classes of a run meet here
             opens[1:] = t[meet[1:]] != t[meet[:-1]]
@@ -140,17 +184,19 @@ def _shared(rows: DataFrame, tasks: int) -> DataFrame:
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(many)], ["cls", "c"])
 
-    dealt = rows.select("token", "cls").repartition(tasks, "token").sortWithinPartitions("token", "cls")
+    dealt = _dealt(rows.select("token", "cls"), hot, tasks)
     return dealt.transform(in_arrow, run, "cls long, c long").groupBy("cls").agg(F.sum("c").alias("c"))
 
 
-def _counted(rows: DataFrame, tasks: int, most: int = MOST_COUNTED) -> DataFrame:
-    """(cls, n, token, df) of the tokens that two classes or more hold; df counts classes, up to ``most``."""
+def _counted(rows: DataFrame, hot: DataFrame, tasks: int, most: int = MOST_COUNTED) -> DataFrame:
+    """(cls, n, token, df) of the tokens that two classes or more hold, and of all frequent ones; df
+    counts classes, up to ``most``, or tells how frequent a frequent one is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # rows (token, cls, n) of the run that may go on; at most ``most``
         full = None  # a token whose run is already longer than that
         last = None  # the last class of that token
+        spread = None  # the last row of a frequent token
 
         def out(rows: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(rows[:, 0]), pa.array(df)], ["cls", "n", "token", "df"])
@@ -163,7 +209,11 @@ def _counted(rows: DataFrame, tasks: int, most: int = MOST_COUNTED) -> DataFrame
                     yield out(rows[keep], df[keep])
 
         for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy() for k in ("token", "cls", "n")], axis=1)
+            rows, own, often, spread = _spread(batch, ("token", "cls", "n"), spread)
+            if len(own):
+                yield out(own, often)
+            if not len(rows):
+                continue
             if full is not None:
                 own = rows[:, 0] == full
                 if own.any():
@@ -188,8 +238,7 @@ def _counted(rows: DataFrame, tasks: int, most: int = MOST_COUNTED) -> DataFrame
         if held:
             yield from tell(held[0])
 
-    dealt = rows.repartition(tasks, "token").sortWithinPartitions("token", "cls")
-    return dealt.transform(in_arrow, run, "cls long, n long, token long, df long")
+    return _dealt(rows, hot, tasks).transform(in_arrow, run, "cls long, n long, token long, df long")
 
 
 def _ordered(counted: DataFrame, tasks: int, percent: int) -> DataFrame:
@@ -237,23 +286,30 @@ def _ordered(counted: DataFrame, tasks: int, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """(u, v) of the pairs (a, b) that share a prefix token under the other two orders too, and link."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lists(batch: pa.RecordBatch, *names: str) -> list[list[np.ndarray]]:
+        parts = [(batch.column(k).values.to_numpy(), batch.column(k).offsets.to_numpy()) for k in names]
+        return [[v[o[k] : o[k + 1]] for k in range(batch.num_rows)] for v, o in parts]
+
+    def picked(batch: pa.RecordBatch, good: list[bool], names: list[str]) -> pa.RecordBatch:
+        keep = pa.array(np.flatnonzero(good))
+        return pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = {k: batch.column(k).to_numpy() for k in ("na", "nb")}
-            good = np.zeros(batch.num_rows, bool)
-            part = {k: (batch.column(k).values.to_numpy(), batch.column(k).offsets.to_numpy()) for k in ("ta", "sa", "ra", "tb", "sb", "rb")}
-            for k in range(batch.num_rows):
-                x = {c: v[o[k] : o[k + 1]] for c, (v, o) in part.items()}
-                if not (_meet(x["sa"], x["sb"]) and _meet(x["ra"], x["rb"])):
-                    continue
-                o = len(np.intersect1d(x["ta"], x["tb"], assume_unique=True))
-                good[k] = 100 * o >= percent * (n["na"][k] + n["nb"][k] - o)
-            if good.any():
-                keep = pa.array(np.flatnonzero(good))
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["u", "v"])
+            sides = zip(*lists(batch, "sa", "sb", "ra", "rb"), strict=True)
+            yield picked(batch, [_meet(sa, sb) and _meet(ra, rb) for sa, sb, ra, rb in sides], ["a", "b"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*lists(batch, "ta", "tb"), strict=True)], np.int64)
+            yield picked(batch, 100 * common >= percent * (n - common), ["u", "v"])
+
+    def side(k: str, **columns: str) -> DataFrame:
+        return known.select(F.col("cls").alias(k), *[F.col(c).alias(f"{s}{k}") for s, c in columns.items()])
 
-    sides = [known.select(F.col("cls").alias(k), *[F.col(c).alias(f"{s}{k}") for c, s in (("n", "n"), ("tokens", "t"), ("second", "s"), ("third", "r"))]) for k in "ab"]
-    return pairs.join(sides[0], "a").join(sides[1], "b").transform(in_arrow, run, "u long, v long")
+    near = pairs.join(side("a", s="second", r="third"), "a").join(side("b", s="second", r="third"), "b").transform(in_arrow, meet, "a long, b long")
+    return near.join(side("a", n="n", t="tokens"), "a").join(side("b", n="n", t="tokens"), "b").transform(in_arrow, link, "u long, v long")
 
 
 def _meet(a: np.ndarray, b: np.ndarray) -> bool:
@@ -275,14 +331,16 @@ def links(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = W
     small_batches(spark)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = materialize(sketch(docs, id, text, size), "jaccard-rows")
-    near = materialize(_shared(_tokens(docs.select(text_of(text).alias("t")), size, percent), tasks), "jaccard-near")
+    bare = docs.select(text_of(text).alias("t"))
+    hot = materialize(frequent(bare, size), "jaccard-frequent")
+    near = materialize(_shared(_tokens(bare, size, percent), hot, tasks), "jaccard-near")
     enough = F.col("c") >= F.greatest(F.lit(1), F.expr("n div 8"))
     first = rows.filter("cls IS NOT NULL AND id IS NOT NULL").join(near, "cls").filter(enough).groupBy("cls").agg(F.min("id").alias("id"))
     first = small_side(materialize(first, "jaccard-first"))
     texts = docs.select(F.col(id).alias("id"), text_of(text).alias("t")).join(first, "id").select("cls", "t")
-    counted = _counted(_tokens(texts, size, None), tasks)
+    counted = _counted(_tokens(texts, size, None), hot, tasks)
     known = materialize(_ordered(counted, tasks, percent), "jaccard-sets")
-    release(near)
+    release(near, hot, first)
 
     alone = (F.col("n") - F.size("tokens")) / F.col("n")  # share of shingles that no other class holds
     met = known.select("cls", "n", alone.alias("q"), F.size("tokens").alias("m"), F.posexplode(F.slice("tokens", F.lit(1), F.col("p"))).alias("k", "token"))
@@ -295,13 +353,17 @@ def links(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = W
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("met", "b")).alias("b"))
     edges = materialize(_verified(best, known, percent), "jaccard-links")
     roots = materialize(components(edges).select(F.col("node").alias("cls"), "root"), "jaccard-roots")
+    release(edges)
     for _ in range(ROUNDS):
         edges = materialize(_verified(_toward_hubs(met, roots, percent), known, percent), "jaccard-links")
         if not edges.limit(1).count():
             break
         roots = _merged(roots, edges)
+        release(edges)
     rest = materialize(_verified(_across(met, roots, percent), known, percent), "jaccard-links")
-    return rows, _merged(roots, rest)
+    merged = _merged(roots, rest)
+    release(known, rest)
+    return rows, merged
 
 
 def _rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
@@ -323,7 +385,9 @@ def _toward_hubs(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """Components so far and further links, made one."""
     star = roots.filter("cls <> root").select(F.col("cls").alias("u"), F.col("root").alias("v"))
-    return materialize(components(star.unionByName(edges)).select(F.col("node").alias("cls"), "root"), "jaccard-roots")
+    merged = materialize(components(star.unionByName(edges)).select(F.col("node").alias("cls"), "root"), "jaccard-roots")
+    release(roots)
+    return merged
 
 
 def _across(met: DataFrame, roots: DataFrame, percent: int) -> DataFrame:

@@ -254,12 +254,37 @@ def test_ngram_join_equals_brute_force(spark):
 
 def test_ngram_join_counts_runs_over_batches_alike(spark):
     rows = spark.createDataFrame([(t, c, 9) for t in range(5) for c in range(t + 1)] * 2, "token long, cls long, n long")
-    full = {(x["token"], x["cls"]): x["df"] for x in ngram_join._counted(rows, 2).collect()}
+    none = spark.createDataFrame([], "token long, often long")
+    full = {(x["token"], x["cls"]): x["df"] for x in ngram_join._counted(rows, none, 2).collect()}
     assert full == {(t, c): t + 1 for t in range(1, 5) for c in range(t + 1)}
-    capped = {(x["token"], x["cls"]): x["df"] for x in ngram_join._counted(rows, 2, most=2).collect()}
+    capped = {(x["token"], x["cls"]): x["df"] for x in ngram_join._counted(rows, none, 2, most=2).collect()}
     assert capped == {k: 2 for k in full}
 
 
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_ngram_join_deals_frequent_shingles_by_class_with_the_same_result(spark, batch, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rows = spark.createDataFrame([(t, c, 9) for t in range(5) for c in range(40)] * 2 + [(9, 1, 9)], "token long, cls long, n long")
+        hot = spark.createDataFrame([(1, 64), (3, 128)], "token long, often long")
+        dealt = ngram_join._dealt(rows, hot, 8).withColumn("task", F.spark_partition_id()).groupBy("token").agg(F.countDistinct("task").alias("n"))
+        tasks = {x["token"]: x["n"] for x in dealt.collect()}
+        assert tasks[0] == tasks[2] == tasks[4] == 1 and tasks[1] > 4 and tasks[3] > 4
+        counted = [(x["token"], x["cls"], x["df"]) for x in ngram_join._counted(rows, hot, 2).collect()]
+        assert sorted(counted) == [(t, c, {1: 64, 3: 128}.get(t, 40)) for t in range(5) for c in range(40)]
+        shared = {x["cls"]: x["c"] for x in ngram_join._shared(rows.select("token", "cls"), hot, 2).collect()}
+        assert shared == {c: 5 for c in range(40)}
+
+        texts = edited(random.Random(5), 150)
+        every = ngram_join.frequent
+        monkeypatch.setattr(ngram_join, "frequent", lambda docs, size: every(docs, size, 2, 3))
+        assert every(corpus(spark, texts).select(F.col("text").alias("t")), 5, 2, 3).count() > 20
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.group(corpus(spark, texts)).collect()}
+        assert got == groups(shingle_sets(texts))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_ngram_join_odd_rows(spark, odd, empty):
     got = ngram_join.group(odd).collect()
     assert len(got) == len(ODD)
