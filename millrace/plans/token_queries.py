@@ -92,8 +92,9 @@ def _stream(spark, sf_dir):
 
 def _samples(spark, sf_dir):
     """The stream written in parts, and samples cut where these are read."""
-    path = scratch(spark, "lm-stream")
-    token_bin.write_stream(_stream(spark, sf_dir).select("pos", F.array("token").alias("ids")), path, 100_000, ["pos"])
+    path, stream = scratch(spark, "lm-stream"), _stream(spark, sf_dir)
+    most = stream.agg(F.max("token")).first()[0]  # users are as many as the table has: the vocabulary holds them all
+    token_bin.write_stream(stream.select("pos", F.array("token").alias("ids")), path, max(1, (most or 0) + 1), ["pos"])
     return token_bin.read_samples(spark, path, 64)
 
 

@@ -24,8 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from millrace.sources.storage import resolved
 
-#: Largest vocabulary whose ids are stored in 16 bits.
-MOST_U16 = 65_535
+#: Largest vocabularies whose ids are stored in 16 and in 32 bits.
+MOST_U16, MOST_U32 = 65_535, 1 << 32
 #: Tokens of an input partition, and of a batch of rows.
 SHARD_TOKENS, BATCH_TOKENS = 4_000_000, 1 << 18
 INDEX = "index.json"
@@ -34,7 +34,7 @@ INDEX = "index.json"
 def choose_dtype(vocab_size: int) -> str:
     if vocab_size < 1:
         raise ValueError("vocab_size must be positive")
-    return "uint16" if vocab_size <= MOST_U16 else "uint32"
+    return "uint16" if vocab_size <= MOST_U16 else "uint32" if vocab_size <= MOST_U32 else "uint64"
 
 
 def _opened(path: str) -> tuple[pafs.FileSystem, str]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import bpe
 from millrace.operators import tokens as tk
+from millrace.plans import token_queries
 from millrace.sources import readers, storage, token_bin
 
 
@@ -108,6 +109,23 @@ def test_streams_without_tokens_and_wrong_ids(spark, numbers, tmp_path):
         token_bin.read_samples(spark, str(tmp_path / "e"), 0)
 
 
+def test_ids_of_over_32_bits(spark, tmp_path):
+    want = [0, 1 << 31, (1 << 32) + 5, 1 << 40]
+    docs = spark.createDataFrame(list(enumerate([[x] for x in want])), "id long, ids array<long>")
+    token_bin.write_stream(docs, str(tmp_path / "s"), (1 << 40) + 1, ["id"])
+    assert [r["token"] for r in token_bin.read_bin(spark, str(tmp_path / "s")).orderBy("pos").collect()] == want
+    assert [token_bin.choose_dtype(n) for n in (65_535, 65_536, 1 << 32, (1 << 32) + 1)] == ["uint16", "uint32", "uint32", "uint64"]
+
+
+def test_samples_of_tables_with_many_users(spark, tmp_path):
+    spark.range(200).selectExpr("id AS event_id", "id * 1000000 AS user_id").write.parquet(str(tmp_path / "events.parquet"))
+    tokens = [i * 31_000_000 + i % 97 for i in range(200)]
+    rows = {r["sample_id"]: (r["input_ids"], r["labels"]) for r in token_queries.lm_samples(spark, str(tmp_path)).collect()}
+    assert rows == {k: tuple(",".join(map(str, tokens[64 * k + j : 64 * k + 64 + j])) for j in (0, 1)) for k in range(3)}
+    assert [r["sample_ids"] for r in token_queries.lm_batches(spark, str(tmp_path)).collect()] == ["0,1,2"]
+    assert token_queries.lm_batches_shuffled(spark, str(tmp_path)).count() == 0  # no batch is full
+
+
 def test_shuffled_batches(spark):
     samples = spark.range(21).withColumnRenamed("id", "sample_id")
     whole = [r["sample_ids"] for r in tk.batches(samples, 4, seed=1).orderBy("batch_id").collect()]
