@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_SHIFT = 32
+SHIFT = 32
 
 
 def _groups(keys: np.ndarray, places: np.ndarray, weight: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
@@ -53,6 +53,13 @@ class Symbols:
         self.after[ends - 1] = -1
         self.before[ends - sizes] = -1
 
+    def copy(self) -> Symbols:
+        """One whose symbols can be merged without this one."""
+        other = object.__new__(Symbols)
+        other.word, other.count = self.word, self.count
+        other.symbol, other.after, other.before = self.symbol.copy(), self.after.copy(), self.before.copy()
+        return other
+
     def weight(self, places: np.ndarray) -> np.ndarray:
         """The counts of the words of these places."""
         return self.count[self.word[places]]
@@ -66,7 +73,7 @@ class Symbols:
         for lo, hi in zip(edges, [*edges[1:], len(begins)], strict=True):
             own = begins[lo:hi]
             for y, w, at in _groups(self.symbol[self.after[own]], own, self.weight(own)):
-                yield int(self.symbol[own[0]]) << _SHIFT | y, w, at
+                yield int(self.symbol[own[0]]) << SHIFT | y, w, at
 
     def merge(self, a: int, b: int, new: int, places: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int, np.ndarray]]]:
         """Puts ``new`` for a and b wherever they still follow each other at ``places``, from the left. Returns the
@@ -89,17 +96,17 @@ class Symbols:
         self.before[right[inner]] = places[inner]
         outer = (left >= 0) & (self.symbol[left] >= 0)  # else what is on the left was merged too: it has the pair
         left_is = self.symbol[left[outer]]
-        gone = [(x << _SHIFT | a, w) for x, w in _sums(left_is, weight[outer])] + [(b << _SHIFT | y, w) for y, w in _sums(right_was, weight[inner])]
-        came = {x << _SHIFT | new: (w, at) for x, w, at in _groups(left_is, left[outer], weight[outer])}
+        gone = [(x << SHIFT | a, w) for x, w in _sums(left_is, weight[outer])] + [(b << SHIFT | y, w) for y, w in _sums(right_was, weight[inner])]
+        came = {x << SHIFT | new: (w, at) for x, w, at in _groups(left_is, left[outer], weight[outer])}
         for y, w, at in _groups(self.symbol[right[inner]], places[inner], weight[inner]):
-            pair = new << _SHIFT | y
+            pair = new << SHIFT | y
             if pair in came:  # new beside new, where its name was there before
                 w, at = w + came[pair][0], np.sort(np.concatenate([at, came[pair][1]]))
             came[pair] = (w, at)
         return gone, [(pair, *x) for pair, x in came.items()]
 
 
-def _letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def letters_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The code points of all words, end to end, and their numbers; no word becomes an object."""
     sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     _, offsets, data = words.buffers()
@@ -118,7 +125,7 @@ def learn(words: list[str] | pa.Array | pa.ChunkedArray, counts: np.ndarray, voc
     vocab = {s: k for k, s in enumerate(specials)}
     names = list(specials)
     column = pa.array(words, pa.large_string()) if isinstance(words, list) else words
-    points, sizes = _letters(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+    points, sizes = letters_of(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
     seen = np.zeros(0x110000, bool)
     seen[points] = True
     ids = np.zeros(0x110000, np.int32)
@@ -152,7 +159,7 @@ def learn(words: list[str] | pa.Array | pa.ChunkedArray, counts: np.ndarray, voc
         if -n < max(1, min_frequency):
             break
         heapq.heappop(heap)
-        a, b = pair >> _SHIFT, pair & ((1 << _SHIFT) - 1)
+        a, b = pair >> SHIFT, pair & ((1 << SHIFT) - 1)
         name = names[a] + names[b]
         if name not in vocab:
             vocab[name] = len(names)

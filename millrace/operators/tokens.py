@@ -12,14 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import nfc as text_nfc
-from millrace.operators import bpe
-from millrace.sources.tables import materialize
+from millrace.operators import bpe, bpe_rounds
+from millrace.sources.tables import materialize, release
 
 # Special tokens in the order of their ids, and the word mark.
 SPECIALS = ("<|pad|>", "<|unk|>", "<|bos|>", "<|eos|>")
 WORD_MARK = "▁"
 #: Code points that the library encodes at once.
 AT_ONCE = 1 << 17
+#: Letters of distinct words from which the driver learns merges.
+DRIVER_LETTERS = 1 << 22
 
 
 def blank_tokenizer() -> tokenizers.Tokenizer:
@@ -48,18 +50,25 @@ def marked_counts(lines: DataFrame, line: str = "line") -> DataFrame:
 def train(lines: DataFrame, path: str | None = None, vocab_size: int = 32_000, min_frequency: int = 2, line: str = "line") -> tokenizers.Tokenizer:
     """Trains on the words of all lines, which the cluster counts; lines don't reach the driver.
 
-    The driver gets one row for each distinct word, with its count, and learns the merges
-    from these weights (``bpe.learn``): its time and memory go with the distinct words, about
-    30 bytes a letter at its peak, whatever the size of the corpus. No word is dropped and no count changed.
+    The merges come from the distinct words and their counts. While these have at most ``DRIVER_LETTERS``
+    letters, the driver gets them and learns (``bpe.learn``, about 30 bytes a letter at its peak); beyond that
+    they stay on the executors, which count pairs in rounds (``bpe_rounds``): the same merges, and the driver holds
+    pairs of symbols. No word is dropped and no count changed.
     """
     if vocab_size <= len(SPECIALS):
         raise ValueError(f"vocab_size must be over {len(SPECIALS)}")
     if min_frequency < 1:
         raise ValueError("min_frequency must be at least 1")
-    counted = marked_counts(lines, line).toArrow()
-    if not len(counted):
+    counted = materialize(marked_counts(lines, line), "words")
+    letters = counted.agg(F.sum(F.length("word"))).first()[0]
+    if letters is None:
         raise ValueError("there are no lines to train on")
-    vocab, merges = bpe.learn(counted.column("word"), counted.column("n").to_numpy(), vocab_size, min_frequency, SPECIALS)
+    if letters > DRIVER_LETTERS:
+        vocab, merges = bpe_rounds.learn(counted, vocab_size, min_frequency, SPECIALS)
+    else:
+        words = counted.toArrow()
+        vocab, merges = bpe.learn(words.column("word"), words.column("n").to_numpy(), vocab_size, min_frequency, SPECIALS)
+    release(counted)
     tok = blank_tokenizer()
     tok.model = tokenizers.models.BPE(vocab=vocab, merges=merges, unk_token=SPECIALS[1], byte_fallback=True)
     tok.add_special_tokens(list(SPECIALS))

@@ -10,7 +10,7 @@ import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from millrace.operators import bpe
+from millrace.operators import bpe, bpe_rounds
 from millrace.operators import tokens as tk
 from millrace.plans import token_queries
 from millrace.sources import readers, storage, token_bin
@@ -38,6 +38,26 @@ def test_merges_of_weighted_words_equal_the_library(letters):
         assert vocab == want["vocab"] and [list(m) for m in merges] == want["merges"]
 
 
+@pytest.mark.parametrize(("letters", "vocab_size", "words"), [("ab", 40, 300), ("abcdefgh", 120, 300), ("aé日▁", 60, 0), ("éxyz", 30, 0)])
+def test_merges_by_rounds_equal_those_of_the_driver(spark, monkeypatch, letters, vocab_size, words):
+    """Also where guesses are estimated on no more than a few words, and often wrong."""
+    monkeypatch.setattr(bpe_rounds, "GUESS_WORDS", max(1, words // 10))
+    monkeypatch.setattr(bpe_rounds, "REWRITE", 5)
+    r = random.Random(vocab_size)
+    counts = {"▁" + "".join(r.choice(letters) for _ in range(r.randrange(1, 12))): r.randrange(1, 30) for _ in range(max(words, 60))}
+    counted = spark.createDataFrame(list(counts.items()), "word string, n long")
+    want = bpe.learn(list(counts), np.array(list(counts.values())), vocab_size, 2, tk.SPECIALS)
+    assert bpe_rounds.learn(counted, vocab_size, 2, tk.SPECIALS) == want and len(want[1]) > 10
+
+
+def test_many_distinct_words_stay_on_the_executors(spark, monkeypatch):
+    lines = spark.createDataFrame([("ab abc abd abe",), ("abc",)], "line string")
+    small = tk.train(lines, vocab_size=12).to_str()
+    monkeypatch.setattr(tk, "DRIVER_LETTERS", 0)
+    monkeypatch.setattr(bpe, "learn", None)  # what holds all words isn't called
+    assert tk.train(lines, vocab_size=12).to_str() == small
+
+
 def test_time_goes_with_words_not_with_their_counts(spark):
     few = spark.createDataFrame([("ab abc",), ("abc",)], "line string")
     assert {r["word"]: r["n"] for r in tk.marked_counts(few).collect()} == {"▁ab": 1, "▁abc": 2}
