@@ -139,12 +139,14 @@ def valid_ids(ids: Column, vocab_size: int) -> Column:
 
 def offsets(docs: DataFrame, size: str, order: list[str], block_rows: int = 100_000) -> DataFrame:
     """Adds offset: the sum of ``size`` over all rows before, in ``order``, by two steps:
-    sums of range partitions, then running sums within each."""
-    spark = docs.sparkSession
-    parts = max(1, docs.count() // block_rows)
+    sums of range partitions, then running sums within each. The rows are written down first: they
+    are counted, sampled for their ranges and dealt out, and what makes them runs once."""
+    rows = materialize(docs, "rows")
+    parts = max(1, rows.count() // block_rows)
     if parts == 1:
-        return docs.withColumn("offset", F.sum(size).over(Window.orderBy(*order)) - F.col(size))
-    cut = materialize(docs.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "offsets")
+        return rows.withColumn("offset", F.sum(size).over(Window.orderBy(*order)) - F.col(size))
+    cut = materialize(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "offsets")
+    release(rows)
     sums = cut.groupBy("part").agg(F.sum(size).alias("s"))
     first = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("first"))
     run = F.sum(size).over(Window.partitionBy("part").orderBy(*order)) - F.col(size)

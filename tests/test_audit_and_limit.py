@@ -110,3 +110,18 @@ def test_build_keeps_parts_and_limits_documents(spark, tmp_path):
 
     stream = token_bin.read_bin(spark, str(tmp_path / "o1/train.bin")).orderBy("pos").toPandas()["token"]
     assert stream.tolist() == np.fromfile(tmp_path / "o0/train.bin", np.uint16).tolist()
+
+
+@pytest.mark.parametrize("rows", [50, 5000])
+def test_offsets_compute_their_rows_once(spark, rows):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.range(rows).mapInArrow(count, "id long")
+    got = tokens.offsets(docs, "id", ["id"], block_rows=1000).orderBy("id").collect()
+    assert [r["offset"] for r in got] == [k * (k - 1) // 2 for k in range(rows)]
+    assert seen.value == rows
