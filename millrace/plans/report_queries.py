@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.operators import stats
+from millrace.operators import dedup, split, stats
 from millrace.plans import oracles as o
-from millrace.plans.corpus_queries import classified, dedup_counts, documents, kept, parts, table
+from millrace.plans.corpus_queries import classified, documents, kept, table
 from millrace.sources import tables
 
 QUERIES: dict = {}
@@ -34,12 +34,16 @@ m(source, weight) AS (SELECT DISTINCT source, 1 + substr(source, 4)::INTEGER FRO
 SELECT source, round(weight::DOUBLE / sum(weight) OVER (), 9) AS target_weight, coalesce(input, 0)::BIGINT AS input_docs, coalesce(kept, 0)::BIGINT AS kept_after_filter, coalesce(input - kept, 0)::BIGINT AS filtered,
 coalesce(duplicates, 0)::BIGINT AS duplicates, coalesce(train, 0)::BIGINT AS train_docs, coalesce(val, 0)::BIGINT AS val_docs FROM m LEFT JOIN a USING (source) LEFT JOIN x USING (source) LEFT JOIN y USING (source)""")
 def source_report(spark, sf_dir):
-    """Per-source assembly: the manifest joined to what each stage counted."""
-    rows = classified(spark, sf_dir)
-    a = rows.groupBy("source").agg(F.count("*").alias("input_docs"), F.count_if(F.col("reason").isNull()).alias("kept_after_filter"))
-    x = dedup_counts(spark, sf_dir).select("source", "duplicates")
-    y = parts(spark, sf_dir).groupBy("source").agg(F.count_if(F.col("split") == "train").alias("train_docs"), F.count_if(F.col("split") == "val").alias("val_docs"))
-    names = documents(spark, sf_dir).select("source").distinct().withColumn("weight", 1 + F.substring("source", 4, 9).cast("int"))
+    """Per-source assembly: the manifest joined to what each stage counted, all from one table without texts."""
+    text, stays = F.col("text"), F.col("reason").isNull()
+    facts = {"document_id": tx.document_id(F.col("source"), text), "hash": tx.content_hash(text)}
+    rows = tables.materialize(classified(spark, sf_dir).select("source", "doc_id", stays.alias("stays"), *[F.when(stays, x).alias(k) for k, x in facts.items()]), "report")
+    a = rows.groupBy("source").agg(F.count("*").alias("input_docs"), F.count_if("stays").alias("kept_after_filter"))
+    lean = rows.filter("stays")
+    firsts = tables.materialize(dedup.places(lean, "hash", ["source", "document_id", "doc_id"], []), "unique")
+    x = dedup.counts(lean, firsts).select("source", "duplicates")
+    y = split.split(firsts, 0.2).groupBy("source").agg(F.count_if(F.col("split") == "train").alias("train_docs"), F.count_if(F.col("split") == "val").alias("val_docs"))
+    names = rows.select("source").distinct().withColumn("weight", 1 + F.substring("source", 4, 9).cast("int"))
     manifest = names.unionByName(spark.createDataFrame([("absent", 5)], "source string, weight int"))
     total = manifest.agg(F.sum("weight").alias("all"))
     out = manifest.crossJoin(F.broadcast(total)).join(a, "source", "left").join(x, "source", "left").join(y, "source", "left")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import dedup, limit, tokens
-from millrace.plans import audit, build, cli
+from millrace.plans import audit, build, cli, corpus_queries, report_queries
 
 SAY = "Numbered text {} is made of quite ordinary words, and long enough to stay in the corpus."
 
@@ -125,3 +125,11 @@ def test_offsets_compute_their_rows_once(spark, rows):
     got = tokens.offsets(docs, "id", ["id"], block_rows=1000).orderBy("id").collect()
     assert [r["offset"] for r in got] == [k * (k - 1) // 2 for k in range(rows)]
     assert seen.value == rows
+
+
+def test_source_report_reads_the_texts_once(spark, monkeypatch):
+    reads = []
+    plain = corpus_queries.table
+    monkeypatch.setattr(corpus_queries, "table", lambda spark, d, name: reads.append(name) or plain(spark, d, name))
+    assert report_queries.source_report(spark, "/root/testdata/sf0.001").count() > 1
+    assert reads == ["documents"]
