@@ -8,6 +8,7 @@ NFC), and is marked nondeterministic so that the optimizer evaluates it once.
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +26,9 @@ MATH = r"[=^_$∑√∫±≤≥∞≈≠∂∇πθαβγΔΩ]|\\frac|\\sum|\\int
 SPACE = rf"[{WS}\n]"
 PUNCTUATION = rf"[^\p{{L}}\p{{N}}_{WS}\n]"
 RUN = r"(?s)((.)\2+)"
+#: The characters of SPACE, and ASCII that is no punctuation: what needs no pattern of many ranges for each character.
+SPACES = " \t\n\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+PLAIN = "[A-Za-z0-9_ \n]"
 
 
 @F.pandas_udf(StringType())  # a type, not its name: importing needs no session
@@ -44,8 +48,17 @@ def replaced(text: Column, pattern: str, by: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(by))
 
 
+def _where(text: Column, parts: list[str], pattern: str, by: str) -> Column:
+    """Replaced where the text holds one of these parts, without which the pattern matches nothing. The text
+    is an array's one element, so that what makes it is computed once, however often it is named here."""
+    def one(t: Column) -> Column:
+        return F.when(reduce(Column.__or__, [t.contains(x) for x in parts]), replaced(t, pattern, by)).otherwise(t)
+
+    return F.transform(F.array(text), one)[0]
+
+
 def unify_newlines(text: Column) -> Column:
-    return replaced(text, r"\r\n?", "\n")
+    return _where(text, ["\r"], r"\r\n?", "\n")
 
 
 def drop_controls(text: Column) -> Column:
@@ -53,15 +66,15 @@ def drop_controls(text: Column) -> Column:
 
 
 def trim_line_ends(text: Column) -> Column:
-    return replaced(text, f"[{WS}]+\n", "\n")
+    return _where(text, [f"{x}\n" for x in SPACES if x != "\n"], f"[{WS}]+\n", "\n")
 
 
 def collapse_newlines(text: Column) -> Column:
-    return replaced(text, "\n{3,}", "\n\n")
+    return _where(text, ["\n\n\n"], "\n{3,}", "\n\n")
 
 
 def strip(text: Column) -> Column:
-    return replaced(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def normalize(text: Column) -> Column:
@@ -76,8 +89,12 @@ def once(x: Column) -> Column:
 
 
 def occurrences(text: Column, pattern: str) -> Column:
-    """How many code points match a class, without a list of matches."""
-    return F.length(text) - F.length(replaced(text, pattern, ""))
+    """How many code points match a class, without a list of matches: runs of them are taken out at once."""
+    if pattern == SPACE:
+        return F.length(text) - F.length(F.translate(text, SPACES, ""))
+    if pattern == PUNCTUATION:
+        text = replaced(text, f"{PLAIN}++", "")
+    return F.length(text) - F.length(replaced(text, f"{pattern}++", ""))
 
 
 def ratio(text: Column, pattern: str) -> Column:

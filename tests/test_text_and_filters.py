@@ -139,3 +139,21 @@ def test_funnel_normalizes_once(spark):
     docs = spark.createDataFrame([("a", "en")], "text string, language string")
     plan = quality.kept(quality.classify(docs))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_short_cuts_equal_the_patterns(spark):
+    """Ends, line ends, newlines and counts, by their patterns over every text."""
+    r = random.Random(5)
+    odd = [*tx.SPACES, "\r", "\x00", "\x0b", "\x85", "\u200b", "\ufeff", "a", "Z", "_", "9", "é", "가", "ᄀ", "!", "$", "٣", "😀", "\n", "\n", " "]
+    rows = spark.createDataFrame([("".join(r.choice(odd) for _ in range(r.randrange(0, 12))),) for _ in range(3000)] + [(None,)], "t string")
+    t = F.col("t")
+    by_pattern = lambda pattern, by="": F.regexp_replace(t, F.lit(pattern), F.lit(by))
+    pairs = [
+        (tx.strip(t), by_pattern(rf"\A{tx.SPACE}+|{tx.SPACE}+\z")),
+        (tx.trim_line_ends(t), by_pattern(f"[{tx.WS}]+\n", "\n")),
+        (tx.unify_newlines(t), by_pattern(r"\r\n?", "\n")),
+        (tx.collapse_newlines(t), by_pattern("\n{3,}", "\n\n")),
+        *[(tx.occurrences(t, p), F.length(t) - F.length(by_pattern(p))) for p in (tx.SPACE, tx.PUNCTUATION, tx.LATIN, tx.HANGUL_LATIN, r"\x{FFFD}")],
+    ]
+    for got, want in pairs:
+        assert rows.filter(~got.eqNullSafe(want)).count() == 0
